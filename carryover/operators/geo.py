@@ -1,0 +1,51 @@
+"""Distance predicates as grid-bucket equi-joins."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from carryover.functions.scalars import EARTH_RADIUS_M, haversine_m
+
+
+def within_distance(a: DataFrame, b: DataFrame, meters: float) -> DataFrame:
+    """``ST_DWITHIN``: pairs (id, other) at most ``meters`` apart.
+
+    Both sides carry id, lat, lon. Points meet only in neighbouring cells of a grid whose
+    height is the distance; the cell width follows the latitude band, so no point near a
+    pole is missed.
+    """
+    deg = math.degrees(meters / EARTH_RADIUS_M)
+
+    def cells(df, lat):
+        band = F.floor(lat / deg)
+        # Widest longitude reach anywhere in the band or its neighbours.
+        far = F.least(F.lit(89.999), F.greatest(F.abs(band - 1) * deg, F.abs(band + 2) * deg))
+        return band, F.least(F.lit(360.0), F.lit(deg) / F.cos(F.radians(far)) * 1.01)
+
+    band, _ = cells(a, F.col("lat"))
+    left = a.withColumn("_band", F.explode(F.sequence(band - 1, band + 1)))
+    own, width = cells(b, F.col("lat"))
+    right = b.withColumns({"_band": own, "_w": width})
+    # The join band fixes the cell width on both sides, since it is a function of the band.
+    far = F.least(F.lit(89.999), F.greatest(F.abs(F.col("_band") - 1) * deg, F.abs(F.col("_band") + 2) * deg))
+    left = left.withColumn("_w", F.least(F.lit(360.0), F.lit(deg) / F.cos(F.radians(far)) * 1.01))
+    n = F.ceil(F.lit(360.0) / F.col("_w"))
+    x = F.floor((F.col("lon") + 180) / F.col("_w"))
+    left = left.withColumn("_x", F.explode(F.array_distinct(F.array(
+        F.pmod(x - 2, n), F.pmod(x - 1, n), F.pmod(x, n), F.pmod(x + 1, n), F.pmod(x + 2, n)))))
+    right = right.withColumn("_x", F.pmod(x, n))
+    j = left.select("id", "lat", "lon", "_band", "_x").join(
+        right.select(F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "_band", "_x"),
+        ["_band", "_x"])
+    d = haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
+    return j.where(d <= meters).select("id", "other", d.alias("meters"))
+
+
+def within_distance_counts(a: DataFrame, b: DataFrame, meters: float) -> DataFrame:
+    """Neighbours per point; points of ``b`` at the same place are counted once, weighted."""
+    places = b.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("_n")).withColumn("id", F.struct("lat", "lon", "_n"))
+    near = within_distance(a, places.select("id", "lat", "lon"), meters)
+    return near.groupBy("id").agg(F.sum("other._n").alias("near"))

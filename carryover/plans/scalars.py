@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from carryover.functions import canonical as C
 from carryover.functions import scalars as S
-from carryover.operators.geo import within_distance_counts
 from carryover.plans.registry import query
 
 
@@ -97,37 +96,17 @@ def net_host(t):
     return t.pages.select("page_id", S.net_host(u).alias("host"), S.net_scheme(u).alias("scheme"), S.reg_domain(u).alias("domain"))
 
 
-_GEO_SQL = """
-    with p as (select s_suppkey as id, s_acctbal::decimal(18,2)::double / 250 as lat, (s_nationkey * 13 - 160)::double as lon from supplier),
-    c as (select c_custkey as id, c_acctbal::decimal(18,2)::double / 250 as lat, (c_nationkey * 13 - 160)::double as lon from customer)"""
-
-
-def _points(t):
-    s = t.supplier.select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 250).alias("lat"),
-                          (F.col("s_nationkey") * 13 - 160).cast("double").alias("lon"))
-    c = t.customer.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 250).alias("lat"),
-                          (F.col("c_nationkey") * 13 - 160).cast("double").alias("lon"))
-    return s, c
-
-
-@query("geo_distance", _GEO_SQL + """
+@query("geo_distance", """
+    with c as (select c_custkey as id, c_acctbal::decimal(18,2)::double / 250 as lat, (c_nationkey * 13 - 160)::double as lon from customer)
     select id, floor(2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(48.85 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(48.85))
         * pow(sin(radians(2.35 - lon) / 2), 2)))) / 1000)::bigint as km from c""")
 def geo_distance(t):
-    _, c = _points(t)
+    c = t.customer.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 250).alias("lat"),
+                          (F.col("c_nationkey") * 13 - 160).cast("double").alias("lon"))
     km = S.haversine_m(F.col("lat"), F.col("lon"), F.lit(48.85), F.lit(2.35)) / 1000
     return c.select("id", F.floor(km).alias("km"))
 
 
-@query("geo_dwithin", _GEO_SQL + """
-    select p.id, count(*)::bigint as near from p, c
-    where 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(c.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(c.lat))
-        * pow(sin(radians(c.lon - p.lon) / 2), 2)))) <= 150000 group by 1""")
-def geo_dwithin(t):
-    s, c = _points(t)
-    return within_distance_counts(s, c, 150_000)
-
-
 @query("json_extract", """
     select event_id, json_extract_string(props, '$.k') as k, (json_extract_string(props, '$.k'))::bigint % 10 as digit from events""")
 def json_extract(t):

@@ -26,28 +26,42 @@ def canonical_number(text: Column) -> Column:
     return F.when(num.isNotNull(), decimal_text(num)).otherwise(text)
 
 
-def canonical_value(c: Column, dtype: T.DataType) -> Column:
+# The generated forms below are SQL text: a wide table needs hundreds of expressions, and
+# one parsed text is built far faster than as many nested column objects.
+
+
+def decimal_text_sql(x: str) -> str:
+    cut = rf"regexp_replace(regexp_replace(cast({x} as string), r'(\.\d*?)0+$', r'$1'), r'\.$', '')"
+    return f"if(contains(cast({x} as string), '.'), {cut}, cast({x} as string))"
+
+
+def canonical_value_sql(name: str, dtype: T.DataType) -> str:
     """One column as portable text: exact decimals, UTC civil times, explicit null mark."""
+    c = f"`{name}`"
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        out = c.cast("decimal(38,2)").cast("string")
+        out = f"cast(cast({c} as decimal(38,2)) as string)"
     elif isinstance(dtype, T.DecimalType):
-        out = decimal_text(c)
+        out = decimal_text_sql(c)
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        out = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        out = f"date_format({c}, 'yyyy-MM-dd HH:mm:ss')"
     elif isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
-        out = F.to_json(c)
+        out = f"to_json({c})"
     elif isinstance(dtype, T.BinaryType):
-        out = F.hex(c)
+        out = f"hex({c})"
     else:
-        out = c.cast("string")
-    return F.coalesce(out, F.lit(NULL_MARK))
+        out = f"cast({c} as string)"
+    return f"coalesce({out}, '{NULL_MARK}')"
 
 
-def canonical_row(df, columns: list[str] | None = None) -> Column:
+def canonical_row_sql(schema: T.StructType, columns: list[str] | None = None) -> str:
     """The whole row as one ``|``-joined text, columns in name order."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    names = sorted(columns or df.columns)
-    return F.concat_ws("|", *[canonical_value(F.col(f"`{n}`"), types[n]) for n in names])
+    types = {f.name: f.dataType for f in schema.fields}
+    return "concat_ws('|', " + ", ".join(canonical_value_sql(n, types[n]) for n in sorted(columns or types)) + ")"
+
+
+def row_digest_sql(schema: T.StructType) -> str:
+    """Sum over the rows of 60 bits of their md5: equal for equal bags, in any order."""
+    return f"sum(cast(conv(substr(md5({canonical_row_sql(schema)}), 1, 15), 16, 10) as decimal(28,0)))"
 
 
 def md5_slice(c: Column, digits: int = 15) -> Column:

@@ -9,10 +9,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carryover.functions.canonical import canonical_row, decimal_text, md5_bucket, md5_slice
+from carryover.functions.canonical import decimal_text_sql, md5_bucket, md5_slice, row_digest_sql
 from carryover.operators.bags import bag_diff
 from carryover.operators.typemap import schema_rows
 
@@ -39,32 +40,33 @@ def flat_columns(schema: T.StructType) -> list[str]:
 
 def table_evidence(df: DataFrame, table: str, checks=("row_count", "null_distribution", "aggregate", "checksum")) -> DataFrame:
     """Evidence rows of one side of a table, in one pass over it."""
-    named: list[tuple[str, str, Column]] = []
+    schema = df.schema
+    named: list[tuple[str, str, str]] = []
     if "null_distribution" in checks:
-        named += [("null_distribution", c, F.count_if(F.col(f"`{c}`").isNull()).cast("string")) for c in flat_columns(df.schema)]
+        named += [("null_distribution", c, f"cast(count_if(`{c}` is null) as string)") for c in flat_columns(schema)]
     if "aggregate" in checks:
-        for c in exact_columns(df.schema):
-            x = F.col(f"`{c}`")
+        for c in exact_columns(schema):
             # Integers are summed as decimals, so a sum over any number of rows cannot overflow.
-            wide = x if isinstance(df.schema[c].dataType, T.DecimalType) else x.cast("decimal(20,0)")
-            for fn, agg in (("sum", F.sum(wide)), ("min", F.min(wide)), ("max", F.max(wide))):
-                named.append(("aggregate", f"{c}.{fn}", decimal_text(agg)))
+            x = f"`{c}`" if isinstance(schema[c].dataType, T.DecimalType) else f"cast(`{c}` as decimal(20,0))"
+            named += [("aggregate", f"{c}.{fn}", decimal_text_sql(f"{fn}({x})")) for fn in ("sum", "min", "max")]
     if "checksum" in checks:
-        digest = F.sum(md5_slice(canonical_row(df)).cast("decimal(28,0)"))
-        named += [("checksum", "algorithm", F.lit(ALGORITHM)), ("checksum", "ordering", F.lit(ORDERING)),
-                  ("checksum", "value", F.coalesce(digest, F.lit(0).cast("decimal(28,0)")).cast("string"))]
+        named += [("checksum", "algorithm", f"'{ALGORITHM}'"), ("checksum", "ordering", f"'{ORDERING}'"),
+                  ("checksum", "value", f"cast(coalesce({row_digest_sql(schema)}, 0) as string)")]
     if "row_count" in checks:
-        named.append(("row_count", "rows", F.count(F.lit(1)).cast("string")))
+        named.append(("row_count", "rows", "cast(count(1) as string)"))
     out = []
     for at in range(0, len(named), MAX_EXPRESSIONS):
         part = named[at:at + MAX_EXPRESSIONS]
-        one = df.agg(F.count(F.lit(1)).alias("_n"), *[c.alias(f"_m{i}") for i, (_, _, c) in enumerate(part)])
-        rows = [F.struct(F.lit(table).alias("table"), F.lit(k).alias("check"), F.lit(i).alias("item"),
-                         F.col(f"_m{j}").alias("value"), F.col("_n").alias("row_count")) for j, (k, i, _) in enumerate(part)]
-        out.append(one.select(F.inline(F.array(*rows))))
+        one = df.selectExpr("count(1) as _n", *[f"{e} as _m{i}" for i, (_, _, e) in enumerate(part)])
+        rows = ", ".join(f"{_text(table)}, '{k}', {_text(i)}, _m{j}, _n" for j, (k, i, _) in enumerate(part))
+        out.append(one.selectExpr(f"stack({len(part)}, {rows}) as (table, check, item, value, row_count)"))
     return union(out)
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def schema_evidence(df: DataFrame, table: str) -> DataFrame:
     """One evidence row per column attribute; as many rows as the schema has columns."""
     rows = [(table, "schema", f"{path}.{what}", value, None)
@@ -86,9 +88,10 @@ def compare_evidence(source: DataFrame, target: DataFrame) -> DataFrame:
     s = source.select("table", "check", "item", F.col("value").alias("source"), F.col("row_count").alias("_sr"), F.lit(True).alias("_s"))
     t = target.select("table", "check", "item", F.col("value").alias("target"), F.col("row_count").alias("_tr"), F.lit(True).alias("_t"))
     j = s.join(t, ["table", "check", "item"], "full").na.fill(False, ["_s", "_t"])
-    # Whether a side reported the check at all; evidence is one row per column, so this is small.
-    sides = j.groupBy("table", "check").agg(F.bool_or("_s").alias("_hs"), F.bool_or("_t").alias("_ht"))
-    j = j.join(sides, ["table", "check"])
+    # Whether a side reported the check at all. Evidence has one row per column, so the
+    # window is small, and unlike a join it does not read the tables a second time.
+    w = W.partitionBy("table", "check")
+    j = j.withColumns({"_hs": F.bool_or("_s").over(w), "_ht": F.bool_or("_t").over(w)})
     count_like = F.col("check").isin("row_count", "null_distribution")
     bad_count = count_like & ((F.col("_s") & ~valid_count(F.col("source"))) | (F.col("_t") & ~valid_count(F.col("target"))))
     over = (F.col("check") == "null_distribution") & (

@@ -51,7 +51,9 @@ def main(args):
         else:
             wanted.append(a)
     if not wanted or any(w not in QUERIES for w in wanted):
-        plans.load()
+        for m in plans.MODULES:
+            if os.path.exists(os.path.join(os.path.dirname(plans.__file__), f"{m}.py")):
+                importlib.import_module(f"carryover.plans.{m}")
         wanted = wanted or list(QUERIES)
     spark = build_session("check", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g",

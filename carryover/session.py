@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 _round = itertools.count()
 
@@ -62,5 +62,14 @@ def settle(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle_counted(df: DataFrame, name: str, **counts) -> tuple[DataFrame, dict[str, int]]:
+    """``settle`` that also returns aggregates taken while the rows are written, so a loop
+    knows when to stop without a second job."""
+    obs = Observation(f"{name}-{next(_round)}")
+    out = settle(df.observe(obs, *[c.alias(k) for k, c in counts.items()]), name)
+    got = obs.get
+    return out, {k: got.get(k) or 0 for k in counts}
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -102,7 +102,7 @@ def estate_objects(t) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size")
     kind = _pick(KINDS, k % 27)
     sql = F.when(kind.isin(SQL_KINDS) & (k % 7 != 0), _pick(SQL_TEXTS, F.floor(k / 27) % len(SQL_TEXTS)))
-    size_bytes = F.when(k % 13 != 0, F.floor(F.col("p_retailprice") * 10000000).cast("long"))
+    size_bytes = F.when(k % 13 != 0, F.floor(F.col("p_retailprice") * 11800000).cast("long"))
     n_columns = (size % 6).cast("long")
     props = [F.lit("connection_type"), _pick(CONNECTION_TYPES, F.floor(k / 27) % 7),
              F.lit("database_engine"), _pick(ENGINES, F.floor(k / 27) % 3)]
@@ -164,7 +164,7 @@ OBJECTS_SQL = f"""
             {_sql_list(PROVENANCE)}[1 + p_partkey % 8] as discovered_from from part),
     estate_objects as (
         select k, source_id, 't' || k as name, kind, discovered_from,
-            case when k % 13 <> 0 then floor(p_retailprice * 10000000)::bigint end as size_bytes,
+            case when k % 13 <> 0 then floor(p_retailprice * 11800000)::bigint end as size_bytes,
             case when p_size % 3 <> 0 then 'ts' end as partition_field, case when p_size % 4 <> 0 then 'id' end as clustering_fields,
             case when kind in {tuple(SQL_KINDS)} and k % 7 <> 0 then {_sql_list(SQL_TEXTS)}[1 + (k // 27) % {len(SQL_TEXTS)}] end as sql,
             p_size % 6 as n_columns, {_sql_list(CONNECTION_TYPES)}[1 + (k // 27) % 7] as connection_type,

@@ -77,7 +77,7 @@ def undefined_frames(code: Column) -> Column:
 
 def io_formats(code: Column) -> tuple[Column, Column]:
     """Formats read and written, by ``format(..)`` or by method, across line continuations."""
-    flat = F.regexp_replace(code, r"\\?\s*\n\s*", "")
+    flat = F.regexp_replace(code, r"\s*\\?\s*\n\s*", "")
     names = ["option", "options", "mode", "partitionBy", "format", "load", "save", "schema", "bucketBy", "sortBy", "insertInto"]
     skip = F.array(*[F.lit(n) for n in names])
 

@@ -105,24 +105,17 @@ def verdict_violations(v: DataFrame) -> DataFrame:
 def check_files(spark: SparkSession, root: str, required: dict[str, list[str]]) -> DataFrame:
     """One status row per json, ipynb, sql or kql file below a folder, read whole.
 
-    ``required`` maps a file name to the fields its JSON must have. A file that does not
-    parse is a failed row.
+    ``required`` maps a path pattern to the fields a matching JSON file must have. A file
+    that does not parse is a failed row.
     """
-    from carryover.operators.lookups import map_literal
     from carryover.operators.secrets import credential_counts
     d = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{json,ipynb,sql,kql}").select(
         F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    name = F.element_at(F.split("file", "/"), -1)
     ext = F.element_at(F.split("file", r"\."), -1)
-    is_json = ext.isin("json", "ipynb")
-    parsed = F.try_parse_json("text")
-    top = F.from_json("text", "map<string,string>")
-    obj = parsed.isNotNull() & F.ltrim("text").startswith("{")
-    need = F.coalesce(F.try_element_at(map_literal([(k, ",".join(v)) for k, v in required.items()]), name), F.lit("")) if required else F.lit("")
-    missing = F.filter(F.split(need, ","), lambda f: (f != "") & ~F.coalesce(F.array_contains(F.map_keys(top), f), F.lit(False)))
-    leaks = F.transform(credential_counts(F.col("text")), lambda x: x["family"])
-    problems = F.array_compact(F.concat(
-        F.transform(leaks, lambda f: F.concat(F.lit("credential:"), f)),
-        F.array(F.when(is_json & ~obj, "not a JSON object"), F.when((ext == "ipynb") & obj & ~F.coalesce(F.array_contains(F.map_keys(top), "cells"), F.lit(False)), "no cells")),
-        F.when(is_json & obj, F.transform(missing, lambda f: F.concat(F.lit("missing:"), f))).otherwise(F.array().cast("array<string>"))))
+    obj = F.try_parse_json("text").isNotNull() & F.ltrim("text").startswith("{")
+    fields = F.coalesce(F.map_keys(F.from_json("text", "map<string,string>")), F.array().cast("array<string>"))
+    rules = [("ipynb$", ["cells"]), *required.items()]
+    missing = [F.when(obj & F.col("file").rlike(p) & ~F.array_contains(fields, f), f"missing:{f}") for p, fs in rules for f in fs]
+    leaks = F.transform(credential_counts(F.col("text")), lambda x: F.concat(F.lit("credential:"), x["family"]))
+    problems = F.array_compact(F.concat(leaks, F.array(F.when(ext.isin("json", "ipynb") & ~obj, "not a JSON object"), *missing)))
     return d.select("file", F.when(F.size(problems) > 0, "failed").otherwise("passed").alias("status"), F.array_join(problems, ",").alias("problems"))

@@ -81,7 +81,9 @@ def flatten_json(df: DataFrame, key: str, text: str, max_depth: int = 8) -> Data
     d = df.select(key, F.lit("").alias("path"), F.lit("").alias("name"), F.col(text).alias("value"))
     leaves = None
     for _ in range(max_depth):
-        is_obj, is_arr = F.col("value").startswith("{"), F.col("value").startswith("[")
+        # Text that only looks like JSON, such as a template, is a leaf.
+        nested = F.col("value").rlike(r"^[\[{]") & F.try_parse_json("value").isNotNull()
+        is_obj, is_arr = nested & F.col("value").startswith("{"), nested & F.col("value").startswith("[")
         done = d.where(~F.coalesce(is_obj | is_arr, F.lit(False)))
         leaves = done if leaves is None else leaves.unionByName(done)
         inner = d.where(is_obj | is_arr)

@@ -76,11 +76,13 @@ def sql_split(t):
     return d.join(n, "id").select("id", F.col("position").cast("long").alias("position"), "of_n")
 
 
-@query("sql_complexity", f"""
-    select p_partkey as id, case when length({_expect(0)}) > 60 then 'long' else 'short' end as size, true as in_range from part""")
+_CLEAN = f"regexp_replace({_expect(0)}, {_quote(S.NOISE)}, repeat(chr(39), 2), 'g')"
+
+
+@query("sql_complexity", "with q as (select p_partkey as id, " + _CLEAN + r""" as c from part)
+    select id, least(100, len(regexp_extract_all(c, '\w+|[^\s\w]')) + len(list_distinct(regexp_extract_all(c, '[A-Z_]{2,}'))))::bigint as score from q""")
 def sql_complexity(t):
-    d = sql_log(t).withColumn("score", S.complexity(F.col("sql")))
-    return d.select("id", F.when(F.length("sql") > 60, "long").otherwise("short").alias("size"), F.col("score").between(10, 100).alias("in_range"))
+    return sql_log(t).select("id", S.complexity(F.col("sql")).cast("long").alias("score"))
 
 
 # ------------------------------------------------------------------ credentials

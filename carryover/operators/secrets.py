@@ -74,26 +74,31 @@ def redact_map(properties: Column) -> Column:
     return F.transform_values(properties, redact_value)
 
 
-def flatten_json(df: DataFrame, key: str, text: str, max_depth: int = 8) -> DataFrame:
-    """(key, path, name, value) for every leaf of a JSON text. Each level is one explode of
-    the objects and arrays still open; the frame keeps only leaves."""
-    obj, arr = "map<string,string>", "array<string>"
-    d = df.select(key, F.lit("").alias("path"), F.lit("").alias("name"), F.col(text).alias("value"))
-    leaves = None
-    for _ in range(max_depth):
-        # Text that only looks like JSON, such as a template, is a leaf.
-        nested = F.col("value").rlike(r"^[\[{]") & F.try_parse_json("value").isNotNull()
-        is_obj, is_arr = nested & F.col("value").startswith("{"), nested & F.col("value").startswith("[")
-        done = d.where(~F.coalesce(is_obj | is_arr, F.lit(False)))
-        leaves = done if leaves is None else leaves.unionByName(done)
-        inner = d.where(is_obj | is_arr)
-        asm = F.when(is_obj, F.from_json("value", obj))
-        items = F.transform(F.when(is_arr, F.from_json("value", arr)), lambda x, i: F.struct(F.concat(F.lit("["), i, F.lit("]")).alias("k"), x.alias("v")))
-        pairs = F.coalesce(F.transform(F.map_entries(asm), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("k"), e["value"].alias("v"))), items)
-        inner = inner.select(key, "path", "name", F.explode(pairs).alias("p"))
-        d = inner.select(key, F.concat("path", "p.k").alias("path"),
-                         F.when(F.col("p.k").startswith("."), F.substring("p.k", 2, 1000)).otherwise(F.col("name")).alias("name"), F.col("p.v").alias("value"))
-    return leaves.unionByName(d).where("path <> ''").withColumn("path", F.regexp_replace("path", r"^\.", ""))
+def json_leaves(text: Column, depth: int = 8) -> Column:
+    """Array of struct(path, name, value) for every leaf of a JSON text.
+
+    Each pass opens one more level of all entries inside the row, so the text is read once
+    however deep it nests. Text that only looks like JSON, such as a template, is a leaf.
+    """
+    entry = lambda path, name, value: F.struct(path.alias("path"), name.alias("name"), value.alias("value"))
+
+    def open_one(x):
+        v = x["value"]
+        is_obj = v.startswith("{") & F.try_parse_json(v).isNotNull()
+        is_arr = v.startswith("[") & F.try_parse_json(v).isNotNull()
+        dot = F.when(x["path"] == "", "").otherwise(".")
+        fields = F.transform(F.map_entries(F.from_json(v, "map<string,string>")), lambda e: entry(F.concat(x["path"], dot, e["key"]), e["key"], e["value"]))
+        items = F.transform(F.from_json(v, "array<string>"), lambda e, i: entry(F.concat(x["path"], F.lit("["), i.cast("string"), F.lit("]")), x["name"], e))
+        return F.when(is_obj, fields).when(is_arr, items).otherwise(F.array(entry(x["path"], x["name"], v)))
+
+    out = F.array(entry(F.lit(""), F.lit(""), text))
+    for _ in range(depth):
+        out = F.flatten(F.transform(out, open_one))
+    return out
+
+
+def flatten_json(df: DataFrame, key: str, text: str, depth: int = 8) -> DataFrame:
+    return df.select(key, F.explode(json_leaves(F.col(text), depth)).alias("_l")).select(key, "_l.*").where("path <> ''")
 
 
 # expressions that resolve a secret at run time (fixed values)

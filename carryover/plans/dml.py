@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from carryover.functions.canonical import money
 from carryover.operators import dml, steps
 from carryover.plans.registry import query
+from carryover.session import settle
 
 
 @query("dml_insert", """
@@ -64,11 +65,12 @@ def script_loop(t):
     """DECLARE/SET/WHILE: one step per year appends a running total; the loop variable
     lives on the driver, the data never does."""
     spark = t.spark
-    yearly = t.orders.groupBy(F.year("o_orderdate").cast("long").alias("yr")).agg(F.count("*").alias("n"))
+    # Written once: every step of the loop reads the small table, not the orders.
+    yearly = settle(t.orders.groupBy(F.year("o_orderdate").cast("long").alias("yr")).agg(F.count("*").alias("n")), "yearly")
     out, yr = None, 1995
     while yr <= 2001:
-        step = spark.sql("select cast({y} as bigint) as yr, coalesce(sum(n), 0) as total from {d} where yr <= {y}",
-                         y=F.lit(yr), d=yearly)
+        step = spark.sql("select cast(:y as bigint) as yr, coalesce(sum(n), 0) as total from {d} where yr <= :y",
+                         args={"y": yr}, d=yearly)
         out = step if out is None else out.unionByName(step)
         yr += 1
     return out

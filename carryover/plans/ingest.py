@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from carryover.plans.registry import query
+from carryover.session import spread
 from carryover.sources import ingest as I
 
 
@@ -152,7 +153,7 @@ def external_components_ingest(t):
     select 'p.dataflow.r' || (l_suppkey % 3) || '.' || l_orderkey as source_id, max_by(l_partkey, l_partkey * 1000000 + l_extendedprice)::varchar as name,
         max_by(l_returnflag = 'R', l_partkey * 1000000 + l_extendedprice) as streaming from lineitem group by 1""")
 def dataflow_jobs_ingest(t):
-    d = _json(t.lineitem, {"id": "cast(l_orderkey as string)", "name": "cast(l_partkey as string)", "type": "if(l_returnflag = 'R', 'JOB_TYPE_STREAMING', 'JOB_TYPE_BATCH')"},
+    d = _json(spread(t.lineitem, "l_orderkey"), {"id": "cast(l_orderkey as string)", "name": "cast(l_partkey as string)", "type": "if(l_returnflag = 'R', 'JOB_TYPE_STREAMING', 'JOB_TYPE_BATCH')"},
               "concat('r', l_suppkey % 3) as region", "l_partkey * 1000000 + l_extendedprice as position")
     return I.dataflow_jobs(d, "p").select("source_id", "name", "streaming")
 
@@ -178,7 +179,7 @@ def clusters_ingest(t):
         case when l_linestatus = 'O' and l_tax = 0 then 'streaming' when l_returnflag = 'R' then case when l_discount = 0.1 then 'ml_training' else 'data_engineering' end else 'unknown' end as workload_type,
         coalesce(case when s_acctbal > 0 then '2.' || s_nationkey else 'unknown' end, 'unknown') as runtime_version from lineitem left join supplier on l_suppkey = s_suppkey""")
 def dataproc_jobs_ingest(t):
-    d = _json(t.lineitem.join(t.supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"), "left"), {
+    d = _json(spread(t.lineitem, "l_orderkey", "l_linenumber").join(t.supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"), "left"), {
         "reference": "named_struct('jobId', concat(if(l_discount = 0.1, 'train', 'etl'), l_orderkey, '-', l_linenumber, '-', l_partkey))",
         "placement": "named_struct('clusterName', s_name)", "labels": "if(l_linestatus = 'O' and l_tax = 0, map('workflow', 'streaming'), null)",
         "pysparkJob": "if(l_returnflag = 'R', named_struct('x', 1), null)", "hiveJob": "if(l_returnflag = 'A', named_struct('x', 1), null)"}, "'eu' as region")

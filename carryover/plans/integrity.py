@@ -59,7 +59,7 @@ def _ledger(t):
     v = F.when(F.col("l_linestatus") == "F", "changes_requested").otherwise("accepted")
     return t.lineitem.select(
         F.col("l_orderkey").alias("slice"), F.col("l_returnflag").alias("reviewer"), F.col("l_linenumber").cast("long").alias("round"),
-        (F.col("l_suppkey") % 2).alias("owner"), v.alias("verdict"), F.xxhash64(*t.lineitem.columns).alias("_h"), "l_partkey", "l_extendedprice", "l_shipdate", "l_quantity")
+        (F.col("l_suppkey") % 2).alias("owner"), v.alias("verdict"), "l_partkey", "l_extendedprice", "l_quantity")
 
 
 _LEDGER = """

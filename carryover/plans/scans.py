@@ -10,6 +10,7 @@ from carryover.operators import codescan as C
 from carryover.operators import secrets as X
 from carryover.operators import sqlscan as S
 from carryover.plans.registry import query
+from carryover.session import spread
 
 
 def _quote(s):
@@ -100,7 +101,7 @@ SNIPPETS = [
 
 def dirty_documents(t):
     """Every document in full, most of them with a planted credential at the end."""
-    return t.documents.select("doc_id", F.concat("text", _pick(SNIPPETS, F.col("doc_id") % len(SNIPPETS))).alias("text"))
+    return spread(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", F.concat("text", _pick(SNIPPETS, F.col("doc_id") % len(SNIPPETS))).alias("text"))
 
 
 _DIRTY = "with d as (select doc_id, text || [" + ", ".join(_quote(s) for s in SNIPPETS) + f"][1 + doc_id % {len(SNIPPETS)}] as text from documents)"

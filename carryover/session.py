@@ -71,5 +71,14 @@ def settle_counted(df: DataFrame, name: str, **counts) -> tuple[DataFrame, dict[
     return out, {k: got.get(k) or 0 for k in counts}
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread a plain scan that has fewer splits than the cluster has cores, so that
+    heavy expressions on its rows run everywhere. A large scan has enough splits and is
+    left alone: this never shuffles big data."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan if splits >= cores else scan.repartition(cores, *keys)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carryover.operators.typemap import TYPE_ALIASES, TYPE_RULES
+from carryover.session import spread
 
 # component kinds (fixed values)
 KINDS = [
@@ -108,7 +109,7 @@ def estate_objects(t) -> DataFrame:
              F.lit("database_engine"), _pick(ENGINES, F.floor(k / 27) % 3)]
     for no, name in enumerate(PROPERTY_NAMES):
         props += [F.lit(name), _property(k, no, name)]
-    d = t.part.select(
+    d = spread(t.part, "p_partkey").select(
         k.alias("k"), F.concat(F.lit("proj-est.d"), k % 20, F.lit(".t"), k).alias("source_id"),
         F.concat(F.lit("t"), k).alias("name"), F.concat(F.lit("d"), k % 20).alias("dataset"), kind.alias("kind"),
         _pick(PROVENANCE, k % 8).alias("discovered_from"), size_bytes.alias("size_bytes"),
@@ -122,7 +123,7 @@ def estate_objects(t) -> DataFrame:
 
 def estate_columns(t) -> DataFrame:
     k = F.col("p_partkey")
-    d = t.part.where("p_size % 6 > 0").select(
+    d = spread(t.part.where("p_size % 6 > 0"), "p_partkey").select(
         F.concat(F.lit("proj-est.d"), k % 20, F.lit(".t"), k).alias("source_id"), k.alias("k"),
         F.explode(F.sequence(F.lit(0), F.expr("p_size % 6 - 1"))).alias("j"))
     n = F.col("k") + F.col("j")

@@ -75,16 +75,22 @@ def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def downstream(seeds: DataFrame, edges: DataFrame, include_seeds: bool = False) -> DataFrame:
     """Everything that depends on a seed, directly or not. Each round joins only the
-    newly reached nodes."""
+    newly reached nodes.
+
+    Further columns of ``seeds`` are labels that travel along: several closures over the
+    same edges then take one loop instead of one each.
+    """
+    labels = [c for c in seeds.columns if c != "id"]
+    keys = ["id", *labels]
     e = edges.select("child", "parent")
-    front, n = settle_counted(seeds.select("id").distinct(), "front", n=F.count(F.lit(1)))
+    front, n = settle_counted(seeds.select(*keys).distinct(), "front", n=F.count(F.lit(1)))
     seen = [front] if include_seeds else []
     for _ in range(MAX_ROUNDS):
         if n["n"] == 0:
             break
-        step = e.join(front.select(F.col("id").alias("parent")), "parent", "left_semi").select(F.col("child").alias("id")).distinct()
-        for s in ([reduce(lambda a, b: a.unionByName(b), seen)] if seen else []):
-            step = step.join(s, "id", "left_anti")
+        step = e.join(front.withColumnRenamed("id", "parent"), "parent").select(F.col("child").alias("id"), *labels).distinct()
+        if seen:
+            step = step.join(reduce(lambda a, b: a.unionByName(b), seen), keys, "left_anti")
         front, n = settle_counted(step, "front", n=F.count(F.lit(1)))
         seen.append(front)
     else:
@@ -99,14 +105,16 @@ def on_cycle(edges: DataFrame) -> DataFrame:
     return core.select(F.col("child").alias("id")).unionByName(core.select(F.col("parent").alias("id"))).distinct()
 
 
-def taint(seeds: DataFrame, edges: DataFrame, ordered: DataFrame, direct: str, derived: str) -> DataFrame:
-    """Reason per tainted node: seeds get ``direct``, what depends on them ``derived``.
-    Only nodes that were put in order carry the taint on."""
+def taint(seeds: DataFrame, edges: DataFrame, ordered: DataFrame) -> DataFrame:
+    """``id, reason`` of tainted nodes. ``seeds``: id, direct, derived. A seed keeps its
+    direct reason, what depends on it gets the derived one; only nodes that were put in
+    order carry a taint on. All kinds of taint travel in one loop."""
     e = edges.join(ordered.select(F.col("id").alias("child")), "child", "left_semi")
-    s = seeds.join(ordered.select("id"), "id", "left_semi").select("id").distinct()
-    all_ = downstream(s, e, include_seeds=True)
-    mark = s.select("id", F.lit(True).alias("_seed"))
-    return all_.join(mark, "id", "left").select("id", F.when(F.col("_seed"), direct).otherwise(derived).alias("reason"))
+    s = seeds.join(ordered.select("id"), "id", "left_semi").select("id", "direct", "derived").distinct()
+    reached = downstream(s, e, include_seeds=True)
+    mark = s.withColumn("_seed", F.lit(True))
+    return reached.join(mark, ["id", "direct", "derived"], "left").select(
+        "id", F.when(F.col("_seed"), F.col("direct")).otherwise(F.col("derived")).alias("reason"))
 
 
 def wave_dependencies(waves_: DataFrame, edges: DataFrame) -> DataFrame:

@@ -82,8 +82,9 @@ def _seed(objects):
 def taint_propagation(t):
     e = estate_edges(t, cyclic=True)
     w = G.waves(nodes(t), e)
-    return G.taint(_seed(estate_objects(t)), e, w.where("not stuck"), "incomplete_dataform_compilation",
-                   "depends_on_incomplete_dataform_compilation")
+    seeds = _seed(estate_objects(t)).withColumns({"direct": F.lit("incomplete_dataform_compilation"),
+                                                  "derived": F.lit("depends_on_incomplete_dataform_compilation")})
+    return G.taint(seeds, e, w.where("not stuck"))
 
 
 @query("wave_dependencies", EDGES_SQL + WAVES_SQL.format(edges="estate_edges") + """

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from carryover.operators import graph as G
 from carryover.operators import rules as R
 from carryover.operators import sqlscan, typemap
+from carryover.operators.lookups import map_literal
 from carryover.plans.estate_graph import CONSUMERS_SQL, WAVES_SQL, nodes, stream_seeds
 from carryover.plans.registry import query
 from carryover.session import settle
@@ -211,20 +212,29 @@ _REASONS = _ASSESSED + WAVES_SQL.format(edges="estate_edges") + """,
     item as (select source_id as id, kind, compatibility, wave, target, (select count(*) from hits where hits.id = source_id and r is not null) as n_reasons from big join waves on waves.id = source_id)"""
 
 
+# finding code, reason of the component itself, reason of what depends on it
+TAINTS = [
+    ("EXTERNAL_PAYLOAD_INCOMPLETE_ADAPTER", "incomplete_external_adapter", "depends_on_incomplete_external_adapter"),
+    ("DATAFORM_COMPILATION_DETAILS_UNAVAILABLE", "incomplete_dataform_compilation", "depends_on_incomplete_dataform_compilation"),
+]
+
+
 def plan_items(t, d, findings_, w):
     e = estate_edges(t)
-    seeds = lambda code: findings_.where(F.col("code") == code).select(F.col("source_id").alias("id"))
-    ordered = w.where("not stuck")
-    a = G.taint(seeds("EXTERNAL_PAYLOAD_INCOMPLETE_ADAPTER"), e, ordered, "incomplete_external_adapter", "depends_on_incomplete_external_adapter")
-    b = G.taint(seeds("DATAFORM_COMPILATION_DETAILS_UNAVAILABLE"), e, ordered, "incomplete_dataform_compilation", "depends_on_incomplete_dataform_compilation")
-    return R.review_reasons(d, findings_, G.external_deps(nodes(t), e), a.unionByName(b), w)
+    pick = lambda i: map_literal([(x[0], x[i]) for x in TAINTS])[F.col("code")]
+    seeds = findings_.where(F.col("code").isin([x[0] for x in TAINTS])).select(
+        F.col("source_id").alias("id"), pick(1).alias("direct"), pick(2).alias("derived"))
+    return R.review_reasons(d, findings_, G.external_deps(nodes(t), e), G.taint(seeds, e, w.where("not stuck")), w)
 
 
-def full_plan(t):
-    """Assessment, findings, waves and plan items, each settled once and then reused."""
+def assessment(t):
+    """Assessed components, findings and waves, each settled once and then reused."""
     d = settle(assessed(t), "assessed")
-    f = settle(all_findings(t, d), "findings")
-    w = settle(G.waves(nodes(t), estate_edges(t)), "waves")
+    return d, settle(all_findings(t, d), "findings"), G.waves(nodes(t), estate_edges(t))
+
+
+def full_plan(t):
+    d, f, w = assessment(t)
     return d, f, w, settle(plan_items(t, d, f, w), "items")
 
 
@@ -269,7 +279,7 @@ def portfolio_summary(t):
         count_if(parity_status = 'not_run')::bigint as parity_not_run, case when coalesce(any_value(blocking), 0) > 0 then 'blocked' else 'not_recorded' end as security_status,
         count(distinct discovered_from)::bigint as provenances from big join waves on id = source_id left join sec using (wave) group by 1""")
 def wave_signoff(t):
-    d, f, w, _ = full_plan(t)
+    d, f, w = assessment(t)
     j = d.join(w.select(F.col("id").alias("source_id"), "wave"), "source_id")
     st = F.col("parity_status")
     g = j.groupBy("wave").agg(F.count("*").alias("items"), F.count_if(st == "passed").alias("parity_passed"), F.count_if(st == "failed").alias("parity_failed"),

@@ -46,8 +46,10 @@ def test_downstream_and_taint(spark):
     n, e = frames(spark, ["ext", "t", "v", "free"], [("t", "ext"), ("v", "t")])
     seeds = spark.createDataFrame([("ext",)], "id string")
     assert {r.id for r in G.downstream(seeds, e).collect()} == {"t", "v"}
-    got = {r.id: r.reason for r in G.taint(seeds, e, n, "direct", "depends").collect()}
-    assert got == {"ext": "direct", "t": "depends", "v": "depends"}
+    two = spark.createDataFrame([("ext", "direct", "depends"), ("t", "own", "after")], "id string, direct string, derived string")
+    got = sorted((r.id, r.reason) for r in G.taint(two, e, n).collect())
+    assert got == [("ext", "direct"), ("t", "depends"), ("t", "own"), ("v", "after"), ("v", "depends")]
+    assert {r.id for r in G.taint(two, e, n.where("id <> 't'")).collect()} == {"ext"}
 
 
 def test_downstream_of_a_cycle_ends(spark):

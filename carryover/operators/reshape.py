@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carryover.functions.canonical import md5_bucket
+from carryover.functions.canonical import md5_slice
 
 
 def star_replace(df: DataFrame, **columns: Column) -> DataFrame:
@@ -21,11 +21,18 @@ def unpivot_long(df: DataFrame, ids: list[str], values: list[str], metric="metri
     return df.unpivot(ids, values, metric, value)
 
 
-def item_arrays(df: DataFrame, keys: list[str], fields: dict[str, str], unit: Column, chunks: int = 64) -> DataFrame:
-    """Nest child rows into arrays per key, in at most ``chunks`` rows per key so that a
-    hot key never becomes one array. Every child row is kept."""
+def item_arrays(df: DataFrame, keys: list[str], fields: dict[str, str], unit: Column, limit: int = 10_000) -> DataFrame:
+    """Nest child rows into arrays per key, about ``limit`` items each.
+
+    A key with more rows gets as many arrays as it needs, spread by the hash of ``unit``,
+    so no array grows with the data. Every child row is kept.
+    """
     s = F.struct(*[F.col(c).alias(n) for n, c in fields.items()])
-    return df.groupBy(*keys, md5_bucket(unit, chunks).alias("chunk")).agg(F.collect_list(s).alias("items"))
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    large = large.select(*keys, F.ceil(F.col("_n") / limit).alias("_chunks"))
+    d = df.join(large, keys, "left")  # the right side is unique per key: skew splits freely
+    chunk = F.when(F.col("_chunks").isNull(), 0).otherwise(F.pmod(md5_slice(unit, 7).cast("long"), F.col("_chunks")))
+    return d.groupBy(*keys, chunk.alias("chunk")).agg(F.collect_list(s).alias("items"))
 
 
 def date_hierarchy(df: DataFrame, date: str, measures: dict[str, Column]) -> DataFrame:

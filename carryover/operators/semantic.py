@@ -142,9 +142,12 @@ def semantic_query(ex: Explore, dimensions: list[str], measures: list[str], filt
         out = parts[0]
         for p in parts[1:]:
             cond = [out[n].eqNullSafe(p[n]) for n in names]
-            joined = out.join(p, cond, "full") if cond else out.join(p.withColumn("_1", F.lit(1)), F.col("_1") == 1)
+            if not cond:  # one row each
+                out = out.withColumns({c: p.select(c).scalar() for c in p.columns})
+                continue
+            joined = out.join(p, cond, "full")
             out = joined.select(*[F.coalesce(out[n], p[n]).alias(n) for n in names],
-                                *[c for c in joined.columns if c not in names and c != "_1"])
+                                *[c for c in joined.columns if c not in names])
     if sorts:
         out = out.orderBy(*[F.desc(s[1:]) if s.startswith("-") else F.asc(s) for s in sorts])
     return out.limit(limit) if limit else out

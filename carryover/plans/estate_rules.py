@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from carryover.operators import graph as G
@@ -265,11 +263,11 @@ def stage_readiness(t):
 def portfolio_summary(t):
     d, f, w, items = full_plan(t)
     sc = R.component_scores(d, f)
-    a = sc.agg(F.bround(F.avg("score"), 0).cast("long").alias("score"), F.bround(F.avg("coverage"), 0).cast("long").alias("evidence_coverage"), F.count("*").alias("components"))
-    b = f.agg(F.count("*").alias("findings"), F.count_if(F.col("severity") == "FAIL").alias("blockers"))
-    c = items.agg(F.count_if(F.size("reasons") > 0).alias("manual_reviews"))
-    e = G.external_deps(nodes(t), estate_edges(t)).agg(F.count("*").alias("unresolved"))
-    one = reduce(lambda x, y: x.join(y, "_1"), [x.withColumn("_1", F.lit(1)) for x in (a, b, c, e)]).drop("_1")
+    one = sc.agg(F.bround(F.avg("score"), 0).cast("long").alias("score"), F.bround(F.avg("coverage"), 0).cast("long").alias("evidence_coverage"), F.count("*").alias("components"))
+    one = one.withColumns({
+        "findings": f.agg(F.count("*")).scalar(), "blockers": f.agg(F.count_if(F.col("severity") == "FAIL")).scalar(),
+        "manual_reviews": items.agg(F.count_if(F.size("reasons") > 0)).scalar(),
+        "unresolved": G.external_deps(nodes(t), estate_edges(t)).agg(F.count("*")).scalar()})
     return one.withColumn("status", F.when((F.col("blockers") > 0) | (F.col("unresolved") > 0), "blocked").otherwise("review_required"))
 
 
@@ -310,8 +308,8 @@ def orchestration_candidates(t):
 def readiness_gate(t):
     c = mapped(t).agg(F.count_if(F.col("compatibility") == "unsupported").alias("unsupported"), F.count_if(F.col("parity_status") == "failed").alias("parity_failed"),
                       F.count_if(F.col("compatibility") == "redesign").alias("redesign"))
-    x = G.external_deps(nodes(t), estate_edges(t)).agg(F.count("*").alias("unresolved"))
-    return R.readiness_gate(c.withColumn("_1", F.lit(1)).join(x.withColumn("_1", F.lit(1)), "_1").drop("_1"))
+    unresolved = G.external_deps(nodes(t), estate_edges(t)).agg(F.count("*")).scalar()
+    return R.readiness_gate(c.withColumn("unresolved", unresolved))
 
 
 @query("workload_route", _MAPPED + """

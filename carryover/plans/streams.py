@@ -151,9 +151,8 @@ def stream_cdc_apply(t):
     op = F.when(F.col("event_type") == "error", "delete").otherwise("update")
     ch = stream(t).select(F.col("user_id").alias("id"), F.col("event_type").alias("state"), "value", op.alias("op"), "ts", "event_id")
     path = scratch(t.spark, "cdc")
-    q = S.run_batches(ch, S.cdc_sink(base, path, ["id"], ["ts", "event_id"]), path + "-ckpt")
-    last = q.lastProgress["batchId"]
-    return t.spark.read.schema(base.schema).parquet(f"{path}/v={last}")
+    S.run_batches(ch, S.cdc_sink(path, ["id"], ["ts", "event_id"]), path + "-ckpt")
+    return S.cdc_table(base, path, ["id"], ["ts", "event_id"])
 
 
 @query("stream_static_enrich", """

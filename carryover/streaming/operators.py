@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from carryover.operators.dml import apply_changes
 from carryover.operators.lookups import broadcast_if_small
+from carryover.operators.windows import latest_per_key
 from carryover.sources.sinks import overwrite_partitions
 
 
@@ -44,6 +45,8 @@ def windowed(df: DataFrame, time: str, lateness: str, width: str, slide: str | N
 
 
 def sessions(df: DataFrame, time: str, lateness: str, gap: str, keys: list[str], aggs: list) -> DataFrame:
+    """Session windows; sessions are merged per task first, so a busy key is pre-reduced."""
+    df.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     g = df.withWatermark(time, lateness).groupBy(F.session_window(time, gap).alias("w"), *keys).agg(*aggs)
     return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *[c for c in g.columns if c != "w"])
 
@@ -61,16 +64,19 @@ def idempotent_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def cdc_sink(base: DataFrame, path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """Apply a change stream to a table kept in numbered versions. Version n is the table
-    after batch n, so a replayed batch starts from the same version it started from."""
+def cdc_sink(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
+    """Store the newest change per key of each batch under the batch id.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = base if batch_id == 0 else spark.read.schema(base.schema).parquet(f"{path}/v={batch_id - 1}")
-        apply_changes(before, batch, keys, order).select(*base.columns).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+    A batch writes only what it changed, however large the table is; the same batch sent
+    again replaces itself.
+    """
+    store = idempotent_sink(path)
+    return lambda batch, batch_id: store(latest_per_key(batch, keys, order), batch_id)
 
-    return write
+
+def cdc_table(base: DataFrame, path: str, keys: list[str], order: list[str]) -> DataFrame:
+    """The table with all stored changes applied; write the result to start a new base."""
+    return apply_changes(base, base.sparkSession.read.parquet(path), keys, order)
 
 
 def enrich(stream: DataFrame, static: DataFrame, on, how: str = "left") -> DataFrame:

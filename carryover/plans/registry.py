@@ -19,6 +19,8 @@ class Tables:
     """Lazy access to the parquet tables below one folder."""
 
     def __init__(self, spark: SparkSession, root: str):
+        # Civil times are compared with SQL that knows no zone; pin it whatever the session has.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.root = spark, root.rstrip("/")
 
     def path(self, name: str) -> str:

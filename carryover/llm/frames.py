@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from carryover.llm.text import pieces
 
@@ -27,7 +28,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], out: d
     columns of ``keep`` are copied from there. Returning None emits nothing."""
     keep = list(keep)
     schema = T.StructType([df.schema[k] for k in keep] + [T.StructField(k, t) for k, t in out.items()])
-    kinds = [ARROW[t] for t in out.values()]
+    kinds = [ARROW[t] if t in ARROW else to_arrow_type(t) for t in out.values()]
     names = keep + list(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -174,7 +174,8 @@ def verify(pairs: DataFrame, own: DataFrame, info: DataFrame, n: int) -> DataFra
     """The pairs (a, b) of classes that link, decided on the full sets. Texts are read again
     for one representative of each class in question."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(info.select("cls", "rep"), "cls")
-    texts = own.join(need.select(F.col("rep").alias("_id"), F.col("cls").alias("want")), "_id").select("want", "text")
+    # the same join at every size: how many classes are in question follows the corpus
+    texts = own.join(need.select(F.col("rep").alias("_id"), F.col("cls").alias("want")).hint("merge"), "_id").select("want", "text")
     sets = settle(read_members(texts, n).filter("cls = want").select("cls", "grams").dropDuplicates(["cls"]), "sets")
     both = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga")), "a")
             .join(sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb")), "b"))

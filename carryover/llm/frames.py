@@ -37,7 +37,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], out: d
             if got is None:
                 continue
             rows = got.get("_rows")
-            kept = [piece.column(k) if rows is None else piece.column(k).take(pa.array(rows)) for k in keep]
+            kept = [piece.column(k) if rows is None else piece.column(k).take(pa.array(rows, pa.int64())) for k in keep]
             made = [v if isinstance(v := got[k], (pa.Array, pa.ChunkedArray)) else pa.array(v, kind) for k, kind in zip(out, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(kept + made, names=names)
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carryover.llm.frames import LONG, STRING, arrow_map, chosen
+from carryover.llm.frames import BOOL, LONG, STRING, arrow_map, chosen
 from carryover.llm.text import strings
 from carryover.llm.urls import host_of
 from carryover.session import settle
@@ -46,6 +46,8 @@ ROOTS = ("article", "main")
 HEADS = frozenset("header masthead topbar".split())
 #: A subtree recurs on at least so many pages; inside a marked article, on so many.
 MIN_PAGES, MIN_ROOTED = 3, 20
+#: Hosts with templates that fit a broadcast; each has a few dozen subtrees of 8 bytes.
+FEW_HOSTS = 50_000
 
 
 @dataclass
@@ -120,6 +122,8 @@ def read_page(page: str) -> list[Block]:
         if not tag:
             continue
         if m[1]:
+            if tag in BLOCK:
+                end_block()
             if tag in BLOCK or tag in DROPPED:
                 close_while({tag}, {"article"} - {tag} if tag not in ("main", "body", "html") else set())
             elif any(e.tag == tag for e in stack):
@@ -174,44 +178,55 @@ def _main(blocks: list[Block], kinds: dict[int, str]) -> list[Block]:
     return blocks
 
 
-def read_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """Per row: host, texts of the blocks, and for each the subtrees around it."""
-    own = chosen(pages, _id=id_col, _url=url_col, text=html_col).withColumn("_host", host_of(F.col("_url"))).withColumn("_row", F.monotonically_increasing_id())
+def _own(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    return chosen(pages, _id=id_col, _url=url_col, text=html_col).withColumn("_host", host_of(F.col("_url")))
+
 
+def page_subtrees(own: DataFrame) -> DataFrame:
+    """Per page: host, whether its text is a marked article, and its subtrees that hold text."""
     def read(b: pa.RecordBatch) -> dict:
         found = [read_page(p) for p in strings(b.column("text"))]
-        return {"blocks": [[x.text for x in p] for p in found], "around": [[x.around for x in p] for p in found],
-                "rooted": [int(bool(p) and p[0].root > 0) for p in found]}
+        return {"rooted": [bool(p) and p[0].root > 0 for p in found], "subtrees": [sorted({h for x in p for h in x.around}) for p in found]}
 
-    out = {"blocks": T.ArrayType(STRING), "around": T.ArrayType(T.ArrayType(LONG)), "rooted": LONG}
-    return arrow_map(own, read, out, ["_id", "_url", "_host", "_row"])
+    return arrow_map(own.select("_host", "text"), read, {"rooted": BOOL, "subtrees": T.ArrayType(LONG)}, ["_host"])
 
 
-def recurring(read: DataFrame, share: float, rooted_share: float) -> DataFrame:
-    """(_row, drop): for each page, its subtrees that recur on at least ``MIN_PAGES`` pages and
-    a ``share`` of all pages of its host. Inside a marked article it takes ``MIN_ROOTED`` pages
-    and ``rooted_share``, so that copies of one article on a site are no template."""
-    pages = read.groupBy("_host").agg(F.count("*").alias("pages"))
-    seen = read.select("_row", "_host", "rooted", F.explode(F.array_distinct(F.flatten("around"))).alias("subtree"))
-    often = (seen.groupBy("_host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES)
-             .join(pages, "_host").withColumn("of", F.col("n") / F.col("pages")).filter(F.col("of") >= share)
-             .select("_host", "subtree", "of", "n"))
-    rooted = (F.col("of") >= rooted_share) & (F.col("n") >= MIN_ROOTED)
-    return (seen.join(often, ["_host", "subtree"]).filter((F.col("rooted") == 0) | rooted)
-            .groupBy("_row").agg(F.collect_set("subtree").alias("drop")))  # at most the subtrees of one page
+def recurring(seen: DataFrame, share: float, rooted_share: float) -> DataFrame:
+    """Per host, the subtrees on at least ``MIN_PAGES`` pages and a ``share`` of all its pages;
+    ``rooted`` has those that count within marked articles too: on ``MIN_ROOTED`` pages and a
+    ``rooted_share``, so that copies of one article on a site are no template. A host has no more
+    of them than its pages have subtrees on average, divided by the share."""
+    pages = seen.groupBy("_host").agg(F.count("*").alias("pages"))
+    often = (seen.select("_host", F.explode("subtrees").alias("subtree")).groupBy("_host", "subtree").agg(F.count("*").alias("n"))
+             .filter(F.col("n") >= MIN_PAGES).join(pages, "_host").filter(F.col("n") >= share * F.col("pages")))
+    rooted = (F.col("n") >= rooted_share * F.col("pages")) & (F.col("n") >= MIN_ROOTED)
+    return often.groupBy("_host").agg(F.collect_list("subtree").alias("drop"), F.collect_list(F.when(rooted, F.col("subtree"))).alias("drop_rooted"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                  share: float = 0.5, rooted_share: float = 0.9) -> DataFrame:
     """One row per input row: id, url, ``text`` (the main text) and ``n_chars``.
 
+    Pages are read twice, once for their subtrees and once for their text, so that no text is
+    written on the way. The templates of all hosts are broadcast if there are at most
+    ``FEW_HOSTS`` of them, else joined by host.
+
     Null and empty pages, and pages without main text, give an empty text. Null urls share the
     empty host. A null id or url stays null, repeated rows give repeated results (and count
     as pages), other columns are not looked at. The result does not depend on the order
     of rows: of equally long articles in a page the first is taken.
     """
-    read = settle(read_pages(pages, id_col, url_col, html_col), "pages")
-    kept = F.filter(F.arrays_zip("blocks", "around"), lambda x: ~F.coalesce(F.arrays_overlap(x["around"], F.coalesce("drop", F.array().cast("array<bigint>"))), F.lit(False)))
-    text = F.array_join(F.transform(kept, lambda x: x["blocks"]), " ")
-    out = read.join(recurring(read, share, rooted_share), "_row", "left").select("_id", "_url", text.alias("text"))
-    return out.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+    own = _own(pages, id_col, url_col, html_col)
+    templates = settle(recurring(settle(page_subtrees(own), "subtrees"), share, rooted_share), "templates")
+
+    def read(b: pa.RecordBatch) -> dict:
+        found = [read_page(p) for p in strings(b.column("text"))]
+        return {"blocks": [[x.text for x in p] for p in found], "around": [[x.around for x in p] for p in found], "is_rooted": [bool(p) and p[0].root > 0 for p in found]}
+
+    out = {"blocks": T.ArrayType(STRING), "around": T.ArrayType(T.ArrayType(LONG)), "is_rooted": BOOL}
+    texts = arrow_map(own, read, out, ["_id", "_url", "_host"])
+    known = texts.join(F.broadcast(templates) if templates.count() <= FEW_HOSTS else templates, "_host", "left")
+    drop = F.coalesce(F.when(F.col("is_rooted"), F.col("drop_rooted")).otherwise(F.col("drop")), F.array().cast("array<bigint>"))
+    kept = F.filter(F.arrays_zip("blocks", "around"), lambda x: ~F.arrays_overlap(x["around"], drop))
+    done = known.select("_id", "_url", F.array_join(F.transform(kept, lambda x: x["blocks"]), " ").alias("text"))
+    return done.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

@@ -23,14 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carryover.llm.eliasfano import EliasFano, Trie
-from carryover.llm.text import BASE, Texts, mix
+from carryover.llm.text import BASE, Texts, mix, pieces
 from carryover.session import settle
 
 #: Words of the longest n-gram, 2 to 4. Each order above 2 adds about as much shuffle again.
 ORDER = 2
 #: Weight of the shorter context, by order from 2.
 PRIORS = (50.0, 50.0, 50.0, 50.0)
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 FRAGMENT_BITS, WORD_BITS, TAG_BITS = 27, 27, 2
 KEY_BITS = FRAGMENT_BITS + WORD_BITS + TAG_BITS
 START, END = np.uint64(0x51A7), np.uint64(0xE11D)
@@ -51,15 +51,21 @@ class Block:
     """The tokens of some texts and the keys of their n-grams."""
 
     def __init__(self, column: pa.ChunkedArray, order: int):
-        t = Texts(column, lower=True)
-        start, end, doc = t.words()
-        words = np.bincount(doc, minlength=t.n)
-        self.size = words + 1
+        hashes, docs, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        for piece in pieces(iter(pa.table({"text": column}).to_batches()), "text"):
+            t = Texts(piece.column("text"), lower=True)
+            start, end, doc = t.words()
+            hashes.append(t.word_hashes(start, end))
+            docs.append(doc + rows)
+            rows += t.n
+        word, doc = np.concatenate(hashes), np.concatenate(docs)
+        self.size = np.bincount(doc, minlength=rows) + 1
         total = int(self.size.sum())
-        self.text = np.repeat(np.arange(t.n), self.size)
+        self.text = np.repeat(np.arange(rows), self.size)
         first = np.cumsum(self.size) - self.size
         token = np.full(total, END, np.uint64)
-        token[np.arange(len(start)) + doc] = t.word_hashes(start, end)
+        token[np.arange(len(word)) + doc] = word
+        del word, doc, hashes, docs
         token = mix(token)
         self.place = np.arange(total) - first[self.text]
         before, self.keys, context = np.full(total, START, np.uint64), [], np.zeros(total, np.uint64)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NULL_MARK = "~"
+NULL_MARK = "-"
 
 
 def money(c: str | Column) -> Column:
@@ -35,28 +35,40 @@ def decimal_text_sql(x: str) -> str:
     return f"if(contains(cast({x} as string), '.'), {cut}, cast({x} as string))"
 
 
+#: How nested values are written as JSON: no field left out, times to the microsecond.
+JSON_OPTIONS = "map('ignoreNullFields', 'false', 'timestampFormat', 'yyyy-MM-dd HH:mm:ss.SSSSSS', 'timestampNTZFormat', 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
+
+
 def canonical_value_sql(name: str, dtype: T.DataType) -> str:
-    """One column as portable text: exact decimals, UTC civil times, explicit null mark."""
+    """One column as text that no other value of its type has: a null is ``-``, any other
+    value its text behind the text's length and a colon.
+
+    Decimals of one value are one text whatever their scale; floats are written with the
+    digits that tell them from every other float; times are civil, to the microsecond. Maps are
+    put in key order, at the top level only.
+    """
     c = f"`{name}`"
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        out = f"cast(cast({c} as decimal(38,2)) as string)"
-    elif isinstance(dtype, T.DecimalType):
+    if isinstance(dtype, T.DecimalType):
         out = decimal_text_sql(c)
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        out = f"date_format({c}, 'yyyy-MM-dd HH:mm:ss')"
-    elif isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
-        out = f"to_json({c})"
+        out = f"date_format({c}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
+    elif isinstance(dtype, T.MapType):
+        by_key = "(x, y) -> case when x.key < y.key then -1 when x.key > y.key then 1 else 0 end"
+        out = f"to_json(array_sort(map_entries({c}), {by_key}), {JSON_OPTIONS})"
+    elif isinstance(dtype, (T.ArrayType, T.StructType)):
+        out = f"to_json({c}, {JSON_OPTIONS})"
     elif isinstance(dtype, T.BinaryType):
         out = f"hex({c})"
     else:
         out = f"cast({c} as string)"
-    return f"coalesce({out}, '{NULL_MARK}')"
+    return f"coalesce(concat(cast(length({out}) as string), ':', {out}), '{NULL_MARK}')"
 
 
 def canonical_row_sql(schema: T.StructType, columns: list[str] | None = None) -> str:
-    """The whole row as one ``|``-joined text, columns in name order."""
+    """The whole row as one text, columns in name order. Lengths tell where a value ends, so
+    rows that differ have different texts."""
     types = {f.name: f.dataType for f in schema.fields}
-    return "concat_ws('|', " + ", ".join(canonical_value_sql(n, types[n]) for n in sorted(columns or types)) + ")"
+    return "concat(" + ", ".join(canonical_value_sql(n, types[n]) for n in sorted(columns or types)) + ")"
 
 
 def row_digest_sql(schema: T.StructType) -> str:

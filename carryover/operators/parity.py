@@ -17,7 +17,7 @@ from carryover.functions.canonical import decimal_text_sql, md5_bucket, md5_slic
 from carryover.operators.bags import bag_diff
 from carryover.operators.typemap import schema_rows
 
-ALGORITHM = "sum-md5-60"
+ALGORITHM = "sum-md5-60-netstring"
 ORDERING = "order-free"
 MAX_EXPRESSIONS = 300
 SAFE_IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]*$"
@@ -38,10 +38,29 @@ def flat_columns(schema: T.StructType) -> list[str]:
     return [f.name for f in schema if not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.VariantType))]
 
 
-def table_evidence(df: DataFrame, table: str, checks=("row_count", "null_distribution", "aggregate", "checksum")) -> DataFrame:
-    """Evidence rows of one side of a table, in one pass over it."""
+ONE_PASS = ("row_count", "null_distribution", "aggregate", "checksum", "schema", "sample")
+
+
+def table_evidence(df: DataFrame, table: str, checks=ONE_PASS[:4], sample: tuple[str, int] | None = None, queries: dict[str, str] | None = None) -> DataFrame:
+    """Evidence rows of one side of a table.
+
+    ``checks`` come from one pass over it (a table of over ``MAX_EXPRESSIONS`` items takes one
+    per so many). ``sample`` (key column, per cent) says which rows the check of that name takes:
+    the same keys on both sides. ``queries`` are named SQL texts over ``{d}``; each is the check
+    ``sql_result`` of its name and reads the table once more.
+    """
     schema = df.schema
     named: list[tuple[str, str, str]] = []
+    if "schema" in checks:
+        named += [("schema", f"{path}.{what}", _text(value)) for path, dt, nullable, mode in schema_rows(df)
+                  for what, value in (("data_type", dt), ("nullable", str(nullable).lower()), ("mode", mode))]
+    if "sample" in checks:
+        if sample is None:
+            raise ValueError("the check 'sample' needs a key column and a percentage")
+        key, percent = sample
+        taken = f"pmod(cast(conv(substr(md5(cast(`{key}` as string)), 1, 7), 16, 10) as bigint), 100) < {int(percent)}"
+        named += [("sample", f"{key}.{percent}.rows", f"cast(count_if({taken}) as string)"),
+                  ("sample", f"{key}.{percent}.digest", f"cast(coalesce({row_digest_sql(schema)} filter (where {taken}), 0) as string)")]
     if "null_distribution" in checks:
         named += [("null_distribution", c, f"cast(count_if(`{c}` is null) as string)") for c in flat_columns(schema)]
     if "aggregate" in checks:
@@ -60,6 +79,11 @@ def table_evidence(df: DataFrame, table: str, checks=("row_count", "null_distrib
         one = df.selectExpr("count(1) as _n", *[f"{e} as _m{i}" for i, (_, _, e) in enumerate(part)])
         rows = ", ".join(f"{_text(table)}, '{k}', {_text(i)}, _m{j}, _n" for j, (k, i, _) in enumerate(part))
         out.append(one.selectExpr(f"stack({len(part)}, {rows}) as (table, check, item, value, row_count)"))
+    for name, text in (queries or {}).items():
+        result = df.sparkSession.sql(text, d=df)
+        one = result.selectExpr("count(1) as _n", f"cast(coalesce({row_digest_sql(result.schema)}, 0) as string) as _d")
+        out.append(one.selectExpr(f"stack(2, {_text(table)}, 'sql_result', {_text(name + '.rows')}, cast(_n as string), _n, "
+                                  f"{_text(table)}, 'sql_result', {_text(name + '.digest')}, _d, _n) as (table, check, item, value, row_count)"))
     return union(out)
 
 
@@ -67,14 +91,6 @@ def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def schema_evidence(df: DataFrame, table: str) -> DataFrame:
-    """One evidence row per column attribute; as many rows as the schema has columns."""
-    rows = [(table, "schema", f"{path}.{what}", value, None)
-            for path, dt, nullable, mode in schema_rows(df)
-            for what, value in (("data_type", dt), ("nullable", str(nullable).lower()), ("mode", mode))]
-    return df.sparkSession.createDataFrame(rows, EVIDENCE)
-
-
 def valid_count(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^\d+$"), F.lit(False))
 
@@ -149,16 +165,17 @@ def row_diff(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame
     are compared as a bag, and reported as ``bag``.
     """
     vals = [c for c in source.columns if c not in keys]
+    digest = (F.xxhash64(*vals) if vals else F.lit(0)).cast("decimal(38,0)")
 
-    def fold(d, side):
-        # Equal copies fold to one entry before the shuffle, so a hot key stays small.
-        one = d.groupBy(*d.columns).agg(F.count(F.lit(1)).alias("_c"))
-        h = F.xxhash64(*vals).cast("decimal(20,0)") * F.col("_c")
-        return one.groupBy(*keys).agg(
-            F.sum("_c").alias(f"_n{side}"), F.sum(h).alias(f"_h{side}"),
-            F.first(F.struct(*vals)).alias(f"_r{side}"))
+    def side(d, name):
+        return d.select(*keys, F.struct(*vals).alias("_r") if vals else F.struct(F.lit(0).alias("_none")).alias("_r"), digest.alias("_h"), F.lit(name).alias("_side"))
 
-    j = fold(source, "s").join(fold(target, "t"), keys, "full")
+    # Both sides meet in one aggregate; copies of a key fold to one entry before the shuffle.
+    on = {n: F.col("_side") == n for n in "st"}
+    j = side(source, "s").unionByName(side(target, "t")).groupBy(*keys).agg(*[
+        x for n in "st" for x in (
+            F.nullif(F.count_if(on[n]), F.lit(0)).alias(f"_n{n}"), F.sum(F.when(on[n], F.col("_h"))).alias(f"_h{n}"),
+            F.first(F.when(on[n], F.col("_r")), ignorenulls=True).alias(f"_r{n}"))])
     changed = F.array_compact(F.array(*[
         F.when(~F.col(f"_rs.{c}").eqNullSafe(F.col(f"_rt.{c}")), F.lit(c)) for c in vals]))
     single = (F.col("_ns") == 1) & (F.col("_nt") == 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from carryover.operators import integrity as I
+from carryover.plans.parity import netstring
 from carryover.plans.registry import query
 from carryover.session import scratch, settle
 
@@ -42,12 +43,13 @@ def file_manifest_verify(t):
     return p.select(F.regexp_extract("path", "c_mktsegment=([A-Z]+)/", 1).alias("segment"), "problem").distinct()
 
 
-_ROW = """concat_ws('|', c_acctbal::decimal(38,2)::varchar, c_custkey::varchar, c_mktsegment, c_name, c_nationkey::varchar)"""
+_ROW = " || ".join(netstring(x) for x in ("c_acctbal::varchar", "c_custkey::varchar", "c_mktsegment", "c_name", "c_nationkey::varchar"))
+_NATION = " || ".join(netstring(x) for x in ("n_name", "n_nationkey::varchar", "n_regionkey::varchar"))
 
 
 @query("table_manifest", f"""
     select 'customer' as "table", count(*)::bigint as rows, sum(('0x' || substr(md5({_ROW}), 1, 15))::bigint)::varchar as digest, 'changed' as status from customer
-    union all select 'nation', count(*), sum(('0x' || substr(md5(concat_ws('|', n_name, n_nationkey::varchar, n_regionkey::varchar)), 1, 15))::bigint)::varchar, 'passed' from nation""")
+    union all select 'nation', count(*), sum(('0x' || substr(md5({_NATION}), 1, 15))::bigint)::varchar, 'passed' from nation""")
 def table_manifest(t):
     before = I.table_manifest({"customer": t.customer, "nation": t.nation})
     later = t.customer.withColumn("c_mktsegment", F.when(F.col("c_acctbal") > 9000, "VIP").otherwise(F.col("c_mktsegment")))

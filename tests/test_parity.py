@@ -1,3 +1,5 @@
+import datetime as dt
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -54,6 +56,35 @@ def test_parity_of_itself_passes_in_any_order(spark):
     assert P.row_diff(d, shuffled, ["id"]).count() == 0
 
 
+@pytest.mark.parametrize("kind, a, b", [
+    ("x timestamp_ntz", [(dt.datetime(2024, 1, 1, 0, 0, 0, 100_000),)], [(dt.datetime(2024, 1, 1, 0, 0, 0, 900_000),)]),
+    ("x double", [(1.001,)], [(1.004,)]), ("x double", [(0.1 + 0.2,)], [(0.3,)]), ("x float", [(1.0,)], [(1.0000001,)]),
+    ("x string, y string", [("a|b", "c")], [("a", "b|c")]), ("x string", [(None,)], [("~",)]), ("x string", [(None,)], [("-",)]),
+    ("x string, y string", [(None, "a")], [("a", None)]), ("x string, y string", [("1:a", "b")], [("1:a1", ":b")]),
+    ("x struct<a:string,b:string>", [((None, "v"),)], [(("v", None),)]), ("x struct<t:timestamp_ntz>", [((dt.datetime(2024, 1, 1, 0, 0, 0, 1),),)], [((dt.datetime(2024, 1, 1),),)]),
+    ("x binary", [(b"\x00",)], [(b"00",)]), ("x int", [(1,), (1,)], [(1,), (1,), (1,)]),
+])
+def test_digest_sees_every_difference(spark, kind, a, b):
+    a, b = spark.createDataFrame(a, kind), spark.createDataFrame(b, kind)
+    got = {r.item: r.status for r in P.parity_report(a, b, "t", checks=("checksum",)).collect()}
+    assert got["value"] == "failed"
+    same = {r.status for r in P.parity_report(a, a.repartition(2), "t", checks=("checksum",)).collect()}
+    assert same == {"passed"}
+
+
+def test_digest_takes_equal_values_as_equal(spark):
+    a = spark.sql("select cast(100.50 as decimal(9,2)) as x, map('a', 1, 'b', 2) as m")
+    b = spark.sql("select cast(100.5 as decimal(12,4)) as x, map('b', 2, 'a', 1) as m")
+    assert {r.status for r in P.parity_report(a, b, "t", checks=("checksum",)).collect()} == {"passed"}
+
+
+def test_row_diff_takes_null_keys_and_key_only_tables(spark):
+    a = spark.createDataFrame([(None, "x"), (1, "y")], "k int, v string")
+    b = spark.createDataFrame([(None, "x"), (1, "z")], "k int, v string")
+    assert [(r.k, r.op, r.changed) for r in P.row_diff(a, b, ["k"]).collect()] == [(1, "changed", "v")]
+    assert [(r.k, r.op) for r in P.row_diff(a.select("k"), b.select("k").where("k = 1"), ["k"]).collect()] == [(None, "missing")]
+
+
 def test_canonical_number(spark):
     d = spark.createDataFrame([("100.50",), ("100.5",), ("007",), ("abc",), (None,), ("0.0",), ("1200",)], "x string")
     assert [r[0] for r in d.select(canonical_number(F.col("x"))).collect()] == ["100.5", "100.5", "7", "abc", None, "0", "1200"]
@@ -92,7 +123,7 @@ def test_ingest_rejects_foreign_and_tampered(spark):
 def test_schema_evidence_is_recursive(spark):
     a = spark.createDataFrame([], "id long, s struct<x:int, y:array<struct<z:string>>>")
     b = spark.createDataFrame([], "id long, s struct<x:int, y:array<struct<z:int>>>")
-    d = P.compare_evidence(P.schema_evidence(a, "t"), P.schema_evidence(b, "t"))
+    d = P.compare_evidence(P.table_evidence(a, "t", ("schema",)), P.table_evidence(b, "t", ("schema",)))
     assert [r.item for r in d.where("status = 'failed'").collect()] == ["s.y.z.data_type"]
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from carryover.functions.canonical import md5_slice, row_digest_sql
 from carryover.operators.windows import keyed_window
+from carryover.session import settle
 
 
 def file_manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -60,13 +61,13 @@ def ledger_sequence(entries: DataFrame) -> DataFrame:
     """
     keys = ["slice", "reviewer"]
     first = entries.where("round = 1").groupBy(*keys).agg(F.min_by(F.struct("owner", "seq"), F.struct("seq", "owner")).alias("_f"))
-    d = entries.join(first, keys, "left")
+    d = settle(entries.join(first, keys, "left"), "entries")
     own = d.where(F.when(F.col("round") == 1, F.col("seq") == F.col("_f.seq")).otherwise(F.col("owner") == F.col("_f.owner")) & (F.col("round") >= 1))
     cand = own.groupBy(*keys, "round").agg(F.min_by(F.struct("seq", "verdict"), F.struct("seq")).alias("_c"))
     cand = cand.select(*keys, "round", F.col("_c.seq").alias("_seq"), F.col("_c.verdict").alias("_v"),
                        F.when(F.col("_c.verdict") != "changes_requested", 1).otherwise(0).alias("_closed"))
-    run = keyed_window(cand, keys, ["round"], F.col("round"), row_number="_rn", running_sum={"_sum": "_closed"})
-    chain = run.where((F.col("_rn") == F.col("round")) & (F.col("_sum") - F.col("_closed") == 0))
+    run = keyed_window(cand, keys, ["round"], row_number="_rn", running_sum={"_sum": "_closed"})
+    chain = settle(run.where((F.col("_rn") == F.col("round")) & (F.col("_sum") - F.col("_closed") == 0)), "chain")
     length = chain.groupBy(*keys).agg(F.max("round").alias("_len"), F.max("_closed").alias("_end"))
     j = d.join(chain.select(*keys, "round", F.col("_seq")), [*keys, "round"], "left").join(length, keys, "left")
     accepted = F.coalesce(F.col("seq") == F.col("_seq"), F.lit(False))

@@ -1,51 +1,43 @@
 """Window functions that stay parallel when one key holds much of the table.
 
-A plain ``Window.partitionBy(key)`` sends a whole key to one task. Here a key larger than
-a fair-share partition is cut into ordered segments: each segment is windowed on its own,
-and the carry-over (rows, sums, last and first values of the segments before and after)
-is added from a table with one row per segment.
+A plain ``Window.partitionBy(key)`` sends a whole key to one task. Here the table is cut by
+range into segments along (key, order): a large key is spread over as many segments as its
+share of the table, however its order values are spread. Each segment is windowed on its own,
+and the carry-over (rows, sums, last and first values of the segments before and after) is
+added for keys that lie in more than one, of which a segment has two at most.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from carryover.session import shuffle_width
-
-MAX_CUTS = 512
+from carryover.session import settle, shuffle_width
 
 
-def hot_keys(df: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
-    """Keys that hold more than 1/parts of the rows. Fewer than ``parts`` can exist."""
+def segment(df: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+    """``df`` with ``_seg``, rising along ``keys`` and ``order``; written once and read back,
+    so that a row's segment is the same for all who ask."""
     parts = parts or shuffle_width(df.sparkSession)
-    total = df.agg(F.count(F.lit(1))).scalar()
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where(F.col("_n") * parts > total).select(*keys)
+    return settle(df.repartitionByRange(parts, *keys, *order).withColumn("_seg", F.spark_partition_id()), "segments")
 
 
-def segment(df: DataFrame, keys: list[str], position: Column, parts: int | None = None) -> DataFrame:
-    """Add ``_cuts`` (null for ordinary keys) and ``_seg``, rising with ``position``."""
-    parts = parts or shuffle_width(df.sparkSession)
-    n = max(2, min(parts, MAX_CUTS))
-    hot = hot_keys(df, keys, parts)  # fewer than `parts` rows: safe to broadcast
-    cuts = (
-        df.select(*keys, position.cast("double").alias("_p"))
-        .join(F.broadcast(hot), keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx("_p", [i / n for i in range(1, n)], 10 * n).alias("_cuts"))
-    )
-    out = df.join(F.broadcast(cuts), keys, "left")
-    below = F.size(F.filter("_cuts", lambda c: c < position.cast("double")))
-    return out.withColumn("_seg", F.when(F.col("_cuts").isNull(), 0).otherwise(below))
+def cut_keys(segmented: DataFrame, keys: list[str]) -> DataFrame:
+    """The last key of each segment: only these can go on in the next. One row per segment."""
+    return segmented.groupBy("_seg").agg(F.max(F.struct(*keys)).alias("_k")).select(*[F.col(f"_k.{k}").alias(f"_c_{k}") for k in keys]).distinct()
+
+
+def _same(left: list[Column], right: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in zip(left, right, strict=True)])
 
 
 def keyed_window(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    position: Column,
     *,
     row_number: str | None = None,
     rank: str | None = None,
@@ -60,25 +52,23 @@ def keyed_window(
 ) -> DataFrame:
     """Row number, ranks, running totals and neighbours per key, ascending by ``order``.
 
-    ``order`` must be total within a key. ``position`` is a numeric, non-decreasing
-    function of ``order[0]``; it decides only where a hot key is cut. Ranks compare
-    ``rank_on`` (default: the first order column). Dicts map output name to input column.
+    ``order`` must be total within a key. Ranks compare ``rank_on`` (default: the first order
+    column), which has to be a prefix of ``order``. Dicts map output name to input column.
     """
     rank_on = rank_on or order[:1]
+    if rank_on != order[:len(rank_on)]:
+        raise ValueError("rank_on has to be a prefix of order")
     running_sum, running_avg, running_max = dict(running_sum or {}), running_avg or {}, running_max or {}
     lag, lead = lag or {}, lead or {}
     for out, c in running_avg.items():
         running_sum[f"_s_{out}"] = c
-    need_rn = bool(row_number or lag or running_avg)
 
-    d = segment(df, keys, position, parts)
+    d = segment(df, keys, order, parts)
     part = [*keys, "_seg"]
     w = W.partitionBy(*part).orderBy(*order)
     wr = W.partitionBy(*part).orderBy(*rank_on)
     wf = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    cols: dict[str, Column] = {}
-    if need_rn:
-        cols["_rn"] = F.row_number().over(w)
+    cols: dict[str, Column] = {"_rn": F.row_number().over(w)}
     if rank:
         cols["_rk"] = F.rank().over(wr)
     if dense_rank:
@@ -97,27 +87,37 @@ def keyed_window(
         cols["_last"] = F.lead(F.lit(1)).over(w).isNull()
     local = d.withColumns(cols)
 
-    # One row per segment of a hot key: at most parts * (cuts + 1) rows.
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    # One row per segment of a key that is cut: at most two per segment.
+    value, at = F.struct(*rank_on), F.struct(*order)
+    aggs = [F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")]
+    if rank:
+        aggs.append(F.max("_rk").alias("_nk"))
     if dense_rank:
-        aggs.append(F.count_distinct(F.struct(*rank_on)).alias("_nd"))
+        aggs.append(F.max("_dr").alias("_nd"))
     for out, c in running_sum.items():
         aggs.append(F.sum(c).alias(f"_t_{out}"))
     for out, c in running_avg.items():
         aggs.append(F.count(c).alias(f"_c_{out}"))
     for out, c in running_max.items():
         aggs.append(F.max(c).alias(f"_m_{out}"))
-    at = F.struct(*order)
     if lag:
         aggs.append(F.max_by(F.struct(*[F.col(c).alias(o) for o, c in lag.items()]), at).alias("_tail"))
     if lead:
         aggs.append(F.min_by(F.struct(*[F.col(c).alias(o) for o, c in lead.items()]), at).alias("_head"))
-    segs = d.where(F.col("_cuts").isNotNull()).groupBy(*part).agg(*aggs)
+    cut = cut_keys(d, keys)  # one row per segment: safe to broadcast
+    segs = local.join(F.broadcast(cut), _same([F.col(k) for k in keys], [F.col(f"_c_{k}") for k in keys]), "left_semi").groupBy(*part).agg(*aggs)
     wo = W.partitionBy(*keys).orderBy("_seg")
     before = wo.rowsBetween(W.unboundedPreceding, -1)
-    offs = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o_n")]
+    prior = F.lag("_hi").over(wo)
+    segs = segs.withColumns({"_prior": prior, "_cont": F.when(F.col("_lo").eqNullSafe(prior) & prior.isNotNull(), 1).otherwise(0), "_o_n": F.coalesce(F.sum("_n").over(before), F.lit(0))})
+    offs = [F.col("_o_n")]
+    if rank:
+        # The rank of a segment's last value, unless all of it goes on from the segment before.
+        fresh = F.when(~F.col("_hi").eqNullSafe(F.col("_prior")) | F.col("_prior").isNull(), F.col("_nk") + F.col("_o_n"))
+        segs = segs.withColumn("_fresh", fresh)
+        offs += [F.col("_prior"), F.last("_fresh", ignorenulls=True).over(before).alias("_o_rk")]
     if dense_rank:
-        offs.append(F.coalesce(F.sum("_nd").over(before), F.lit(0)).alias("_o_nd"))
+        offs.append((F.coalesce(F.sum("_nd").over(before), F.lit(0)) - F.sum("_cont").over(wo.rowsBetween(W.unboundedPreceding, 0))).alias("_o_nd"))
     for out in running_sum:
         offs.append(F.sum(f"_t_{out}").over(before).alias(f"_o_{out}"))
     for out in running_avg:
@@ -128,14 +128,16 @@ def keyed_window(
         offs.append(F.lag("_tail").over(wo).alias("_prev"))
     if lead:
         offs.append(F.lead("_head").over(wo).alias("_next"))
-    joined = local.join(F.broadcast(segs.select(*part, *offs)), part, "left")
+    carry = segs.select(*[F.col(c).alias(f"_k_{c}") for c in part], *offs)
+    joined = local.join(F.broadcast(carry), _same([F.col(c) for c in part], [F.col(f"_k_{c}") for c in part]), "left")
 
     shift = F.coalesce(F.col("_o_n"), F.lit(0))
     final: dict[str, Column] = {}
     if row_number:
         final[row_number] = F.col("_rn") + shift
     if rank:
-        final[rank] = F.col("_rk") + shift
+        goes_on = F.col("_prior").isNotNull() & value.eqNullSafe(F.col("_prior"))
+        final[rank] = F.when(goes_on, F.col("_o_rk")).otherwise(F.col("_rk") + shift)
     if dense_rank:
         final[dense_rank] = F.col("_dr") + F.coalesce(F.col("_o_nd"), F.lit(0))
     for out in running_sum:

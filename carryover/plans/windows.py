@@ -7,11 +7,6 @@ from pyspark.sql import functions as F
 from carryover.operators.windows import keyed_window, latest_per_key, top_per_key
 from carryover.plans.registry import query
 
-def day():
-    return F.unix_date(F.to_date("o_orderdate"))
-
-
-
 def _orders(t):
     return t.orders.select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus",
@@ -25,7 +20,7 @@ def _orders(t):
     from orders""")
 def win_row_number(t):
     d = _orders(t).select("o_custkey", "o_orderkey", "o_orderdate")
-    out = keyed_window(d, ["o_custkey"], ["o_orderdate", "o_orderkey"], day(), row_number="rn")
+    out = keyed_window(d, ["o_custkey"], ["o_orderdate", "o_orderkey"], row_number="rn")
     return out.select("o_custkey", "o_orderkey", F.col("rn").cast("long").alias("rn"))
 
 
@@ -36,7 +31,7 @@ def win_row_number(t):
     from orders""")
 def win_rank(t):
     d = _orders(t).select("o_orderstatus", "o_orderkey", "o_orderdate")
-    out = keyed_window(d, ["o_orderstatus"], ["o_orderdate", "o_orderkey"], day(), rank="rnk", dense_rank="dense")
+    out = keyed_window(d, ["o_orderstatus"], ["o_orderdate", "o_orderkey"], rank="rnk", dense_rank="dense")
     return out.select("o_orderstatus", "o_orderkey", F.col("rnk").cast("long").alias("rnk"),
                       F.col("dense").cast("long").alias("dense"))
 
@@ -47,7 +42,7 @@ def win_rank(t):
                rows unbounded preceding)::double as running_total
     from orders""")
 def win_running_total(t):
-    out = keyed_window(_orders(t), ["o_custkey"], ["o_orderdate", "o_orderkey"], day(),
+    out = keyed_window(_orders(t), ["o_custkey"], ["o_orderdate", "o_orderkey"],
                        running_sum={"running_total": "price"})
     return out.select("o_custkey", "o_orderkey", F.col("running_total").cast("double").alias("running_total"))
 
@@ -58,7 +53,7 @@ def win_running_total(t):
     from events window w as (partition by event_type order by ts, event_id)""")
 def win_lag_lead(t):
     d = t.events.select("event_type", "event_id", "ts")
-    out = keyed_window(d, ["event_type"], ["ts", "event_id"], F.unix_micros(F.col("ts").cast("timestamp")),
+    out = keyed_window(d, ["event_type"], ["ts", "event_id"],
                        lag={"prev_id": "event_id"}, lead={"next_id": "event_id"})
     return out.select("event_type", "event_id", F.coalesce("prev_id", F.lit(-1)).alias("prev_id"),
                       F.coalesce("next_id", F.lit(-1)).alias("next_id"))
@@ -73,7 +68,7 @@ def win_lag_lead(t):
     from orders window w as (partition by o_orderstatus order by o_orderdate, o_orderkey
                              rows between unbounded preceding and current row)""")
 def win_frames(t):
-    out = keyed_window(_orders(t), ["o_orderstatus"], ["o_orderdate", "o_orderkey"], day(),
+    out = keyed_window(_orders(t), ["o_orderstatus"], ["o_orderdate", "o_orderkey"],
                        running_sum={"run_sum": "price"}, running_max={"run_max": "price"},
                        running_avg={"run_avg": "price"})
     return out.select("o_orderstatus", "o_orderkey", F.col("run_sum").cast("double").alias("run_sum"),

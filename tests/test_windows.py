@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from carryover.operators.windows import hot_keys, keyed_window, latest_per_key, top_per_key
+from carryover.operators.windows import cut_keys, keyed_window, latest_per_key, segment, top_per_key
 
 
 @pytest.fixture(scope="module")
@@ -20,13 +20,9 @@ def skewed(spark):
     return spark.createDataFrame(data, "key string, day int, id int, amount long").repartition(5).cache()
 
 
-def test_hot_key_is_found(skewed):
-    assert [r.key for r in hot_keys(skewed, ["key"], 8).collect()] == ["hot"]
-
-
 def test_matches_plain_window(skewed):
     got = keyed_window(
-        skewed, ["key"], ["day", "id"], F.col("day"), row_number="rn", rank="rk", dense_rank="dr",
+        skewed, ["key"], ["day", "id"], row_number="rn", rank="rk", dense_rank="dr",
         running_sum={"rs": "amount"}, running_avg={"ra": "amount"}, running_max={"rm": "amount"},
         lag={"prev": "amount"}, lead={"nxt": "id"})
     w = W.partitionBy("key").orderBy("day", "id")
@@ -39,10 +35,22 @@ def test_matches_plain_window(skewed):
 
 
 def test_hot_key_is_cut(skewed):
-    from carryover.operators.windows import segment
-    segs = segment(skewed, ["key"], F.col("day")).groupBy("key").agg(F.count_distinct("_seg").alias("n"), F.max("_seg").alias("m"))
-    by = {r.key: r.n for r in segs.collect()}
-    assert by["hot"] >= 6 and all(n == 1 for k, n in by.items() if k != "hot")
+    d = segment(skewed, ["key"], ["day", "id"], 16)
+    by = {r.key: r.n for r in d.groupBy("key").agg(F.count_distinct("_seg").alias("n")).collect()}
+    assert by["hot"] >= 8 and max(r["count"] for r in d.groupBy("_seg").count().collect()) < 3000 / 16 * 2
+    assert {k for k, n in by.items() if n > 1} <= {r[0] for r in cut_keys(d, ["key"]).collect()}
+
+
+@pytest.mark.parametrize("parts", [2, 7, 40])
+def test_one_key_one_day_and_nulls(spark, parts):
+    """All rows of a key on one day, a null key, null days: ranks go on across segments."""
+    data = [("a", 5, i, i % 7) for i in range(400)] + [(None, i // 50, i, None) for i in range(400, 700)] + [("b", None if i % 2 else 1, i, 1) for i in range(700, 900)]
+    d = spark.createDataFrame(data, "key string, day int, id int, amount long")
+    got = keyed_window(d, ["key"], ["day", "id"], row_number="rn", rank="rk", dense_rank="dr", running_sum={"rs": "amount"}, lag={"p": "id"}, lead={"n": "id"}, parts=parts)
+    w, wr = W.partitionBy("key").orderBy("day", "id"), W.partitionBy("key").orderBy("day")
+    want = d.select("*", F.row_number().over(w).alias("rn"), F.rank().over(wr).alias("rk"), F.dense_rank().over(wr).alias("dr"),
+                    F.sum("amount").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("rs"), F.lag("id").over(w).alias("p"), F.lead("id").over(w).alias("n"))
+    assert rows(got) == rows(want)
 
 
 def test_top_and_latest(skewed):

@@ -21,7 +21,7 @@ def unpivot_long(df: DataFrame, ids: list[str], values: list[str], metric="metri
     return df.unpivot(ids, values, metric, value)
 
 
-def item_arrays(df: DataFrame, keys: list[str], fields: dict[str, str], unit: Column, limit: int = 10_000) -> DataFrame:
+def item_arrays(df: DataFrame, keys: list[str], fields: dict[str, str], unit: Column, limit: int) -> DataFrame:
     """Nest child rows into arrays per key, about ``limit`` items each.
 
     A key with more rows gets as many arrays as it needs, spread by the hash of ``unit``,

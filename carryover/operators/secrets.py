@@ -94,11 +94,26 @@ def redact_map(properties: Column) -> Column:
     return F.transform_values(properties, redact_value)
 
 
-def json_leaves(text: Column, depth: int = 8) -> Column:
+def nesting(df: DataFrame, text: Column, strings: bool = False) -> int:
+    """Deepest nesting of braces and brackets in JSON texts, by one aggregate; ``strings``
+    counts those in strings too, as a string may hold JSON again."""
+    def depth(text: Column) -> Column:
+        bare = text if strings else F.regexp_replace(text, r'"(\\.|[^"\\])*+"', "")
+        marks = F.regexp_replace(bare, r"[^\[\]{}]", "")
+        step = lambda s, c: F.struct((s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(
+            s["top"], s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("top"))
+        chars = F.filter(F.split(marks, ""), lambda c: c != "")
+        return F.aggregate(chars, F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")), step, lambda s: s["top"])
+
+    return df.agg(F.max(depth(text))).first()[0] or 0
+
+
+def json_leaves(text: Column, depth: int) -> Column:
     """Array of struct(path, name, value) for every leaf of a JSON text.
 
-    Each pass opens one more level of all entries inside the row, so the text is read once
-    however deep it nests. Text that only looks like JSON, such as a template, is a leaf.
+    Each pass opens one more level of all entries inside the row, so the text is read once.
+    ``depth`` is how many there are (see ``nesting``); what lies deeper stays closed text.
+    Text that only looks like JSON, such as a template, is a leaf.
     """
     entry = lambda path, name, value: F.struct(path.alias("path"), name.alias("name"), value.alias("value"))
 
@@ -117,21 +132,27 @@ def json_leaves(text: Column, depth: int = 8) -> Column:
     return out
 
 
-def flatten_json(df: DataFrame, key: str, text: str, depth: int = 8) -> DataFrame:
+def flatten_json(df: DataFrame, key: str, text: str) -> DataFrame:
+    """All leaves of a JSON column, however deep the deepest one lies."""
+    depth = nesting(df, F.col(text), strings=True)
     return df.select(key, F.explode(json_leaves(F.col(text), depth)).alias("_l")).select(key, "_l.*").where("path <> ''")
 
 
 # expressions that resolve a secret at run time (fixed values)
 SECRET_EXPRESSION = r"(?i)(\$\{?\{?\s*secrets?[.:]|\benv_var\s*\(\s*['\"][^'\"]*(secret|token|password|key)|getSecret\s*\(|\bsecretmanager\b|@Microsoft\.KeyVault)"
 
-# words that make a name sensitive, or credential-shaped once separators are gone (fixed values)
-SENSITIVE_WORDS = r"(?i)\b(ssn|social security|passport|salary|password|secret|token|credential|private key|api key)\b"
-SENSITIVE_JOINED = r"(?i)(ssn|socialsecurity|passport|salary|password|secret|token|credential|privatekey|apikey|accesskey)"
+# words that make a name sensitive, and shapes of well-known credentials (fixed values)
+MARKER_WORDS = (r"(?i)password|passwd|secret|token|credential|authorization|apikey|api_key|privatekey|private_key|"
+                r"accesskey|access_key|connectionstring|connection_string")
+CREDENTIAL_SHAPES = (r"(?i)gh[opsur]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{20,}|(?:AKIA|ASIA)[A-Z0-9]{16}|"
+                     r"AIza[A-Za-z0-9_-]{35}|xox[baprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}")
+# names of personal facts, and marker words once separators are gone: an addition of ours
+PERSONAL_WORDS = r"(?i)\b(ssn|social security|passport|salary)\b"
 RESERVED_NAMES = ["_measures", "calendar", "date", "measures", "parameters"]
 
 
 def sensitive_name(name: Column) -> Column:
     """Reason a name must not be shown, or an empty text."""
     joined = F.regexp_replace(name, "[ _-]", "")
-    return (F.when(F.lower(name).isin(RESERVED_NAMES), "reserved").when(name.rlike(SENSITIVE_WORDS), "sensitive")
-            .when(joined.rlike(SENSITIVE_JOINED), "credential_shaped").otherwise(""))
+    return (F.when(F.lower(name).isin(RESERVED_NAMES), "reserved").when(name.rlike(MARKER_WORDS) | name.rlike(PERSONAL_WORDS), "sensitive")
+            .when(name.rlike(CREDENTIAL_SHAPES) | joined.rlike(MARKER_WORDS), "credential_shaped").otherwise(""))

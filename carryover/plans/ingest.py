@@ -43,7 +43,7 @@ def columns_flatten(t):
     cols = """'[{"name":"id","type":"INTEGER","mode":"REQUIRED"},{"name":"detail","type":"record","fields":[{"name":"size","type":"INTEGER"},
         {"name":"tags","type":"RECORD","mode":"repeated","fields":[{"name":"name","data_type":"string"}]}]}]'"""
     d = t.part.selectExpr("'t' || p_partkey as source_id", f"{cols} as c")
-    return d.select("source_id", F.explode(I.walk_columns(F.col("c"))).alias("x")).select("source_id", "x.path", "x.data_type", "x.mode", "x.nullable")
+    return d.select("source_id", F.explode(I.walk_columns(F.col("c"), I.column_depth(d, F.col("c")))).alias("x")).select("source_id", "x.path", "x.data_type", "x.mode", "x.nullable")
 
 
 @query("bq_tables_ingest", """

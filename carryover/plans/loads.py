@@ -127,6 +127,16 @@ def load_incremental_watermark(t):
         F.sum(money("o_totalprice")).cast("double").alias("total"))
 
 
+@query("load_watermark_fractions", "select max(ts)::varchar as watermark, count(*)::bigint as n, count(distinct event_id)::bigint as keys from events")
+def load_watermark_fractions(t):
+    path, state = scratch(t.spark, "inc"), scratch(t.spark, "inc_state")
+    middle = t.events.agg(F.percentile("event_id", 0.5).cast("long").alias("m")).scalar()
+    until = t.events.where(F.col("event_id") == middle).agg(F.max("ts").cast("string")).first()[0]
+    for bound in (until, until, None, None):  # each run is retried
+        mark = sinks.incremental_load(t.events, "ts", path, state, "events", bound)
+    return t.spark.read.parquet(path).agg(F.lit(mark).alias("watermark"), F.count("*").alias("n"), F.count_distinct("event_id").alias("keys"))
+
+
 @query("load_merge_incremental", """
     with base as (select user_id, event_id, value, ts from events where ts < timestamp '2024-01-10'
                   qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1),
@@ -199,6 +209,6 @@ def report_tables(t):
     counts = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
     out = None
     for fmt in ("csv", "json", "parquet"):
-        d = sinks.write_report(counts, scratch(t.spark, f"report_{fmt}"), ["n_name"], fmt).select(F.lit(fmt).alias("fmt"), "*")
+        d = sinks.write_report(counts, scratch(t.spark, f"report_{fmt}"), ["n_name"], fmt, single_file=True).select(F.lit(fmt).alias("fmt"), "*")
         out = d if out is None else out.unionByName(d)
     return out

@@ -291,7 +291,7 @@ def agg_array(t):
 def agg_unnest_sum(t):
     from carryover.operators.reshape import item_arrays
     o = item_arrays(t.lineitem.withColumn("month", F.date_format("l_shipdate", "yyyy-MM")), ["l_orderkey", "month"],
-                    {"sku": "l_partkey", "amount": "l_extendedprice"}, unit=F.concat_ws("-", "l_partkey", "l_linenumber"))
+                    {"sku": "l_partkey", "amount": "l_extendedprice"}, unit=F.concat_ws("-", "l_partkey", "l_linenumber"), limit=10_000)
     return o.select("month", F.explode("items").alias("i")).groupBy("month").agg(
         F.sum(money(F.col("i.amount"))).cast("double").alias("amount"), F.count("*").alias("n"))
 

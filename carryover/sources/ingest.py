@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from carryover.functions.canonical import pseudonym
 from carryover.operators.lookups import map_literal
-from carryover.operators.secrets import redact_map
+from carryover.operators.secrets import nesting, redact_map
 from carryover.operators.windows import latest_per_key
+from carryover.session import settle
 from carryover.sources.estate import KINDS
 
 COLUMN = "struct<name:string,data_type:string,type:string,nullable:boolean,mode:string,description:string,fields:string>"
@@ -26,11 +27,17 @@ def parsed(df: DataFrame, schema: str, payload: str = "payload") -> DataFrame:
     return d.select(*[c for c in df.columns if c != payload], "_j.*", F.try_parse_json(payload).isNull().alias("unreadable"))
 
 
-def walk_columns(fields: Column, depth: int = 6) -> Column:
+def column_depth(df: DataFrame, fields: Column) -> int:
+    """Levels of nested columns below the top one: a list and an object each."""
+    return max(0, nesting(df, fields) // 2 - 1)
+
+
+def walk_columns(fields: Column, depth: int) -> Column:
     """Nested column list (JSON text) to a flat array of (path, type, nullable, mode).
 
-    Each pass opens the children of the last one inside the row; the table is neither
-    exploded nor read again.
+    Each pass opens the children of the last one inside the row; the table is not exploded.
+    ``depth`` is how many levels lie below the top one (see ``column_depth``); a deeper one is
+    an error, as its columns would be missing.
     """
     item = f"array<{COLUMN}>"
 
@@ -47,6 +54,9 @@ def walk_columns(fields: Column, depth: int = 6) -> Column:
             F.array(F.struct(c["path"].alias("path"), c["data_type"].alias("data_type"), c["nullable"].alias("nullable"), c["mode"].alias("mode"),
                              F.lit(None).cast("string").alias("inner"))),
             rows(c["inner"], F.concat(c["path"], F.lit("."))))))
+    closed = F.exists(out, lambda c: c["inner"].isNotNull() & (c["inner"] != "[]"))
+    out = F.when(closed, F.raise_error(F.lit("columns nest deeper than the depth given")).cast(
+        "array<struct<path:string,data_type:string,nullable:boolean,mode:string,inner:string>>")).otherwise(out)
     return F.transform(out, lambda c: F.struct(
         c["path"].alias("path"), F.coalesce(F.try_element_at(map_literal(LEGACY), c["data_type"]), c["data_type"]).alias("data_type"),
         c["nullable"].alias("nullable"), c["mode"].alias("mode")))
@@ -67,7 +77,7 @@ def load_estate(docs: DataFrame) -> DataFrame:
 
 def estate_tables(objects: DataFrame) -> dict[str, DataFrame]:
     """The columns, edges and properties tables of loaded objects."""
-    cols = objects.select("source_id", F.posexplode(walk_columns(F.col("columns"))).alias("ordinal", "c")).select("source_id", "ordinal", "c.*")
+    cols = objects.select("source_id", F.posexplode(walk_columns(F.col("columns"), column_depth(objects, F.col("columns")))).alias("ordinal", "c")).select("source_id", "ordinal", "c.*")
     edges = objects.select(F.col("source_id").alias("child"), F.explode("dependencies").alias("parent"))
     props = objects.select("source_id", F.explode("properties").alias("name", "value"))
     return {"columns": cols, "edges": edges, "properties": props}
@@ -86,7 +96,7 @@ def tables(df: DataFrame, project: str) -> DataFrame:
     return d.select(
         F.concat_ws(".", F.lit(project), ref["datasetId"], ref["tableId"]).alias("source_id"), ref["tableId"].alias("name"),
         F.coalesce(F.try_element_at(map_literal(TABLE_KINDS), F.upper("type")), F.lit("table")).alias("kind"), ref["datasetId"].alias("dataset"),
-        walk_columns(F.col("schema.fields")).alias("columns"), F.coalesce(F.nullif(F.col("view.query"), F.lit("")), F.col("materializedView.query")).alias("sql"),
+        walk_columns(F.col("schema.fields"), column_depth(d, F.col("schema.fields"))).alias("columns"), F.coalesce(F.nullif(F.col("view.query"), F.lit("")), F.col("materializedView.query")).alias("sql"),
         part.alias("partition_field"), F.coalesce(F.col("clustering.fields"), F.array().cast("array<string>")).alias("clustering_fields"),
         F.col("numBytes").try_cast("long").alias("size_bytes"), F.col("externalDataConfiguration.sourceFormat").alias("source_format"),
         redact_map(F.coalesce("labels", F.create_map().cast("map<string,string>"))).alias("labels"))
@@ -294,6 +304,7 @@ def dataform_objects(df: DataFrame, project: str) -> DataFrame:
     """Compiled targets with their dependencies (incoming edges) and assertion flag (outgoing
     ASSERTION edges). A result that cannot be read stays as an incomplete row."""
     d = parsed(df, f"dataSourceA struct<targets:array<{NODE}>,edges:array<struct<sourceTarget:{NODE},targetTarget:{NODE},edgeType:string>>>")
+    d = settle(d, "compilations")  # parsed once, read for targets, edges and flaws
     key = lambda p: F.concat_ws(".", p + ".schema", p + ".name")
     edges = d.select("compilation", F.explode("dataSourceA.edges").alias("e")).select(
         "compilation", key("e.sourceTarget").alias("src"), key("e.targetTarget").alias("dst"), (F.col("e.edgeType") == "ASSERTION").alias("is_assertion"))
@@ -332,9 +343,15 @@ def dbt_nodes(df: DataFrame) -> DataFrame:
     """Models and tests of manifests (column ``project``), references resolved by joins on
     the node key, so a manifest of any size is spread over the cluster."""
     d = parsed(df, f"sources map<string,struct<source_name:string,name:string>>, nodes map<string,{DBT_NODE}>")
-    nodes = d.select("project", F.explode("nodes").alias("key", "n"))
+    # Parsed once: nodes and sources leave the manifest as rows of one written table.
+    none_n, none_s = F.lit(None).cast(DBT_NODE), F.lit(None).cast("struct<source_name:string,name:string>")
+    entries = F.concat(
+        F.coalesce(F.transform(F.map_entries("nodes"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("n"), none_s.alias("s"), F.lit(True).alias("is_node"))), F.array()),
+        F.coalesce(F.transform(F.map_entries("sources"), lambda e: F.struct(e["key"].alias("key"), none_n.alias("n"), e["value"].alias("s"), F.lit(False).alias("is_node"))), F.array()))
+    rows = settle(d.select("project", F.explode(entries).alias("e")).select("project", "e.*"), "manifest")
+    nodes = rows.where("is_node").select("project", "key", "n")
     names = nodes.where("n.resource_type = 'model'").select("project", F.col("key").alias("up"), F.col("n.name").alias("ref"), F.lit(None).cast("string").alias("source"))
-    srcs = d.select("project", F.explode("sources").alias("up", "s")).select("project", "up", F.lit(None).cast("string").alias("ref"), F.concat_ws(".", "s.source_name", "s.name").alias("source"))
+    srcs = rows.where("not is_node").select("project", F.col("key").alias("up"), "s").select("project", "up", F.lit(None).cast("string").alias("ref"), F.concat_ws(".", "s.source_name", "s.name").alias("source"))
     up = nodes.select("project", "key", F.explode("n.depends_on.nodes").alias("up")).join(names.unionByName(srcs), ["project", "up"])
     refs = up.groupBy("project", "key").agg(F.sort_array(F.collect_list("ref")).alias("refs"), F.sort_array(F.collect_list("source")).alias("sources"))
     macros = F.array_sort(F.array_except(F.transform("n.depends_on.macros", lambda m: F.element_at(F.split(m, r"\."), -1)), F.array(*[F.lit(m) for m in TRANSLATED_MACROS])))

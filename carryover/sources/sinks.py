@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carryover.operators.dml import upsert_latest
-from carryover.operators.lookups import estimated_bytes
-
-SINGLE_FILE_LIMIT = 32 << 20
 
 
 def read_back(df: DataFrame, path: str, fmt: str = "parquet", **options) -> DataFrame:
@@ -38,44 +35,48 @@ def load_timestamped(df: DataFrame, run_ts: str) -> DataFrame:
     return df.withColumn("_load_timestamp", F.lit(run_ts).cast("timestamp"))
 
 
-FIRST_WATERMARK = "1900-01-01 00:00:00"
-
-
-def read_watermark(spark: SparkSession, state: str, table: str) -> str:
-    """Last committed watermark of a table; 1900-01-01 when it was never loaded."""
-    schema = "table string, watermark string"
+def read_watermark(spark: SparkSession, state: str, table: str, dtype: T.DataType) -> str | None:
+    """Last committed watermark of a table as text that casts back to the same value; None
+    when it was never loaded. Watermarks compare as values of ``dtype``, not as text."""
     try:
-        marks = spark.read.schema(schema).parquet(state)
-        top = marks.where(F.col("table") == table).agg(F.max("watermark")).first()[0]
+        marks = spark.read.schema("table string, watermark string").parquet(state)
+        top = marks.where(F.col("table") == table).agg(F.max(F.col("watermark").cast(dtype)).cast("string")).first()[0]
     except Exception as e:  # noqa: BLE001  the state folder appears with the first commit
         if "PATH_NOT_FOUND" not in str(e):
             raise
         top = None
-    return top or FIRST_WATERMARK
+    return top
 
 
-def incremental_load(source: DataFrame, column: str, path: str, state: str, table: str, until: str | None = None) -> str:
-    """Copy rows newer than the watermark, then record the new watermark.
+def incremental_load(source: DataFrame, column: str, path: str, state: str, table: str, until: str | None = None) -> str | None:
+    """Copy rows newer than the watermark, then record the new watermark, exactly as it is.
 
-    The batch is stored under its starting watermark, so a run that died before the
-    record was written is replaced by its retry. Returns the new watermark.
+    ``column`` may have any type whose text casts back to the same value: times, dates, numbers,
+    text. The batch is stored under its starting watermark, so a run that died before the
+    record was written is replaced by its retry. Returns the new watermark. Rows with a null
+    in ``column`` have no place in the order and are not copied.
     """
-    spark = source.sparkSession
-    low = read_watermark(spark, state, table)
-    as_type = source.schema[column].dataType
-    batch = source.where(F.col(column) > F.lit(low).cast(as_type))
-    if until:
-        batch = batch.where(F.col(column) <= F.lit(until).cast(as_type))
-    tagged = batch.withColumn("_after", F.lit(low.replace(":", "-").replace(" ", "T")))
+    spark, dtype = source.sparkSession, source.schema[column].dataType
+    low = read_watermark(spark, state, table, dtype)
+    batch = source.where(F.col(column).isNotNull() if low is None else F.col(column) > F.lit(low).cast(dtype))
+    if until is not None:
+        batch = batch.where(F.col(column) <= F.lit(until).cast(dtype))
+    after = batch_name(low)
+    tagged = batch.withColumn("_after", F.lit(after))
     overwrite_partitions(tagged, path, ["_after"])
-    loaded = spark.read.schema(tagged.schema).parquet(path).where(F.col("_after") == low.replace(":", "-").replace(" ", "T"))
-    high = loaded.agg(F.date_format(F.max(column), "yyyy-MM-dd HH:mm:ss")).first()[0]
+    high = spark.read.schema(tagged.schema).parquet(path).where(F.col("_after") == after).agg(F.max(column).cast("string")).first()[0]
     if high is None:
         return low
     spark.createDataFrame([(table, high)], "table string, watermark string").write.mode("append").parquet(state)
     return high
 
 
+def batch_name(low: str | None) -> str:
+    """Folder name of the batch that starts behind a watermark; not a number or a date, so that
+    reading the folder back never turns it into one."""
+    return "first" if low is None else "after " + low
+
+
 class Model:
     """One model of a transformation project."""
 
@@ -116,14 +117,14 @@ def refresh_rollup(fact: DataFrame, path: str, bucket: Column, keys: list[str],
     return fact.sparkSession.read.schema(roll.schema).parquet(path)
 
 
-def write_report(df: DataFrame, path: str, keys: list[str], fmt: str = "csv") -> DataFrame:
-    """Stable report: rows in key order, so equal input gives equal files.
+def write_report(df: DataFrame, path: str, keys: list[str], fmt: str = "csv", single_file: bool = False) -> DataFrame:
+    """Stable report: rows in key order, so equal input gives equal rows in equal order.
 
-    A result with a small size estimate becomes one file; larger ones stay range-sorted
-    parts whose names follow the order.
+    Parts are range-sorted and named in that order. ``single_file`` asks for one part, which
+    one task then writes; only for reports known to be small.
     """
     ordered = df.orderBy(*keys)
-    if estimated_bytes(df) <= SINGLE_FILE_LIMIT:
+    if single_file:
         ordered = ordered.coalesce(1)
     writer = ordered.write.mode("overwrite")
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)

@@ -5,7 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from carryover.operators import access, dml, integrity, quality, semantic, steps
+from carryover.operators import access, dml, graph, integrity, quality, semantic, steps, training
 from carryover.operators.reshape import array_to_child, flatten_struct, item_arrays
 from carryover.session import scratch
 from carryover.sources import ingest, sinks
@@ -51,11 +51,23 @@ def test_watermark_load_retries_without_repeats(spark):
     path, state = scratch(spark, "inc"), scratch(spark, "state")
     assert sinks.incremental_load(src, "ts", path, state, "t", "2024-01-05") == "2024-01-05 00:00:00"
     # A run that wrote its rows but died before its record: the next one replaces it.
-    sinks.overwrite_partitions(src.where("id = 7").withColumn("_after", F.lit("2024-01-05T00-00-00")), path, ["_after"])
+    sinks.overwrite_partitions(src.where("id = 7").withColumn("_after", F.lit(sinks.batch_name("2024-01-05 00:00:00"))), path, ["_after"])
     assert sinks.incremental_load(src, "ts", path, state, "t") == "2024-01-10 00:00:00"
     assert sinks.incremental_load(src, "ts", path, state, "t") == "2024-01-10 00:00:00"
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(10))
-    assert sinks.read_watermark(spark, state, "other") == sinks.FIRST_WATERMARK
+    assert sinks.read_watermark(spark, state, "other", src.schema["ts"].dataType) is None
+
+
+@pytest.mark.parametrize("kind, values", [
+    ("timestamp_ntz", [dt.datetime(2024, 1, 1, 0, 0, 0, 250_000), dt.datetime(2024, 1, 1, 0, 0, 0, 999_999), dt.datetime(2024, 1, 1, 0, 0, 1)]),
+    ("bigint", [9, 10, 100]), ("date", [dt.date(2024, 1, 9), dt.date(2024, 1, 10), dt.date(2024, 2, 1)]), ("double", [0.1, 0.30000000000000004, 2.0]),
+    ("string", ["a", "b:c", "d/e"])])
+def test_watermarks_of_any_type(spark, kind, values):
+    path, state = scratch(spark, "inc"), scratch(spark, "state")
+    for n in (1, 2, 2, 3, 3):
+        src = spark.createDataFrame([(i, v) for i, v in enumerate(values[:n])] + [(9, None)], f"id int, w {kind}")
+        sinks.incremental_load(src, "w", path, state, "t")
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [0, 1, 2]
 
 
 def test_append_run_twice(spark):
@@ -69,8 +81,8 @@ def test_report_is_ordered_and_stable(spark):
     d = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "k int, v string")
     read = lambda p: [r.value for r in spark.read.text(p).collect()]
     a, b = scratch(spark, "r"), scratch(spark, "r")
-    sinks.write_report(d, a, ["k"])
-    sinks.write_report(d.repartition(3), b, ["k"])
+    sinks.write_report(d, a, ["k"], single_file=True)
+    sinks.write_report(d.repartition(3), b, ["k"], single_file=True)
     assert read(a) == read(b) == ["k,v", "1,a", "2,b", "3,c"]
 
 
@@ -186,5 +198,29 @@ def test_unreadable_payload_is_kept(spark):
 
 def test_nested_columns_keep_their_order(spark):
     d = spark.createDataFrame([('[{"name":"a","type":"RECORD","mode":"REPEATED","fields":[{"name":"b","type":"FLOAT"}]},{"name":"c"}]',)], "j string")
-    got = [(x.path, x.data_type, x.mode) for x in d.select(ingest.walk_columns(F.col("j")).alias("w")).first().w]
+    got = [(x.path, x.data_type, x.mode) for x in d.select(ingest.walk_columns(F.col("j"), ingest.column_depth(d, F.col("j"))).alias("w")).first().w]
     assert got == [("a", "STRUCT", "REPEATED"), ("a.b", "FLOAT64", "NULLABLE"), ("c", "STRING", "NULLABLE")]
+
+
+def test_nested_columns_of_any_depth(spark):
+    text = '{"name":"c15","type":"STRING"}'
+    for i in range(14, -1, -1):
+        text = '{"name":"c%d","type":"RECORD","description":"a ] } [ in \\\\"text\\\\"","fields":[%s]}' % (i, text)
+    text = text.replace("\\\\", "\\")
+    d = spark.createDataFrame([("[" + text + "]",), ('[{"name":"a","type":"STRING"}]',), (None,)], "j string")
+    depth = ingest.column_depth(d, F.col("j"))
+    assert depth == 15
+    paths = [[x.path for x in r.w] for r in d.select(ingest.walk_columns(F.col("j"), depth).alias("w")).collect()]
+    assert len(paths[0]) == 16 and paths[0][-1] == ".".join(f"c{i}" for i in range(16)) and paths[1] == ["a"]
+    with pytest.raises(Exception, match="nest deeper"):
+        d.select(ingest.walk_columns(F.col("j"), 5)).collect()
+
+
+def test_models_score_in_a_session_that_ran_a_loop(spark):
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    graph.waves(nodes, spark.createDataFrame([("b", "a")], "child string, parent string")).collect()
+    d = spark.createDataFrame([(float(i % 7), float(i % 3), float(i % 2)) for i in range(60)], "x double, y double, label double")
+    for kind in ("LOGISTIC_REG", "LINEAR_REG", "RANDOM_FOREST_CLASSIFIER"):
+        model = training.train(d, kind, ["x", "y"])
+        assert model.transform(d).where("prediction is not null").count() == 60
+        assert training.evaluate(model, d, kind).count() == 1

@@ -30,6 +30,25 @@ TYPE_RULES = [
     ("ARRAY", "array", "redesign"),
     ("STRUCT", "struct", "redesign"),
 ]
+# type of a warehouse column; types without one have no portable form there (fixed values)
+WAREHOUSE_TYPES = [
+    ("BOOL", "bit"), ("INT64", "bigint"), ("FLOAT64", "float"), ("NUMERIC", "decimal(38,9)"), ("BIGNUMERIC", "decimal(38,18)"),
+    ("STRING", "varchar(max)"), ("BYTES", "varbinary(max)"), ("DATE", "date"), ("DATETIME", "datetime2"), ("TIME", "time"),
+    ("TIMESTAMP", "datetime2"), ("JSON", "varchar(max)"),
+]
+TYPE_NOTES = [
+    ("BIGNUMERIC", "values may need more digits than the target has; profile them first"),
+    ("STRING", "profile the lengths before settling on varchar(max)"),
+    ("DATETIME", "civil time without a zone; choose timestamp_ntz or another civil form on purpose"),
+    ("TIMESTAMP", "an instant in UTC; say so when it is written"),
+    ("INTERVAL", "no portable form; store the parts"),
+    ("RANGE", "store start and end as columns"),
+    ("JSON", "keep the raw text and project typed fields later"),
+    ("GEOGRAPHY", "store WKT or GeoJSON and test the functions that are needed"),
+    ("ARRAY", "keep it nested in the lakehouse or make a child table"),
+    ("STRUCT", "keep it nested in the lakehouse or flatten it with lineage"),
+]
+UNKNOWN_TYPE_NOTE = "not a known type; find out whether it was misread or has no target"
 # legacy name, current name (fixed values)
 TYPE_ALIASES = [
     ("INTEGER", "INT64"),
@@ -59,10 +78,13 @@ def normal_type(c: Column) -> Column:
 
 
 def map_types(columns: DataFrame, type_col: str = "data_type") -> DataFrame:
-    """Adds source_type, target_type and compatibility; unknown types are unsupported."""
+    """Adds source_type, target_type, compatibility, warehouse_type and note; unknown types are
+    unsupported."""
     rules = rule_frame(columns.sparkSession, TYPE_RULES, "source_type string, target_type string, compatibility string")
     d = columns.withColumn("source_type", normal_type(F.col(type_col)))
-    return d.join(rules, "source_type", "left").na.fill({"target_type": "none", "compatibility": "unsupported"})
+    note = F.when(F.col("compatibility") == "unsupported", UNKNOWN_TYPE_NOTE).otherwise(F.coalesce(F.try_element_at(map_literal(TYPE_NOTES), "source_type"), F.lit("")))
+    return (d.join(rules, "source_type", "left").na.fill({"target_type": "none", "compatibility": "unsupported"})
+            .withColumn("warehouse_type", F.coalesce(F.try_element_at(map_literal(WAREHOUSE_TYPES), "source_type"), F.lit("none"))).withColumn("note", note))
 
 
 def type_findings(mapped: DataFrame, source: str = "source_id", path: str = "path") -> DataFrame:

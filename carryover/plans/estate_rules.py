@@ -166,7 +166,7 @@ def evidence_coverage(t):
 
 @query("findings", _ASSESSED + " select code, count(*)::bigint as n, count(distinct source_id)::bigint as components from fi group by 1")
 def findings(t):
-    f = all_findings(t, assessed(t))
+    f = all_findings(t, settle(assessed(t), "assessed"))
     return f.groupBy("code").agg(F.count("*").alias("n"), F.count_distinct("source_id").alias("components"))
 
 

@@ -24,6 +24,17 @@ def finish(t, df, name, mode="append"):
     return t.spark.read.schema(df.schema).parquet(path)
 
 
+def finish_windows(t, build, name):
+    """Run ``build(stream)`` over all input, then once more to emit the windows still open."""
+    path, ends = scratch(t.spark, name), scratch(t.spark, f"{name}-end")
+    src = S.with_end(stream(t), ends)
+    df = build(src)
+    S.run_to_files(df, path, path + "-ckpt")
+    S.mark_end(src, ends)
+    S.run_to_files(df, path, path + "-ckpt")
+    return t.spark.read.schema(df.schema).parquet(path)
+
+
 @query("stream_ingest", """
     select event_id, case when event_type = 'error' then -1 else (json_extract_string(props, '$.k'))::bigint end as k,
         event_type = 'error' as quarantined, true as stamped from events""")
@@ -33,22 +44,19 @@ def stream_ingest(t):
     return d.select("event_id", F.coalesce("k", F.lit(-1)).alias("k"), F.col("_bad").isNotNull().alias("quarantined"), F.col("_ingestion_time").isNotNull().alias("stamped"))
 
 
-_CLOSED = " where \"end\" <= (select max(ts) from events) - interval 1 hour"
-
-
 @query("stream_hourly_counts", """
     with w as (select date_trunc('hour', ts) as s, date_trunc('hour', ts) + interval 1 hour as "end", event_type, count(*)::bigint as n from events group by all)
-    select strftime(s, '%Y-%m-%d %H:%M:%S') as start, event_type, n from w""" + _CLOSED)
+    select strftime(s, '%Y-%m-%d %H:%M:%S') as start, event_type, n from w""")
 def stream_hourly_counts(t):
-    d = finish(t, S.windowed(stream(t), "ts", "1 hour", "1 hour", None, ["event_type"], [F.count("*").alias("n")]), "hourly")
+    d = finish_windows(t, lambda e: S.windowed(e, "ts", "1 hour", "1 hour", None, ["event_type"], [F.count("*").alias("n")]), "hourly")
     return d.select(F.date_format("start", FMT).alias("start"), "event_type", "n")
 
 
 @query("stream_tumbling_sum", """
     with w as (select time_bucket(interval 10 minute, ts) as s, time_bucket(interval 10 minute, ts) + interval 10 minute as "end", sum(value::decimal(18,2))::double as total from events group by all)
-    select strftime(s, '%Y-%m-%d %H:%M:%S') as start, total from w""" + _CLOSED)
+    select strftime(s, '%Y-%m-%d %H:%M:%S') as start, total from w""")
 def stream_tumbling_sum(t):
-    d = finish(t, S.windowed(stream(t), "ts", "1 hour", "10 minutes", None, [], [F.sum(money("value")).alias("total")]), "tumbling")
+    d = finish_windows(t, lambda e: S.windowed(e, "ts", "1 hour", "10 minutes", None, [], [F.sum(money("value")).alias("total")]), "tumbling")
     return d.select(F.date_format("start", FMT).alias("start"), F.col("total").cast("double").alias("total"))
 
 
@@ -75,16 +83,19 @@ def stream_idempotent_sink(t):
 
 @query("stream_late_data", """
     with w as (select date_trunc('hour', ts) as s, date_trunc('hour', ts) + interval 1 hour as "end", count(*)::bigint as n from events group by all)
-    select strftime(s, '%Y-%m-%d %H:%M:%S') as start, n, true as late_dropped from w""" + _CLOSED)
+    select strftime(s, '%Y-%m-%d %H:%M:%S') as start, n, true as late_dropped from w""")
 def stream_late_data(t):
     """On-time events run first; then the oldest half arrives again, behind the watermark."""
-    src, path = scratch(t.spark, "late_src"), scratch(t.spark, "late")
+    src, path, ends = scratch(t.spark, "late_src"), scratch(t.spark, "late"), scratch(t.spark, "late-end")
     t.events.write.parquet(src)
-    d = S.windowed(S.events_stream(t.spark, src, t.events.schema), "ts", "1 hour", "1 hour", None, [], [F.count("*").alias("n")])
+    events = S.with_end(S.events_stream(t.spark, src, t.events.schema), ends)
+    d = S.windowed(events, "ts", "1 hour", "1 hour", None, [], [F.count("*").alias("n")])
     S.run_to_files(d, path, path + "-ckpt")
     edge = t.events.agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2")).scalar()
     t.events.where(F.col("ts") < edge).write.mode("append").parquet(src)
     q = S.run_to_files(d, path, path + "-ckpt")
+    S.mark_end(events, ends)
+    S.run_to_files(d, path, path + "-ckpt")
     out = t.spark.read.schema(d.schema).parquet(path)
     return out.select(F.date_format("start", FMT).alias("start"), "n", F.lit(S.dropped_rows(q) > 0).alias("late_dropped"))
 
@@ -92,9 +103,9 @@ def stream_late_data(t):
 @query("stream_sliding", """
     with w as (select s, s + interval 1 hour as "end", count(*)::bigint as n from (
         select unnest([time_bucket(interval 30 minute, ts), time_bucket(interval 30 minute, ts) - interval 30 minute]) as s from events) group by all)
-    select strftime(s, '%Y-%m-%d %H:%M:%S') as start, n from w""" + _CLOSED)
+    select strftime(s, '%Y-%m-%d %H:%M:%S') as start, n from w""")
 def stream_sliding(t):
-    d = finish(t, S.windowed(stream(t), "ts", "1 hour", "1 hour", "30 minutes", [], [F.count("*").alias("n")]), "sliding")
+    d = finish_windows(t, lambda e: S.windowed(e, "ts", "1 hour", "1 hour", "30 minutes", [], [F.count("*").alias("n")]), "sliding")
     return d.select(F.date_format("start", FMT).alias("start"), "n")
 
 
@@ -102,9 +113,9 @@ def stream_sliding(t):
     with e as (select user_id, ts, case when ts - lag(ts) over w <= interval 2 hour then 0 else 1 end as fresh from events window w as (partition by user_id order by ts)),
     s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts, fresh rows unbounded preceding) as sid from e),
     g as (select user_id, min(ts) as a, max(ts) + interval 2 hour as "end", count(*)::bigint as n from s group by user_id, sid)
-    select user_id, strftime(a, '%Y-%m-%d %H:%M:%S') as start, n from g""" + _CLOSED)
+    select user_id, strftime(a, '%Y-%m-%d %H:%M:%S') as start, n from g""")
 def stream_session(t):
-    d = finish(t, S.sessions(stream(t), "ts", "1 hour", "2 hours", ["user_id"], [F.count("*").alias("n")]), "session")
+    d = finish_windows(t, lambda e: S.sessions(e, "ts", "1 hour", "2 hours", ["user_id"], [F.count("*").alias("n")]), "session")
     return d.select("user_id", F.date_format("start", FMT).alias("start"), "n")
 
 

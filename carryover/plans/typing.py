@@ -9,10 +9,16 @@ from carryover.plans.registry import query
 from carryover.sources.estate import COLUMNS_SQL, TYPE_CASE_SQL, estate_columns
 
 
+def _case(pairs, other):
+    return f"case {TYPE_CASE_SQL['norm']} " + " ".join(f"when '{k}' then '{v}'" for k, v in pairs) + f" else '{other}' end"
+
+
 @query("type_map", COLUMNS_SQL + f"""
-    select source_id, path, data_type, {TYPE_CASE_SQL['target']} as target_type, {TYPE_CASE_SQL['compat']} as compatibility from estate_columns""")
+    select source_id, path, data_type, {TYPE_CASE_SQL['target']} as target_type, {TYPE_CASE_SQL['compat']} as compatibility,
+        {_case(typemap.WAREHOUSE_TYPES, 'none')} as warehouse_type,
+        case when {TYPE_CASE_SQL['compat']} = 'unsupported' then '{typemap.UNKNOWN_TYPE_NOTE}' else {_case(typemap.TYPE_NOTES, '')} end as note from estate_columns""")
 def type_map(t):
-    return typemap.map_types(estate_columns(t)).select("source_id", "path", "data_type", "target_type", "compatibility")
+    return typemap.map_types(estate_columns(t)).select("source_id", "path", "data_type", "target_type", "compatibility", "warehouse_type", "note")
 
 
 @query("type_findings", COLUMNS_SQL + f""", m as (select source_id, path, {TYPE_CASE_SQL['norm']} as source_type,

@@ -38,8 +38,20 @@ def remote_fn_batch(t):
     return U.remote_function(d, "request", "answer", "string", answer, 200).select("doc_id", "answer")
 
 
-@query("custom_udaf", "select vec_id, round(list_sum(embedding::double[]) / len(embedding), 9) as mean from embeddings")
+@query("custom_udaf", """
+    select l_returnflag, l_linestatus, round((sum(l_extendedprice::decimal(18,2) * l_quantity::decimal(18,2)) / sum(l_quantity::decimal(18,2)))::double, 6) as price,
+        round((sum(c * c) / (sum(c) * sum(c)))::double, 9) as concentration
+    from (select l_returnflag, l_linestatus, l_extendedprice, l_quantity, 1.0::decimal(18,2) as c from lineitem) group by all""")
 def custom_udaf(t):
+    one = F.lit(1).cast("decimal(18,2)")
+    d = t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(
+        F.round(U.weighted_mean(F.col("l_extendedprice"), F.col("l_quantity")), 6).alias("price"),
+        F.round(U.concentration(one), 9).alias("concentration"))
+    return d
+
+
+@query("sequence_mean", "select vec_id, round(list_sum(embedding::double[]) / len(embedding), 9) as mean from embeddings")
+def sequence_mean(t):
     return t.embeddings.select("vec_id", F.round(U.sequence_mean(F.col("embedding")), 9).alias("mean"))
 
 

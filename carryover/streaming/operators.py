@@ -23,6 +23,24 @@ def events_stream(spark: SparkSession, path: str, schema, time: str = "ts", **op
     return d.withColumn(time, F.col(time).cast("timestamp"))
 
 
+END_OF_INPUT = "9999-12-01 00:00:00"
+
+
+def with_end(stream: DataFrame, folder: str) -> DataFrame:
+    """A stream that can be told that its input has ended (see ``mark_end``)."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(folder)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
+
+
+def mark_end(stream: DataFrame, folder: str, time: str = "ts") -> None:
+    """Add one row, null but for a time behind all others: the next run of the query moves its
+    watermark there and emits every window that was still open. The row's own windows stay open."""
+    spark = stream.sparkSession
+    row = [F.lit(END_OF_INPUT if f.name == time else None).cast(f.dataType).alias(f.name) for f in stream.schema]
+    spark.range(1).select(*row).write.mode("append").parquet(folder)
+
+
 def run_to_files(df: DataFrame, path: str, checkpoint: str, mode: str = "append", **trigger):
     """Run until all available input is done; returns the finished query."""
     q = (df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
@@ -91,8 +109,14 @@ def retained(df: DataFrame, time: str, now: str, days: int = 90) -> DataFrame:
 
 
 def dropped_rows(query) -> int:
-    """State-operator rows a query dropped because they were behind the watermark."""
+    """State-operator rows a query dropped because they were behind the watermark.
+
+    Spark keeps the progress of the newest batches only (``numRecentProgressUpdates``); a query
+    with more batches than that is an error here, not a count that leaves some out.
+    """
     total = 0
+    if len(query.recentProgress) >= int(SparkSession.active().conf.get("spark.sql.streaming.numRecentProgressUpdates")):
+        raise ValueError("older batches are no longer kept; raise spark.sql.streaming.numRecentProgressUpdates")
     for p in query.recentProgress:
         ops = p["stateOperators"] if isinstance(p, dict) or hasattr(p, "__getitem__") else p.stateOperators
         total += sum(int(o["numRowsDroppedByWatermark"] if isinstance(o, dict) else o.numRowsDroppedByWatermark) for o in ops)

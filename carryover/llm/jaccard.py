@@ -15,7 +15,8 @@ passes is verified on the full sets. Links become components by alternating star
 
 from __future__ import annotations
 
-from math import ceil
+from functools import cache
+from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,33 +28,41 @@ from carryover.llm.frames import BINARY, LONG, arrow_map, chosen
 from carryover.llm.text import Texts, mix, windows
 from carryover.session import settle
 
-#: 100 * intersection >= PERCENT * union links two sets.
+#: 100 * intersection >= percent * union links two sets; this is the percentage if none is given.
 PERCENT = 90
 SKETCH = 8
 SPARE = 2
-#: Sets below this size link with equal sets only.
-SMALLEST = 9
 RATIO = 1.5
+#: Segments of fewer n-grams than this on average are often empty or hold one.
+THIN = 4
 #: Weight of a stranger in a bucket against one signature row; strangers thin out by a
 #: factor of four with each n-gram that a segment holds.
 STRANGER = 1000.0
 
 
-def _bands(limit: int = 1 << 40) -> list[int]:
-    out = [SMALLEST]
-    while out[-1] < limit:
-        out.append(ceil(out[-1] * RATIO))
-    return out
+def smallest(percent: int) -> int:
+    """Sets below this size link with equal sets only."""
+    return ceil(percent / (100 - percent))
 
 
-BANDS = np.array(_bands())
+@cache
+def bands(percent: int, limit: int = 1 << 40) -> np.ndarray:
+    """Where the size bands begin; no set links with one more than a band below."""
+    if not 0 < percent < 100:
+        raise ValueError("percent has to be 1 to 99")
+    out = [smallest(percent)]
+    while out[-1] < limit:
+        out.append(max(ceil(out[-1] * RATIO), ceil(out[-1] * 100 / percent), out[-1] + 1))
+    return np.array(out)
 
 
-def allot(low: int, high: int) -> tuple[int, int, int]:
+def allot(low: int, high: int, percent: int = PERCENT) -> tuple[int, int, int]:
     """(segments, how many of them with one deletion, spare ones) for sets of low..high - 1
     n-grams: the cheapest mix whose segments count for more than the differences."""
     top = high - 1
-    most = (top + top * 100 // PERCENT) * (100 - PERCENT) // (100 + PERCENT)
+    most = (top + top * 100 // percent) * (100 - percent) // (100 + percent)
+    if low < THIN * (most + 1) and most > 1:
+        return _thin(low, high, most)
     n, best = (low + top) / 2, (float("inf"), 0, 0, 0)
     for deleted in range(min(most + 1, 4)):
         spare = SPARE if not deleted else 0
@@ -66,7 +75,28 @@ def allot(low: int, high: int) -> tuple[int, int, int]:
     return best[1:]
 
 
-ALLOTTED = np.array([allot(a, b) for a, b in zip(BANDS.tolist(), BANDS[1:].tolist(), strict=False)])
+def _thin(low: int, high: int, most: int) -> tuple[int, int, int]:
+    """As ``allot``, where plain segments would be thin: small sets have few, each with one
+    deletion; of large ones so many are spare that no set has to keep an empty one, which
+    it would share with all sets of its band."""
+    spare, deleted = SPARE, (most + 2) // 2
+    while high > 128 and spare <= most:
+        segments = most + 1 + spare
+        empty = segments * exp(-low / segments)
+        if spare >= empty + 4 * sqrt(empty):
+            return segments, 0, spare
+        spare += max(1, spare // 50)
+    return max(most + 1 - deleted, deleted), deleted, 0
+
+
+@cache
+def allotted(percent: int) -> np.ndarray:
+    """``allot`` of each band."""
+    cut = bands(percent).tolist()
+    return np.array([allot(a, b, percent) for a, b in zip(cut, cut[1:], strict=False)])
+
+
+BANDS, ALLOTTED = bands(PERCENT), allotted(PERCENT)
 
 
 def shingle_sets(t: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,13 +138,13 @@ def sketches(d: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
     return out.reshape(n, SKETCH).view(np.int64)
 
 
-def signatures(d: np.ndarray, g: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(d: np.ndarray, g: np.ndarray, size: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """(text, signature) of all sets that can link with a different one."""
-    band = np.searchsorted(BANDS, size, "right") - 1
-    under = np.searchsorted(BANDS, -(-size * PERCENT // 100), "right") - 1
+    band = np.searchsorted(bands(percent), size, "right") - 1
+    under = np.searchsorted(bands(percent), -(-size * percent // 100), "right") - 1
     one, two = np.flatnonzero(band >= 0), np.flatnonzero((under >= 0) & (under < band))
     job_text, job_band = np.concatenate([one, two]), np.concatenate([band[one], under[two]])
-    m, deleted, spare = ALLOTTED[job_band].T
+    m, deleted, spare = allotted(percent)[job_band].T
     slot0 = np.cumsum(m) - m
     bounds = np.searchsorted(d, np.arange(len(size) + 1))
     count = size[job_text]
@@ -136,13 +166,13 @@ def signatures(d: np.ndarray, g: np.ndarray, size: np.ndarray) -> tuple[np.ndarr
             np.concatenate([sig[keep], mix((total[slot[less]] - value[less]) ^ place[slot[less]])]).view(np.int64))
 
 
-def read_sets(docs: DataFrame, n: int) -> DataFrame:
+def read_sets(docs: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
     """Per row of (_id, text): size, class, parity sketch and signatures of its set."""
     def read(b: pa.RecordBatch) -> dict:
         t = Texts(b.column("text"), lower=True)
         d, g = shingle_sets(t, n)
         size, name = class_of(d, g, t.n)
-        who, sig = signatures(d, g, size)
+        who, sig = signatures(d, g, size, percent)
         order = np.argsort(who, kind="stable")
         cut = np.searchsorted(who[order], np.arange(t.n + 1)).astype(np.int32)
         sk = sketches(d, g, t.n)
@@ -162,7 +192,7 @@ def read_members(docs: DataFrame, n: int) -> DataFrame:
     return arrow_map(docs, read, {"cls": LONG, "grams": BINARY}, ["want"])
 
 
-def _close(a: str, b: str, percent: int = PERCENT) -> Column:
+def _close(a: str, b: str, percent: int) -> Column:
     """What every linked pair fulfils: sizes within reach, and no more parity bits apart than
     n-grams can differ."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -170,7 +200,7 @@ def _close(a: str, b: str, percent: int = PERCENT) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (apart * (100 + percent) <= (na + nb) * (100 - percent))
 
 
-def verify(pairs: DataFrame, own: DataFrame, info: DataFrame, n: int) -> DataFrame:
+def verify(pairs: DataFrame, own: DataFrame, info: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of classes that link, decided on the full sets. Texts are read again
     for one representative of each class in question."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(info.select("cls", "rep"), "cls")
@@ -185,7 +215,7 @@ def verify(pairs: DataFrame, own: DataFrame, info: DataFrame, n: int) -> DataFra
         for x, y in zip(batch.column("ga"), batch.column("gb"), strict=True):
             p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             shared = len(p) + len(q) - len(np.union1d(p, q))
-            link.append(100 * shared >= PERCENT * (len(p) + len(q) - shared))
+            link.append(100 * shared >= percent * (len(p) + len(q) - shared))
         return {"_rows": np.flatnonzero(link)}
 
     return settle(arrow_map(both, check, {}, ["a", "b"], "ga"), "links")
@@ -213,9 +243,9 @@ def components(links: DataFrame) -> DataFrame:
 class Join:
     """The tables of one join: rows, candidate buckets, and what is known of their classes."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int):
-        self.n, self.own = n, chosen(docs, _id=id_col, text=text_col)
-        self.sets = settle(read_sets(self.own, n), "sets")
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int = PERCENT):
+        self.n, self.percent, self.own = n, percent, chosen(docs, _id=id_col, text=text_col)
+        self.sets = settle(read_sets(self.own, n, percent), "sets")
         rows = self.sets.filter("_id is not null").select("cls", F.explode("sigs").alias("sig"))
         shared = rows.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("sig")
         self.members = settle(rows.join(shared, "sig").distinct(), "buckets")
@@ -229,7 +259,7 @@ class Join:
         hub = self.members.join(weight, "cls").groupBy("sig").agg(F.max_by("cls", F.struct("weight", "cls")).alias("hub"))
         pairs = self.members.join(hub, "sig").filter("cls <> hub").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
         x, y = self.info.select(F.col("cls").alias("a"), F.struct(*self.info.columns).alias("x")), self.info.select(F.col("cls").alias("b"), F.struct(*self.info.columns).alias("y"))
-        return settle(pairs.join(x, "a").join(y, "b").filter(_close("x", "y")).select("a", "b"), "pairs")
+        return settle(pairs.join(x, "a").join(y, "b").filter(_close("x", "y", self.percent)).select("a", "b"), "pairs")
 
     def rest(self, labels: DataFrame | None, done: DataFrame | None) -> DataFrame:
         """All close pairs of a bucket, if labels are given those across components only."""
@@ -237,36 +267,36 @@ class Join:
         m = m.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")) if labels is not None else m.withColumn("label", F.col("cls"))
         mixed = m.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
         m = m.join(mixed, "sig", "left_semi")
-        pairs = (m.alias("x").join(m.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") < F.col("y.label")) & _close("x", "y"))
+        pairs = (m.alias("x").join(m.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") < F.col("y.label")) & _close("x", "y", self.percent))
                  .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct())
         return settle(pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs, "pairs")
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(links, membership): every linked pair of different sets, as the smallest ids of their
     classes, and the class of each row, likewise. Copies are not expanded into pairs."""
-    j = Join(docs, id_col, text_col, n)
-    links = verify(j.rest(None, None), j.own, j.info, n)
+    j = Join(docs, id_col, text_col, n, percent)
+    links = verify(j.rest(None, None), j.own, j.info, n, percent)
     rep = j.sets.filter("_id is not null and n > 0").groupBy("cls").agg(F.min("_id").alias("rep"))
     a, b = rep.select(F.col("cls").alias("a"), F.col("rep").alias("id_a")), rep.select(F.col("cls").alias("b"), F.col("rep").alias("id_b"))
     pairs = links.join(a, "a").join(b, "b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
     return pairs, j.sets.filter("_id is not null and n > 0").join(rep, "cls").select(F.col("_id").alias(id_col), F.col("rep").alias("class_id"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = PERCENT) -> DataFrame:
     """One row per input row: the id, ``n_shingles`` and ``component_id``, the smallest id that
-    links of at least ``PERCENT`` per cent lead to.
+    links of at least ``percent`` per cent lead to.
 
     A text without words (null, empty or white space) has no n-grams and links with nothing; a
     row with a null id links with nothing and has a null component. Rows of equal sets are one
     class, repeated rows among them, and each is returned. Other columns are not looked at.
     Classes and n-grams are told apart by 64-bit hashes.
     """
-    j = Join(docs, id_col, text_col, n)
+    j = Join(docs, id_col, text_col, n, percent)
     first = j.stars()
-    links = verify(first, j.own, j.info, n)
+    links = verify(first, j.own, j.info, n, percent)
     labels = components(links)
-    links = links.unionByName(verify(j.rest(labels, first), j.own, j.info, n))
+    links = links.unionByName(verify(j.rest(labels, first), j.own, j.info, n, percent))
     labels = components(links)
     real = j.sets.filter("_id is not null and n > 0")
     named = real.groupBy("cls").agg(F.min("_id").alias("rep")).join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
@@ -277,10 +307,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.unionByName(alone).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = PERCENT) -> DataFrame:
     """``docs`` without all but the first document of each component, columns unchanged. Rows
     with a null id stay; rows of one id and text are one document."""
-    found = settle(jaccard_components(docs, id_col, text_col, n), "components")
+    found = settle(jaccard_components(docs, id_col, text_col, n, percent), "components")
     first = found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("_rows"))
     ids = first.select(F.col(id_col).alias("_first"))
     kept = docs.join(ids, docs[id_col] == ids["_first"], "left_semi")

@@ -13,6 +13,9 @@ from carryover.llm import bpe, decontaminate, jaccard, quality, secretscan
 from carryover.llm.queries import RANKS, table
 from carryover.session import settle
 
+#: Near duplicates: word n-grams of this size, and the Jaccard similarity in per cent that links.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality rules reject."""
@@ -21,7 +24,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the first by id, of each group of near duplicates."""
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,3 +129,47 @@ def test_edge_cases(spark):
     assert kept.columns == edge(spark).columns
     ids = sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect())
     assert ids == [-1, -1, 0, 2, 3, 4, 5, 6, 7, 8]
+
+
+def linked_at(a, b, percent):
+    return bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
+
+
+@pytest.mark.parametrize("seed, sizes, n", [(11, [9, 12, 16, 20, 30], 50), (12, [40, 60, 90, 130], 40), (13, [200, 400, 900], 12)])
+def test_five_words_and_80_per_cent_match_brute_force(spark, seed, sizes, n):
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(seed, sizes, n))]
+    rnd, vocab = random.Random(seed), [f"v{i}" for i in range(4000)]
+    for i, t in list(rows[::3]):
+        rows.append((len(rows), " ".join([t, *rnd.choices(vocab, k=len(t.split()) * rnd.randrange(8, 28) // 100)])))
+    sets = [shingles(t, 5) for _, t in rows]
+    label = list(range(len(rows)))
+    apart = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if linked_at(sets[i], sets[j], 80):
+                apart += not linked(shingles(rows[i][1]), shingles(rows[j][1]))
+                label = [label[j] if x == label[i] else x for x in label]
+    low = {}
+    for i, x in enumerate(label):
+        low[x] = min(low.get(x, i), i)
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(edge(spark, rows), n=5, percent=80).collect()}
+    assert got == {i: low[x] for i, x in enumerate(label)} and apart
+    assert {r.doc_id for r in J.keep_one(edge(spark, rows), n=5, percent=80).collect()} == set(low.values())
+
+
+@pytest.mark.parametrize("percent", [50, 67, 80, 95])
+def test_allotments_cover_the_differences_at(percent):
+    cut = J.bands(percent).tolist()[:25]
+    for (low, high), (m, deleted, spare) in zip(zip(cut, cut[1:], strict=False), J.allotted(percent)[:24].tolist(), strict=True):
+        most = max((high - 1 + b) * (100 - percent) // (100 + percent) for b in range(high - 1, (high - 1) * 100 // percent + 1))
+        assert m + deleted - spare >= most + 1 and (not spare or not deleted) and 0 <= deleted <= m, (low, high)
+
+
+def test_pipeline_links_five_words_and_80_per_cent(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, *[f"more{i}" for i in range(40)]])), (3, " ".join(rnd.sample(base, 200)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()} == {1, 3}

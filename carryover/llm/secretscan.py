@@ -47,7 +47,7 @@ def strong(text: str, hexes: list[tuple[int, int]]) -> list[Span]:
 
 def linked(text: str, base: list[Span]) -> list[Span]:
     """Weak parts with a complement in their scope and apart from every base find."""
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and not any(k == 1 for _, k, _ in base):
         return []
     weak = [(m.start(1), 4, m.end(1)) for m in WEAK.finditer(text)]
     ident = [(m.start(1), 3, m.end(1)) for m in IDENT.finditer(text)]

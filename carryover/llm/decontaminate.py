@@ -155,8 +155,11 @@ class ItemIndex:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         if found:
             c = np.unique(np.concatenate(found), axis=0)
-            # candidates a word or two apart are one place, whose region is verified once
-            near = np.concatenate([[True], (np.diff(c[:, 0]) != 0) | (np.diff(c[:, 1]) != 0) | (np.diff(c[:, 2]) > 2)])
+            # candidates a word or two apart are one place, whose region is verified once; a
+            # longer chain of them is cut, so that each is at most two words behind a verified one
+            new = np.concatenate([[True], (np.diff(c[:, 0]) != 0) | (np.diff(c[:, 1]) != 0) | (np.diff(c[:, 2]) > 2)])
+            part = (c[:, 2] - c[np.flatnonzero(new), 2][np.cumsum(new) - 1]) // 3
+            near = new | np.concatenate([[True], np.diff(part) != 0])
             for d, item, at in self._promising(c[near], h, cut).tolist():
                 got = _verify(self.items[item], h[cut[d]:cut[d + 1]], at - int(cut[d]))
                 if got and (got[2], got[0], got[1]) < best.get((d, item), (1 << 60,)):

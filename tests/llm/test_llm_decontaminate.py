@@ -70,3 +70,17 @@ def test_edge_cases(spark):
     assert kept.columns == edge(spark).columns
     assert sorted((r.doc_id or 0, len(r.text or "")) for r in kept.collect()) == sorted((d or 0, len(t or "")) for d, t in EDGE if t != PROSE)
     assert any(r.text == LONG for r in kept.collect()) and D.drop_leaks(edge(spark), bench(spark).limit(0)).count() == len(EDGE)
+
+
+def test_an_item_behind_a_long_run_of_its_first_words():
+    import pyarrow as pa
+
+    rnd = random.Random(21)
+    for period in (["ha"], ["ha", "ho"]):
+        for run in (0, 20, 60, 62, 300):
+            start = (period * 8)[:8]
+            item = [*start, *rnd.sample(VOCAB, 12)]
+            text = [*(period * run)[:run], *item, *rnd.sample(VOCAB, 5)]
+            index = D.ItemIndex.build([1], [" ".join(item)])
+            got = index.hits(D.folded(pa.array([" ".join(text)])))
+            assert got == [(0, 0, run, 20, 0)], (period, run, got)

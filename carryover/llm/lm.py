@@ -27,7 +27,7 @@ from carryover.llm.text import BASE, Texts, mix, pieces
 from carryover.session import settle
 
 #: Words of the longest n-gram, 2 to 4. Each order above 2 adds about as much shuffle again.
-ORDER = 2
+ORDER = 3
 #: Weight of the shorter context, by order from 2.
 PRIORS = (50.0, 50.0, 50.0, 50.0)
 BLOCK_BYTES = 8 << 20

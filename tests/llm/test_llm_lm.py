@@ -100,3 +100,14 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     docs = spark.createDataFrame([(i, walk()) for i in range(200)], "doc_id long, text string")
     r = lm.score_texts(docs, F.col("doc_id") < 160).where("doc_id >= 160").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r.s > r.b * 0.8
+
+
+def test_the_query_scores_with_order_3(spark, tmp_path):
+    from carryover.llm import queries
+
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choices("a b c d".split(), k=12))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op3_lm_score(spark, str(tmp_path)).collect()}
+    want = brute(rows, [not got[d].held_out for d, _ in rows], 3)
+    assert all(abs(got[d].score - w[4]) < 2e-3 * abs(w[4]) for (d, _), w in zip(rows, want, strict=True))

@@ -20,9 +20,9 @@ UND = "und"
 
 
 def _folding() -> np.ndarray:
-    """For code points of the first plane: a letter's lower case, else a space."""
-    out = np.full(1 << 16, 0x20, np.uint32)
-    for c in range(1 << 16):
+    """For all code points: a letter's lower case, else a space."""
+    out = np.full(0x110000, 0x20, np.uint32)
+    for c in range(0x110000):
         ch = chr(c)
         if ch.isalpha():
             low = ch.lower()
@@ -39,7 +39,7 @@ def fold(t: Texts) -> tuple[np.ndarray, np.ndarray]:
         _FOLD.append(_folding())
     text = t.buf.tobytes().decode("utf-8", "replace")
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(cp < 1 << 16, _FOLD[0][np.minimum(cp, 0xFFFF)], cp), t.code_points()[t.off].astype(np.int64)
+    return _FOLD[0][cp], t.code_points()[t.off].astype(np.int64)
 
 
 def grams(cp: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -34,3 +34,15 @@ def test_folds(spark):
     got = {r.i: r.h for r in d.select("i", G.held_out(F.col("i"), 4, 2).alias("h")).collect()}
     assert got.pop(None) is False
     assert got == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(50)}
+
+
+def test_only_letters_of_any_plane_count():
+    import numpy as np
+    import pyarrow as pa
+
+    from carryover.llm.text import Texts
+
+    m = G.LanguageModel(("de", "en"), np.log(np.array([0.5, 0.5])), np.zeros((2, G.BUCKETS), np.float32))
+    lang, score = m.predict(Texts(pa.array(["\U0001F600\U0001F680", "\U0001F600 12", "\U00020000", "\U00010400"])))
+    assert lang == ["und", "und", "de", "de"] and score.tolist() == [0.0, 0.0, 0.5, 0.5]
+    assert G._folding()[0x10400] == 0x10428

@@ -16,14 +16,16 @@ BUCKETS = 1 << 16
 ORDERS = (3, 4, 5)
 MAX_LABELLED = 20_000
 UPPER_CASE, LOWER_CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A small labelled table of made-up urls: 1 is to be blocked. Both kinds have the same
-#: domains and paths, so that only the names of hosts tell them apart.
-UNWANTED = ("casino-royal", "online-casino", "win-casino", "free-bets", "best-bets", "sports-bets", "spam-farm", "link-farm", "seo-spam", "ads-server", "ads-track", "ad-tracker",
-            "click-ads", "poker-bonus", "free-slots", "cheap-pills", "adult-cams", "xxx-videos", "lottery-win", "payday-loans")
+#: A small labelled table of made-up urls: 1 is to be blocked. In the first part both kinds have
+#: the same domains and paths, in the second both have the same hosts, and names in the path tell them apart.
+UNWANTED = ("casino-royal", "online-casino", "win-casino", "free-poker", "best-bets", "sports-bets", "spam-site", "link-farm", "seo-spam", "ads-server", "ads-click", "ad-tracker",
+            "click-ads", "poker-bonus", "free-slots", "discount-pills", "adult-cams", "xxx-videos", "lottery-win", "payday-loans")
 WANTED = ("library", "gardening", "news", "weather", "python-docs", "museum", "university", "science", "cooking", "history", "health", "music-forum", "travel", "chess-wiki",
           "theatre", "another-thing", "nature", "station", "archive", "railway")
 LABELLED = tuple((f"https://{front}{name}.example.{domain}/{path}", label) for names, label in ((UNWANTED, 1), (WANTED, 0)) for name in names
                  for front, domain, path in (("", "com", "en/1042"), ("www.", "net", "fr/88.html"), ("m.", "org", "de/2020/?page=2"), ("blog.", "com", "")))
+LABELLED += tuple((f"https://{host}/{front}{name}{back}", label) for names, label in ((UNWANTED, 1), (WANTED, 0)) for name in names
+                  for host, front, back in (("www.example.com", "", "/index"), ("example.net", "en/", "/1042"), ("pages.example.org", "a/", ".html")))
 
 
 def host_of(url: Column) -> Column:

@@ -50,3 +50,13 @@ def test_large_tables_are_an_error(monkeypatch):
     monkeypatch.setattr(U, "MAX_LABELLED", 3)
     with pytest.raises(ValueError, match="more than 3"):
         U.fit_urls(["a"] * 4, ["/"] * 4, [0, 1, 0, 1])
+
+
+def test_urls_unwanted_by_path_alone():
+    import pyarrow as pa
+
+    model = U.fit_urls([u.split("/")[2] for u, _ in U.LABELLED], ["/" + u.split("/", 3)[3] for u, _ in U.LABELLED], [y for _, y in U.LABELLED])
+    bad, fine = ["/online-casino/bonus", "/en/casino-win/7", "/x/best-slots.html"], ["/science/museum", "/en/garden-history/7", "/x/railways.html"]
+    p = model.probability(pa.array(["www.example.com"] * 6), pa.array(bad + fine))
+    assert (p[:3] > 0.5).all() and (p[3:] < 0.5).all(), p
+    assert not {"ads-track", "free-bets", "spam-farm", "cheap-pills"} & set(U.UNWANTED)

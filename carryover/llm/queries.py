@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carryover.llm import bpe, decontaminate, dialogues, html, jaccard, langid, licenses, lm, oracles, quality, secretscan, urls
+from carryover.llm import bpe, collisions, decontaminate, dialogues, html, jaccard, langid, licenses, lm, oracles, quality, secretscan, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,10 +83,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, dropped = dialogues.damaged(table(spark, sf_dir, "conversations"))
     return dialogues.repair_report(rows, absent=dropped)
 
 
+ORACLES["op12_near_vectors"] = oracles.VECTORS
 ORACLES["op13_conversation_repair"] = oracles.CONVERSATIONS

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carryover.llm import bpe, collisions, decontaminate, dialogues, html, jaccard, langid, licenses, lm, oracles, quality, secretscan, urls
+from carryover.llm import bpe, collisions, decontaminate, dialogues, html, jaccard, langid, licenses, lm, negatives, oracles, quality, secretscan, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,6 +83,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return negatives.mine_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 @query
 def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collisions.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -94,5 +100,6 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogues.repair_report(rows, absent=dropped)
 
 
+ORACLES["op11_hard_negatives"] = oracles.NEGATIVES
 ORACLES["op12_near_vectors"] = oracles.VECTORS
 ORACLES["op13_conversation_repair"] = oracles.CONVERSATIONS

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -72,21 +74,18 @@ def units(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The rows of each key, from batches that are sorted by it."""
-    held: list[pa.RecordBatch] = []
-    last = None
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Batches that are sorted by the keys, cut where a key changes."""
     for b in batches:
         if not b.num_rows:
             continue
         k = [b.column(c).to_numpy(zero_copy_only=False) for c in keys]
         cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in k], axis=0)) + 1
         for a, e in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows], strict=True):
-            key = tuple(x[a] for x in k)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(a, e - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
+            yield tuple(x[a] for x in k), b.slice(a, e - a)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, from batches that are sorted by it."""
+    for _, parts in groupby(runs(batches, keys), key=itemgetter(0)):
+        yield pa.Table.from_batches([b for _, b in parts])

@@ -35,35 +35,46 @@ def decimal_text_sql(x: str) -> str:
     return f"if(contains(cast({x} as string), '.'), {cut}, cast({x} as string))"
 
 
-#: How nested values are written as JSON: no field left out, times to the microsecond.
-JSON_OPTIONS = "map('ignoreNullFields', 'false', 'timestampFormat', 'yyyy-MM-dd HH:mm:ss.SSSSSS', 'timestampNTZFormat', 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
-
-
-def canonical_value_sql(name: str, dtype: T.DataType) -> str:
-    """One column as text that no other value of its type has: a null is ``-``, any other
-    value its text behind the text's length and a colon.
-
-    Decimals of one value are one text whatever their scale; floats are written with the
-    digits that tell them from every other float; times are civil, to the microsecond. Maps are
-    put in key order, at the top level only.
+def canonical_sql(x: str, dtype: T.DataType, depth: int = 0) -> str:
+    """A value as text that no other value of its type has, equal for equal values.
+
+    A null is ``-``. A plain value is its text behind the text's length and a colon: decimals of
+    one value are one text whatever their scale, floats have the digits that tell them from every
+    other float (negative zero is zero), times are civil, to the microsecond. What holds values
+    is built from their forms at every depth: arrays in order behind their size, structs by field
+    name, maps by the form of their entries. Forms tell where they end, so none needs quoting.
     """
-    c = f"`{name}`"
+    if isinstance(dtype, T.StructType):
+        fields = "".join(f", {canonical_sql(f'{x}.`{f.name}`', f.dataType, depth)}" for f in sorted(dtype.fields, key=lambda f: f.name))
+        return f"if({x} is null, '{NULL_MARK}', concat('('{fields}, ')'))"
+    if isinstance(dtype, (T.ArrayType, T.MapType)):
+        v = f"v{depth}"
+        if isinstance(dtype, T.ArrayType):
+            forms = f"transform({x}, {v} -> {canonical_sql(v, dtype.elementType, depth + 1)})"
+        else:
+            entry = f"concat({canonical_sql(f'{v}.key', dtype.keyType, depth + 1)}, {canonical_sql(f'{v}.value', dtype.valueType, depth + 1)})"
+            forms = f"array_sort(transform(map_entries({x}), {v} -> {entry}))"
+        return f"coalesce(concat('[', cast(size({x}) as string), ':', array_join({forms}, ''), ']'), '{NULL_MARK}')"
     if isinstance(dtype, T.DecimalType):
-        out = decimal_text_sql(c)
+        out = decimal_text_sql(x)
+    elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+        out = f"cast({x} + cast(0 as {dtype.simpleString()}) as string)"
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        out = f"date_format({c}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
-    elif isinstance(dtype, T.MapType):
-        by_key = "(x, y) -> case when x.key < y.key then -1 when x.key > y.key then 1 else 0 end"
-        out = f"to_json(array_sort(map_entries({c}), {by_key}), {JSON_OPTIONS})"
-    elif isinstance(dtype, (T.ArrayType, T.StructType)):
-        out = f"to_json({c}, {JSON_OPTIONS})"
+        out = f"date_format({x}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
+    elif isinstance(dtype, T.VariantType):
+        out = f"to_json({x})"
     elif isinstance(dtype, T.BinaryType):
-        out = f"hex({c})"
+        out = f"hex({x})"
     else:
-        out = f"cast({c} as string)"
+        out = f"cast({x} as string)"
     return f"coalesce(concat(cast(length({out}) as string), ':', {out}), '{NULL_MARK}')"
 
 
+def canonical_value_sql(name: str, dtype: T.DataType) -> str:
+    """The canonical form of a column."""
+    return canonical_sql(f"`{name}`", dtype)
+
+
 def canonical_row_sql(schema: T.StructType, columns: list[str] | None = None) -> str:
     """The whole row as one text, columns in name order. Lengths tell where a value ends, so
     rows that differ have different texts."""
@@ -76,6 +87,12 @@ def row_digest_sql(schema: T.StructType) -> str:
     return f"sum(cast(conv(substr(md5({canonical_row_sql(schema)}), 1, 15), 16, 10) as decimal(28,0)))"
 
 
+def row_hash_sql(schema: T.StructType, columns: list[str]) -> list[str]:
+    """Two integers of 60 bits, disjoint parts of the md5 of some columns of a row."""
+    md5 = f"md5({canonical_row_sql(schema, columns)})"
+    return [f"cast(conv(substr({md5}, {at}, 15), 16, 10) as decimal(28,0))" for at in (1, 16)]
+
+
 def md5_slice(c: Column, digits: int = 15) -> Column:
     """First ``digits`` hex digits of the md5 as an exact integer."""
     return F.conv(F.substring(F.md5(c), 1, digits), 16, 10).cast("decimal(20,0)")

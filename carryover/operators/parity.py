@@ -13,11 +13,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carryover.functions.canonical import decimal_text_sql, md5_bucket, md5_slice, row_digest_sql
+from carryover.functions.canonical import canonical_value_sql, decimal_text_sql, md5_bucket, md5_slice, row_digest_sql, row_hash_sql
 from carryover.operators.bags import bag_diff
 from carryover.operators.typemap import schema_rows
+from carryover.session import settle
 
-ALGORITHM = "sum-md5-60-netstring"
+ALGORITHM = "sum-md5-60-netstring-2"
 ORDERING = "order-free"
 MAX_EXPRESSIONS = 300
 SAFE_IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]*$"
@@ -159,31 +160,44 @@ def parity_sample(source: DataFrame, target: DataFrame, key: str, percent: int)
 
 
 def row_diff(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that differ, with the names of the changed columns.
+    """Keys that differ: ``missing`` in the target, ``extra`` there, ``changed`` with the names
+    of the changed columns, or ``bag``.
 
-    A key that occurs more than once on a side has no row to be compared with; its copies
-    are compared as a bag, and reported as ``bag``.
+    A key that occurs more than once on a side has no row to be compared with; its copies are
+    compared as a bag. Values are compared in canonical form, which keeps nulls and positions.
+    First counts and digests of both sides meet, one small row a key and task; whole rows are
+    read only of keys whose only rows differ.
     """
     vals = [c for c in source.columns if c not in keys]
-    digest = (F.xxhash64(*vals) if vals else F.lit(0)).cast("decimal(38,0)")
 
-    def side(d, name):
-        return d.select(*keys, F.struct(*vals).alias("_r") if vals else F.struct(F.lit(0).alias("_none")).alias("_r"), digest.alias("_h"), F.lit(name).alias("_side"))
+    def side(d: DataFrame, name: str) -> DataFrame:
+        return d.selectExpr(*[f"`{k}`" for k in keys], *[f"{h} as _h{i}" for i, h in enumerate(row_hash_sql(d.schema, vals) if vals else ["0", "0"])], f"'{name}' as _side")
 
-    # Both sides meet in one aggregate; copies of a key fold to one entry before the shuffle.
     on = {n: F.col("_side") == n for n in "st"}
-    j = side(source, "s").unionByName(side(target, "t")).groupBy(*keys).agg(*[
-        x for n in "st" for x in (
-            F.nullif(F.count_if(on[n]), F.lit(0)).alias(f"_n{n}"), F.sum(F.when(on[n], F.col("_h"))).alias(f"_h{n}"),
-            F.first(F.when(on[n], F.col("_r")), ignorenulls=True).alias(f"_r{n}"))])
-    changed = F.array_compact(F.array(*[
-        F.when(~F.col(f"_rs.{c}").eqNullSafe(F.col(f"_rt.{c}")), F.lit(c)) for c in vals]))
-    single = (F.col("_ns") == 1) & (F.col("_nt") == 1)
-    op = (F.when(F.col("_nt").isNull(), "missing").when(F.col("_ns").isNull(), "extra")
-          .when(single & (F.size(changed) > 0), "changed")
-          .when(~single & ((F.col("_ns") != F.col("_nt")) | (F.col("_hs") != F.col("_ht"))), "bag"))
-    return j.withColumn("op", op).where("op is not null").select(
-        *keys, "op", F.when(F.col("op") == "changed", F.array_join(changed, ",")).otherwise("").alias("changed"))
+    zero = F.lit(0).cast("decimal(38,0)")
+    met = side(source, "s").unionByName(side(target, "t")).groupBy(*keys).agg(
+        *[F.count_if(on[n]).alias(f"_n{n}") for n in "st"],
+        *[F.coalesce(F.sum(F.when(on[n], F.col(f"_h{i}"))).cast("decimal(38,0)"), zero).alias(f"_{n}{i}") for n in "st" for i in (0, 1)])
+    apart = (F.col("_ns") != F.col("_nt")) | (F.col("_s0") != F.col("_t0")) | (F.col("_s1") != F.col("_t1"))
+    op = (F.when(F.col("_nt") == 0, "missing").when(F.col("_ns") == 0, "extra")
+          .when((F.col("_ns") == 1) & (F.col("_nt") == 1), "changed").otherwise("bag"))
+    found = settle(met.where(apart).select(*keys, op.alias("op")), "differing")
+
+    def rows(d: DataFrame, name: str) -> DataFrame:
+        """The only rows of changed keys, each value in canonical form."""
+        want = found.where("op = 'changed'").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+        same = [d[k].eqNullSafe(want[f"_k{i}"]) for i, k in enumerate(keys)]
+        types = {f.name: f.dataType for f in d.schema}
+        return d.join(want, same, "left_semi").selectExpr(*[f"`{k}` as {name}k{i}" for i, k in enumerate(keys)],
+                                                          *[f"{canonical_value_sql(c, types[c])} as {name}v{i}" for i, c in enumerate(vals)])
+
+    other = found.where("op <> 'changed'").withColumn("changed", F.lit(""))
+    if not vals:
+        return other
+    pairs = rows(source, "s").join(rows(target, "t"), [F.col(f"sk{i}").eqNullSafe(F.col(f"tk{i}")) for i in range(len(keys))])
+    changed = F.array_compact(F.array(*[F.when(F.col(f"sv{i}") != F.col(f"tv{i}"), F.lit(c)) for i, c in enumerate(vals)]))
+    named = pairs.select(*[F.col(f"sk{i}").alias(k) for i, k in enumerate(keys)], F.lit("changed").alias("op"), F.array_join(changed, ",").alias("changed"))
+    return other.unionByName(named)
 
 
 def build_pack(tables: dict[str, tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, list[tuple[str, str]]]:

@@ -78,6 +78,47 @@ def test_digest_takes_equal_values_as_equal(spark):
     assert {r.status for r in P.parity_report(a, b, "t", checks=("checksum",)).collect()} == {"passed"}
 
 
+NESTED = "named_struct('m', map({0}), 'a', array(named_struct('d', cast({1} as decimal({2})), 'f', cast({3} as double))))"
+
+
+@pytest.mark.parametrize("a,b,want", [
+    (("'x', 1, 'y', 2", "1.50", "9,2", "0.0"), ("'y', 2, 'x', 1", "1.5", "12,1", "-0.0"), "passed"),
+    (("'x', 1, 'y', 2", "1.50", "9,2", "0.1"), ("'x', 2, 'y', 1", "1.50", "9,2", "0.1"), "failed"),
+    (("'x', 1", "1.50", "9,2", "0.1"), ("'x', 1", "1.51", "9,2", "0.1"), "failed"),
+    (("'x', 1", "1.50", "9,2", "0.1"), ("'x', 1", "1.50", "9,2", "0.1 + 1e-17 + 1e-16"), "failed"),
+    (("'x', null", "1.50", "9,2", "0.1"), ("'x', 0", "1.50", "9,2", "0.1"), "failed"),
+    (("'x', 1", "null", "9,2", "0.1"), ("'x', 1", "0", "9,2", "0.1"), "failed"),
+])
+def test_digest_of_nested_values(spark, a, b, want):
+    """Order of map entries, scale and sign of zero do not count, at any depth; the rest does."""
+    a, b = (spark.sql(f"select array({NESTED.format(*x)}) as n") for x in (a, b))
+    assert {r.item: r.status for r in P.parity_report(a, b, "t", checks=("checksum",)).collect()}["value"] == want
+
+
+def test_digest_of_deep_types_stays_small(spark):
+    kind = "int"
+    for i in range(25):
+        kind = f"struct<a{i}:array<{kind}>>"
+    d = spark.createDataFrame([(None,)], f"x {kind}")
+    assert {r.status for r in P.parity_report(d, d, "t", checks=("checksum",)).collect()} == {"passed"}
+
+
+def test_row_diff_sees_where_nulls_are(spark):
+    """Two copies of (null, 7) are not two copies of (7, null); nor is one of each."""
+    kind = "k int, x int, y int"
+    a = spark.createDataFrame([(1, None, 7), (1, None, 7), (2, None, 7), (3, None, 7), (3, 7, None), (4, None, None)], kind)
+    b = spark.createDataFrame([(1, 7, None), (1, 7, None), (2, 7, None), (3, 7, None), (3, None, 7), (4, None, None)], kind)
+    assert sorted((r.k, r.op, r.changed) for r in P.row_diff(a, b, ["k"]).collect()) == [(1, "bag", ""), (2, "changed", "x,y")]
+
+
+def test_row_diff_compares_values_not_types(spark):
+    a = spark.sql("select 1 as k, cast(1.50 as decimal(9,2)) as d, map('a', 1, 'b', 2) as m, 5 as i")
+    b = spark.sql("select 1L as k, cast(1.5 as decimal(12,1)) as d, map('b', 2, 'a', 1) as m, 5L as i")
+    assert P.row_diff(a, b, ["k"]).count() == 0
+    c = spark.sql("select 1L as k, cast(1.5 as decimal(12,1)) as d, map('b', 1, 'a', 2) as m, 6L as i")
+    assert [tuple(r) for r in P.row_diff(a, c, ["k"]).collect()] == [(1, "changed", "m,i")]
+
+
 def test_row_diff_takes_null_keys_and_key_only_tables(spark):
     a = spark.createDataFrame([(None, "x"), (1, "y")], "k int, v string")
     b = spark.createDataFrame([(None, "x"), (1, "z")], "k int, v string")

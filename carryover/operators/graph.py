@@ -1,8 +1,10 @@
 """Fixed points over a dependency table: waves, cycles, downstream closures.
 
-``nodes(id)`` and ``edges(child, parent)`` stay DataFrames. Each round is one job that
-reads only what is left of the edges and writes the rest to the shared folder; the loop
-counters are observed during that write.
+``nodes(id)`` and ``edges(child, parent)`` stay DataFrames. Loops go by path doubling: round k
+joins a table of who is exactly ``2 ** k`` edges away, so a graph of a thousand levels takes
+ten rounds. Where such a table would outgrow the edges (hubs of hubs), waves fall back to
+peeling level by level, and closures to sweeps over the tables they have; the results are the
+same. Rounds are written to the shared folder and their counters observed on the way.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 from carryover.session import settle, settle_counted
 
 MAX_ROUNDS = 10_000
-#: Edges that one round of a closure follows: a job costs about as much for three as for one.
-HOPS = 3
+#: A table of far pairs may have so many times the edges, or so many rows if that is more.
+GROWTH, ROOMY = 8, 1 << 20
 
 
 def inside(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -54,60 +56,164 @@ def peel(edges: DataFrame, tip: str, base: str) -> tuple[list[DataFrame], DataFr
     raise RuntimeError("the graph is deeper than the round limit")
 
 
+class Steps:
+    """Edges and, as far as they are asked for, the pairs 2, 4, 8, ... edges apart."""
+
+    def __init__(self, edges: DataFrame):
+        first, n = settle_counted(edges.select("child", "parent").distinct(), "steps", n=F.count(F.lit(1)))
+        self.at, self.rows, self.limit = [first], [n["n"]], max(GROWTH * n["n"], ROOMY)
+
+    def grow(self) -> bool:
+        """Join the farthest pairs with themselves, unless that makes too many: the product of
+        degrees says so before."""
+        far, pairs = self.at[-1], self.rows[-1] ** 2
+        if pairs > self.limit:
+            above, below = far.groupBy("child").agg(F.count(F.lit(1)).alias("_a")), far.groupBy("parent").agg(F.count(F.lit(1)).alias("_b"))
+            pairs = above.join(below, F.col("child") == F.col("parent")).agg(F.sum(F.col("_a").cast("double") * F.col("_b"))).first()[0] or 0
+        if pairs > self.limit:
+            return False
+        low, high = far.select("child", F.col("parent").alias("_mid")), far.select(F.col("child").alias("_mid"), "parent")
+        more, n = settle_counted(low.join(high, "_mid").select("child", "parent").distinct(), "steps", n=F.count(F.lit(1)))
+        self.at.append(more)
+        self.rows.append(n["n"])
+        return True
+
+
+def levels(ids: DataFrame, steps: Steps) -> DataFrame:
+    """``id, level, stuck``: the longest way up from each node, in edges; without an end (on or
+    behind a cycle) the node is stuck. By peeling if the far pairs are too many.
+
+    After round k a level is exact below ``2 ** (k + 1) - 1`` and held there. A node of a finite
+    level has one of every lower level above it; so if the value below the bound is missing,
+    all that are held at it have no end.
+    """
+    k, d = 0, ids.select("id", F.lit(0).cast("long").alias("level"))
+    while True:
+        far = d.join(steps.at[k].select(F.col("parent").alias("id"), "child"), "id").select(F.col("child").alias("id"), (F.col("level") + (1 << k)).alias("level"))
+        held = (2 << k) - 1
+        d, n = settle_counted(d.unionByName(far).groupBy("id").agg(F.max("level").alias("level")), "levels",
+                              held=F.count_if(F.col("level") >= held), last=F.max(F.when(F.col("level") < held, F.col("level") + 1)))
+        if not n["held"] or n["last"] < held:
+            return d.withColumn("stuck", F.col("level") >= held)
+        if not steps.grow():
+            return settle(peeled(ids, steps.at[0]), "levels")
+        k += 1
+
+
+def peeled(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """``levels``, by peeling."""
+    rounds, left = peel(edges, "child", "parent")
+    # A node follows the round that removed the last of its edges.
+    gone = [g.select(F.col("child").alias("id"), F.lit(i + 1).cast("long").alias("level")) for i, g in enumerate(rounds)]
+    level = reduce(lambda a, b: a.unionByName(b), gone, ids.select("id", F.lit(0).cast("long").alias("level"))).groupBy("id").agg(F.max("level").alias("level"))
+    stuck = left.select(F.col("child").alias("id")).distinct().withColumn("stuck", F.lit(True))
+    return level.join(stuck, "id", "left").na.fill(False, ["stuck"])
+
+
 def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, wave, stuck``: a node is ready when everything it depends on inside the
     estate is done. Nodes on or behind a cycle never get ready; all of them share the
     wave after the last one."""
-    e = inside(nodes, edges)
-    rounds, left = peel(e, "child", "parent")
-    ids = nodes.select("id")
-    if not rounds:
-        level = ids.sparkSession.createDataFrame([], "id string, wave int")
-    else:
-        # A node follows the round that removed the last of its edges.
-        gone = reduce(lambda a, b: a.unionByName(b),
-                      [g.select(F.col("child").alias("id"), F.lit(i + 2).alias("wave")) for i, g in enumerate(rounds)])
-        level = gone.groupBy("id").agg(F.max("wave").alias("wave"))
-    stuck = left.select(F.col("child").alias("id")).distinct().withColumn("stuck", F.lit(True))
-    d = ids.join(level, "id", "left").join(stuck, "id", "left").na.fill(False, ["stuck"])
-    d = settle(d.select("id", F.when(~F.col("stuck"), F.coalesce("wave", F.lit(1))).alias("wave"), "stuck"), "waves")
-    last = d.agg(F.coalesce(F.max("wave"), F.lit(0)) + 1).scalar()
-    return d.select("id", F.coalesce("wave", last).cast("long").alias("wave"), "stuck")
+    ids = nodes.select("id").distinct()
+    d = levels(ids, Steps(inside(nodes, edges)))
+    last = d.agg(F.coalesce(F.max(F.when(~F.col("stuck"), F.col("level") + 1)), F.lit(0)) + 1).scalar()
+    return d.select("id", F.when(F.col("stuck"), last).otherwise(F.col("level") + 1).cast("long").alias("wave"), "stuck")
+
+
+def reach(start: DataFrame, steps: Steps) -> DataFrame:
+    """The rows of ``start(id, ...)`` and all below them; further columns travel along.
+
+    Round k adds what is ``2 ** k`` edges below; if that is nothing, nothing lies farther.
+    """
+    keys = start.columns
+
+    def below(d: DataFrame, e: DataFrame) -> DataFrame:
+        down = d.withColumnRenamed("id", "parent").join(e, "parent").withColumnRenamed("child", "id").select(*keys)
+        return d.unionByName(down).distinct()
+
+    seen, now = settle_counted(start.distinct(), "reached", n=F.count(F.lit(1)))
+    k, room = 0, True
+    while True:
+        had = now["n"]
+        # without room for farther pairs, a round is a sweep over all there are
+        grown = below(seen, steps.at[k]) if room else reduce(below, reversed(steps.at), seen)
+        seen, now = settle_counted(grown, "reached", n=F.count(F.lit(1)))
+        if now["n"] == had:
+            return seen
+        if room:
+            k += 1
+            room = k < len(steps.at) or steps.grow()
 
 
 def downstream(seeds: DataFrame, edges: DataFrame, include_seeds: bool = False) -> DataFrame:
-    """Everything that depends on a seed, directly or not. Each round joins only the
-    newly reached nodes, and goes ``HOPS`` edges further before it is written.
+    """Everything that depends on a seed, directly or not.
 
     Further columns of ``seeds`` are labels that travel along: several closures over the
     same edges then take one loop instead of one each.
     """
-    labels = [c for c in seeds.columns if c != "id"]
-    keys = ["id", *labels]
-    e = edges.select("child", "parent")
-    front, n = settle_counted(seeds.select(*keys).distinct(), "front", n=F.count(F.lit(1)))
-    seen = [front] if include_seeds else []
-    for _ in range(MAX_ROUNDS):
-        if n["n"] == 0:
-            break
-        hops = [front]
-        for _ in range(HOPS):
-            hops.append(e.join(hops[-1].withColumnRenamed("id", "parent"), "parent").select(F.col("child").alias("id"), *labels).distinct())
-        step = reduce(lambda a, b: a.unionByName(b), hops[1:]).distinct()
-        if seen:
-            step = step.join(reduce(lambda a, b: a.unionByName(b), seen), keys, "left_anti")
-        front, n = settle_counted(step, "front", n=F.count(F.lit(1)))
-        seen.append(front)
-    else:
-        raise RuntimeError("the graph is deeper than the round limit")
-    return reduce(lambda a, b: a.unionByName(b), seen) if seen else front
+    steps = Steps(edges)
+    keys = ["id", *[c for c in seeds.columns if c != "id"]]
+    own = seeds.select(*keys)
+    if include_seeds:
+        return reach(own, steps)
+    return reach(own.withColumnRenamed("id", "parent").join(steps.at[0], "parent").withColumnRenamed("child", "id").select(*keys), steps)
+
+
+def _core(edges: DataFrame) -> Steps:
+    """Edges between nodes that are on a cycle or between two: what trimming from both ends leaves."""
+    steps = Steps(edges)
+    for _ in range(2 if steps.rows[0] else 0):
+        e = steps.at[0]
+        ids = e.select(F.col("child").alias("id")).unionByName(e.select(F.col("parent").alias("id"))).distinct()
+        stuck = levels(ids, steps).where("stuck").select("id")
+        # behind a cycle first; then, with the edges turned round, before one
+        steps = Steps(e.join(stuck.withColumnRenamed("id", "child"), "child", "left_semi").join(stuck.withColumnRenamed("id", "parent"), "parent", "left_semi")
+                      .select(F.col("parent").alias("child"), F.col("child").alias("parent")))
+    return steps
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``id, component``: the nodes on cycles, and for each the largest one it shares a cycle
+    with (or itself).
+
+    After trimming, each node takes the largest id above it as its colour. A node has the
+    colour of its component's largest node exactly if no larger one reaches that; so the nodes
+    of a colour that its own node depends on are a component. They go, and what is left is
+    trimmed and coloured again.
+    """
+    steps, found = _core(edges), []
+    while steps.rows[0]:
+        left, k, room = steps.at[0], 0, True
+        ids = left.select(F.col("child").alias("id")).distinct()
+        colour, n = ids.withColumn("colour", F.col("id")), {"changed": 1}
+        while n["changed"]:
+            n = {"changed": 0}
+            for e in [steps.at[k]] if room else steps.at:
+                more = colour.join(e.select(F.col("parent").alias("id"), "child"), "id").select(F.col("child").alias("id"), "colour", F.lit(False).alias("_own"))
+                best = colour.withColumn("_own", F.lit(True)).unionByName(more).groupBy("id").agg(F.max("colour").alias("colour"), F.max(F.when(F.col("_own"), F.col("colour"))).alias("_had"))
+                best, got = settle_counted(best, "colours", changed=F.count_if(F.col("colour") != F.col("_had")))
+                colour, n = best.select("id", "colour"), {"changed": n["changed"] + got["changed"]}
+            if room and n["changed"]:
+                k += 1
+                room = k < len(steps.at) or steps.grow()
+        of = lambda end: colour.select(F.col("id").alias(end), F.col("colour").alias(f"_{end}"))
+        same = settle(left.join(of("child"), "child").join(of("parent"), "parent").where("_child = _parent").select("child", "parent"), "coloured")
+        turned = same.select(F.col("parent").alias("child"), F.col("child").alias("parent"))
+        members = reach(colour.where("id = colour").select("id", F.col("colour").alias("component")), Steps(turned))
+        size = members.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))
+        loops = same.where("child = parent").select(F.col("child").alias("id"), F.lit(True).alias("_loop"))
+        found.append(members.join(size, "component").join(loops, "id", "left").where("_size > 1 or _loop").select("id", "component"))
+        out = members.select("id")
+        rest = same.join(out.withColumnRenamed("id", "child"), "child", "left_anti").join(out.withColumnRenamed("id", "parent"), "parent", "left_anti").select("child", "parent")
+        steps = _core(rest)
+    if not found:
+        return edges.select(F.col("child").alias("id"), F.col("child").alias("component")).limit(0)
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def on_cycle(edges: DataFrame) -> DataFrame:
-    """Nodes left after trimming the graph from both ends until nothing changes."""
-    _, left = peel(edges, "child", "parent")
-    _, core = peel(left, "parent", "child")
-    return core.select(F.col("child").alias("id")).unionByName(core.select(F.col("parent").alias("id"))).distinct()
+    """Nodes that depend on themselves."""
+    return strong_components(edges).select("id")
 
 
 def taint(seeds: DataFrame, edges: DataFrame, ordered: DataFrame) -> DataFrame:

@@ -142,14 +142,11 @@ def wave_approval(t):
     return G.apply_decisions(roll, G.wave_dependencies(w, e), decisions)[1]
 
 
-@query("ref_graph_check", STUCK_SQL + """
+@query("ref_graph_check", CYCLIC_SQL + """,
+    inner_edges as (select child, parent from cyclic_edges where parent in (select source_id from estate_objects)),
+    up(id, above) as (select child, parent from inner_edges union select u.id, e.parent from up u join inner_edges e on e.child = u.above)
     select child as id, parent as ref, 'missing_model' as problem from cyclic_edges where parent not in (select source_id from estate_objects)
-    union all select distinct a.child, '', 'cycle' from inner_edges a join inner_edges b on a.child = b.parent and a.parent = b.child
-    union all select distinct w.child, '', 'cycle' from (
-        with recursive up(id) as (select a.child from inner_edges a join inner_edges b on a.child = b.parent and a.parent = b.child
-            union select e.parent from up join inner_edges e on e.child = up.id)
-        select id as child from up where id in (select id from stuck) and id not in (
-            select a.child from inner_edges a join inner_edges b on a.child = b.parent and a.parent = b.child)) w""")
+    union all select id, '', 'cycle' from up where id = above""")
 def ref_graph_check(t):
     e = estate_edges(t, cyclic=True)
     missing = G.external_deps(nodes(t), e).select(F.col("child").alias("id"), F.col("parent").alias("ref"), F.lit("missing_model").alias("problem"))

@@ -1,4 +1,8 @@
 
+import random
+
+import pytest
+
 from carryover.operators import graph as G
 
 
@@ -33,7 +37,6 @@ def test_all_on_one_cycle(spark):
 
 
 def test_random_graph_respects_every_edge(spark):
-    import random
     r = random.Random(2)
     edges = [(f"n{i}", f"n{r.randrange(i)}") for i in range(1, 60) for _ in range(2)]
     n, e = frames(spark, [f"n{i}" for i in range(60)], edges)
@@ -42,6 +45,55 @@ def test_random_graph_respects_every_edge(spark):
     assert all(w[i] == 1 or any(w[p] == w[i] - 1 for c, p in edges if c == i) for i in w)
 
 
+def test_a_node_between_two_cycles_is_on_none(spark):
+    _, e = frames(spark, ["a"], [("a", "b"), ("b", "a"), ("c", "b"), ("d", "c"), ("d", "e"), ("e", "d"), ("s", "s"), ("t", "s"), ("a", "z")])
+    assert {r.id: r.component for r in G.strong_components(e).collect()} == {"a": "b", "b": "b", "d": "e", "e": "e", "s": "s"}
+    assert G.strong_components(e.where("child = 'c'")).count() == 0
+
+
+def components_of(edges):
+    """Who reaches whom and back, by closure."""
+    reach = {n: {p for c, p in edges if c == n} for e in edges for n in e}
+    for _ in reach:
+        for n in reach:
+            reach[n] = reach[n].union(*(reach[m] for m in reach[n]))
+    return {n: max(m for m in reach[n] if n in reach[m]) for n in reach if n in reach[n]}, reach
+
+
+@pytest.mark.parametrize("roomy", [True, False])
+def test_random_graphs_with_cycles(spark, monkeypatch, roomy):
+    """Against closure by hand; without room for far pairs the other ways are taken."""
+    if not roomy:
+        monkeypatch.setattr(G, "GROWTH", 0)
+        monkeypatch.setattr(G, "ROOMY", 1)
+    r = random.Random(7)
+    for size, count in ((14, 18),):
+        edges = [(f"n{r.randrange(size):02}", f"n{r.randrange(size):02}") for _ in range(count)] + [("n00", "n01"), ("n01", "n02"), ("n02", "n00")]
+        n, e = frames(spark, [f"n{i:02}" for i in range(size)], edges)
+        want, above = components_of(edges)
+        assert {x.id: x.component for x in G.strong_components(e).collect()} == want
+        w = levels(G.waves(n, e))
+        assert {i for i, (_, stuck) in w.items() if stuck} == {i for i in w if i in want or above.get(i, set()) & set(want)}
+        assert all(w[c][0] > w[p][0] for c, p in edges if not w[c][1])
+        assert {x.id for x in G.downstream(n.where("id = 'n01'"), e).collect()} == {i for i in above if "n01" in above[i]}
+
+
+def test_a_thousand_steps(spark):
+    """A chain of a thousand steps with a cycle at its end takes a round per doubling."""
+    edges = [(f"n{i}", f"n{i - 1}") for i in range(1, 1000)] + [("x", "y"), ("y", "z"), ("z", "x"), ("x", "n999")]
+    n, e = frames(spark, [f"n{i}" for i in range(1000)] + ["x", "y", "z"], edges)
+    rounds = []
+    grow = G.Steps.grow
+    G.Steps.grow = lambda self: rounds.append(1) or grow(self)
+    try:
+        w = levels(G.waves(n, e))
+        assert w["n999"] == (1000, False) and w["x"] == (1001, True) and len(rounds) <= 12
+        rounds.clear()
+        assert G.downstream(n.where("id = 'n0'"), e).count() == 1002 and len(rounds) <= 12
+    finally:
+        G.Steps.grow = grow
+
+
 def test_downstream_and_taint(spark):
     n, e = frames(spark, ["ext", "t", "v", "free"], [("t", "ext"), ("v", "t")])
     seeds = spark.createDataFrame([("ext",)], "id string")

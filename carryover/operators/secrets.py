@@ -6,6 +6,8 @@ the family and a count, never the value.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,48 +96,46 @@ def redact_map(properties: Column) -> Column:
     return F.transform_values(properties, redact_value)
 
 
-def nesting(df: DataFrame, text: Column, strings: bool = False) -> int:
-    """Deepest nesting of braces and brackets in JSON texts, by one aggregate; ``strings``
-    counts those in strings too, as a string may hold JSON again."""
-    def depth(text: Column) -> Column:
-        bare = text if strings else F.regexp_replace(text, r'"(\\.|[^"\\])*+"', "")
-        marks = F.regexp_replace(bare, r"[^\[\]{}]", "")
-        step = lambda s, c: F.struct((s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(
-            s["top"], s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("top"))
-        chars = F.filter(F.split(marks, ""), lambda c: c != "")
-        return F.aggregate(chars, F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")), step, lambda s: s["top"])
+def nesting(text: Column, strings: bool = False) -> Column:
+    """Deepest nesting of braces and brackets in a JSON text; ``strings`` counts those in
+    strings too, as a string may hold JSON again."""
+    bare = text if strings else F.regexp_replace(text, r'"(\\.|[^"\\])*+"', "")
+    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    moved = lambda s, c: s["now"] + F.when(c.isin("[", "{"), 1).when(c == "", 0).otherwise(-1)
+    step = lambda s, c: F.struct(moved(s, c).alias("now"), F.greatest(s["top"], moved(s, c)).alias("top"))
+    return F.coalesce(F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")), step, lambda s: s["top"]), F.lit(0))
+
 
-    return df.agg(F.max(depth(text))).first()[0] or 0
+def opened(start: Column, levels: Column, open_all: Callable[[Column], Column]) -> Column:
+    """``open_all`` applied to ``start`` as many times as the row says. The plan holds it once,
+    however deep the deepest row is; a row goes no further than its own depth."""
+    steps = F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, start, lambda acc, _: open_all(acc))
 
 
-def json_leaves(text: Column, depth: int) -> Column:
-    """Array of struct(path, name, value) for every leaf of a JSON text.
+def json_leaves(text: Column) -> Column:
+    """Array of struct(path, name, value) for every leaf of a JSON text, at any depth.
 
-    Each pass opens one more level of all entries inside the row, so the text is read once.
-    ``depth`` is how many there are (see ``nesting``); what lies deeper stays closed text.
-    Text that only looks like JSON, such as a template, is a leaf.
+    Each step opens one more level of all entries inside the row, so the text is read once.
+    Text that only looks like JSON, such as a template, is a leaf, however many braces it has.
     """
     entry = lambda path, name, value: F.struct(path.alias("path"), name.alias("name"), value.alias("value"))
+    holds = lambda v: F.when(v.startswith("{") | v.startswith("["), F.try_parse_json(v).isNotNull())
 
-    def open_one(x):
+    def open_one(x: Column) -> Column:
         v = x["value"]
-        is_obj = v.startswith("{") & F.try_parse_json(v).isNotNull()
-        is_arr = v.startswith("[") & F.try_parse_json(v).isNotNull()
         dot = F.when(x["path"] == "", "").otherwise(".")
         fields = F.transform(F.map_entries(F.from_json(v, "map<string,string>")), lambda e: entry(F.concat(x["path"], dot, e["key"]), e["key"], e["value"]))
         items = F.transform(F.from_json(v, "array<string>"), lambda e, i: entry(F.concat(x["path"], F.lit("["), i.cast("string"), F.lit("]")), x["name"], e))
-        return F.when(is_obj, fields).when(is_arr, items).otherwise(F.array(entry(x["path"], x["name"], v)))
+        return F.when(holds(v) & v.startswith("{"), fields).when(holds(v), items).otherwise(F.array(entry(x["path"], x["name"], v)))
 
-    out = F.array(entry(F.lit(""), F.lit(""), text))
-    for _ in range(depth):
-        out = F.flatten(F.transform(out, open_one))
-    return out
+    start = F.array(entry(F.lit("").cast("string"), F.lit("").cast("string"), text))
+    return opened(start, F.when(holds(text), nesting(text, strings=True)), lambda acc: F.flatten(F.transform(acc, open_one)))
 
 
 def flatten_json(df: DataFrame, key: str, text: str) -> DataFrame:
     """All leaves of a JSON column, however deep the deepest one lies."""
-    depth = nesting(df, F.col(text), strings=True)
-    return df.select(key, F.explode(json_leaves(F.col(text), depth)).alias("_l")).select(key, "_l.*").where("path <> ''")
+    return df.select(key, F.explode(json_leaves(F.col(text))).alias("_l")).select(key, "_l.*").where("path <> ''")
 
 
 # expressions that resolve a secret at run time (fixed values)

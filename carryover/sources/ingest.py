@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from carryover.functions.canonical import pseudonym
 from carryover.operators.lookups import map_literal
-from carryover.operators.secrets import nesting, redact_map
+from carryover.operators.secrets import nesting, opened, redact_map
 from carryover.operators.windows import latest_per_key
 from carryover.session import settle
 from carryover.sources.estate import KINDS
@@ -27,17 +27,16 @@ def parsed(df: DataFrame, schema: str, payload: str = "payload") -> DataFrame:
     return d.select(*[c for c in df.columns if c != payload], "_j.*", F.try_parse_json(payload).isNull().alias("unreadable"))
 
 
-def column_depth(df: DataFrame, fields: Column) -> int:
+def column_levels(fields: Column) -> Column:
     """Levels of nested columns below the top one: a list and an object each."""
-    return max(0, nesting(df, fields) // 2 - 1)
+    return F.greatest(F.floor(nesting(fields) / 2).cast("int") - 1, F.lit(0))
 
 
-def walk_columns(fields: Column, depth: int) -> Column:
+def walk_columns(fields: Column, levels: int | None = None) -> Column:
     """Nested column list (JSON text) to a flat array of (path, type, nullable, mode).
 
-    Each pass opens the children of the last one inside the row; the table is not exploded.
-    ``depth`` is how many levels lie below the top one (see ``column_depth``); a deeper one is
-    an error, as its columns would be missing.
+    Each step opens the children of the last one inside the row, as many levels as the row has
+    (or ``levels``); a column that is still closed then is an error, as those in it would be missing.
     """
     item = f"array<{COLUMN}>"
 
@@ -48,14 +47,12 @@ def walk_columns(fields: Column, depth: int) -> Column:
             F.coalesce(c["nullable"], F.upper(F.coalesce(c["mode"], F.lit("NULLABLE"))) != "REQUIRED").alias("nullable"),
             F.upper(F.coalesce(c["mode"], F.lit("NULLABLE"))).alias("mode"), c["fields"].alias("inner")))
 
-    out = rows(fields, F.lit(""))
-    for _ in range(depth):
-        out = F.flatten(F.transform(out, lambda c: F.concat(
-            F.array(F.struct(c["path"].alias("path"), c["data_type"].alias("data_type"), c["nullable"].alias("nullable"), c["mode"].alias("mode"),
-                             F.lit(None).cast("string").alias("inner"))),
-            rows(c["inner"], F.concat(c["path"], F.lit("."))))))
+    out = opened(rows(fields, F.lit("")), column_levels(fields) if levels is None else F.lit(levels), lambda acc: F.flatten(F.transform(acc, lambda c: F.concat(
+        F.array(F.struct(c["path"].alias("path"), c["data_type"].alias("data_type"), c["nullable"].alias("nullable"), c["mode"].alias("mode"),
+                         F.lit(None).cast("string").alias("inner"))),
+        rows(c["inner"], F.concat(c["path"], F.lit(".")))))))
     closed = F.exists(out, lambda c: c["inner"].isNotNull() & (c["inner"] != "[]"))
-    out = F.when(closed, F.raise_error(F.lit("columns nest deeper than the depth given")).cast(
+    out = F.when(closed, F.raise_error(F.lit("columns nest deeper than the levels given")).cast(
         "array<struct<path:string,data_type:string,nullable:boolean,mode:string,inner:string>>")).otherwise(out)
     return F.transform(out, lambda c: F.struct(
         c["path"].alias("path"), F.coalesce(F.try_element_at(map_literal(LEGACY), c["data_type"]), c["data_type"]).alias("data_type"),
@@ -77,7 +74,7 @@ def load_estate(docs: DataFrame) -> DataFrame:
 
 def estate_tables(objects: DataFrame) -> dict[str, DataFrame]:
     """The columns, edges and properties tables of loaded objects."""
-    cols = objects.select("source_id", F.posexplode(walk_columns(F.col("columns"), column_depth(objects, F.col("columns")))).alias("ordinal", "c")).select("source_id", "ordinal", "c.*")
+    cols = objects.select("source_id", F.posexplode(walk_columns(F.col("columns"))).alias("ordinal", "c")).select("source_id", "ordinal", "c.*")
     edges = objects.select(F.col("source_id").alias("child"), F.explode("dependencies").alias("parent"))
     props = objects.select("source_id", F.explode("properties").alias("name", "value"))
     return {"columns": cols, "edges": edges, "properties": props}
@@ -96,7 +93,7 @@ def tables(df: DataFrame, project: str) -> DataFrame:
     return d.select(
         F.concat_ws(".", F.lit(project), ref["datasetId"], ref["tableId"]).alias("source_id"), ref["tableId"].alias("name"),
         F.coalesce(F.try_element_at(map_literal(TABLE_KINDS), F.upper("type")), F.lit("table")).alias("kind"), ref["datasetId"].alias("dataset"),
-        walk_columns(F.col("schema.fields"), column_depth(d, F.col("schema.fields"))).alias("columns"), F.coalesce(F.nullif(F.col("view.query"), F.lit("")), F.col("materializedView.query")).alias("sql"),
+        walk_columns(F.col("schema.fields")).alias("columns"), F.coalesce(F.nullif(F.col("view.query"), F.lit("")), F.col("materializedView.query")).alias("sql"),
         part.alias("partition_field"), F.coalesce(F.col("clustering.fields"), F.array().cast("array<string>")).alias("clustering_fields"),
         F.col("numBytes").try_cast("long").alias("size_bytes"), F.col("externalDataConfiguration.sourceFormat").alias("source_format"),
         redact_map(F.coalesce("labels", F.create_map().cast("map<string,string>"))).alias("labels"))

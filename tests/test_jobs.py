@@ -198,7 +198,7 @@ def test_unreadable_payload_is_kept(spark):
 
 def test_nested_columns_keep_their_order(spark):
     d = spark.createDataFrame([('[{"name":"a","type":"RECORD","mode":"REPEATED","fields":[{"name":"b","type":"FLOAT"}]},{"name":"c"}]',)], "j string")
-    got = [(x.path, x.data_type, x.mode) for x in d.select(ingest.walk_columns(F.col("j"), ingest.column_depth(d, F.col("j"))).alias("w")).first().w]
+    got = [(x.path, x.data_type, x.mode) for x in d.select(ingest.walk_columns(F.col("j")).alias("w")).first().w]
     assert got == [("a", "STRUCT", "REPEATED"), ("a.b", "FLOAT64", "NULLABLE"), ("c", "STRING", "NULLABLE")]
 
 
@@ -208,14 +208,22 @@ def test_nested_columns_of_any_depth(spark):
         text = '{"name":"c%d","type":"RECORD","description":"a ] } [ in \\\\"text\\\\"","fields":[%s]}' % (i, text)
     text = text.replace("\\\\", "\\")
     d = spark.createDataFrame([("[" + text + "]",), ('[{"name":"a","type":"STRING"}]',), (None,)], "j string")
-    depth = ingest.column_depth(d, F.col("j"))
-    assert depth == 15
-    paths = [[x.path for x in r.w] for r in d.select(ingest.walk_columns(F.col("j"), depth).alias("w")).collect()]
+    assert [r[0] for r in d.select(ingest.column_levels(F.col("j"))).collect()] == [15, 0, 0]
+    paths = [[x.path for x in r.w] for r in d.select(ingest.walk_columns(F.col("j")).alias("w")).collect()]
     assert len(paths[0]) == 16 and paths[0][-1] == ".".join(f"c{i}" for i in range(16)) and paths[1] == ["a"]
     with pytest.raises(Exception, match="nest deeper"):
         d.select(ingest.walk_columns(F.col("j"), 5)).collect()
 
 
+def test_two_hundred_levels_of_columns(spark):
+    text = '{"name":"c200","type":"STRING"}'
+    for i in range(199, -1, -1):
+        text = '{"name":"c%d","type":"RECORD","fields":[%s]}' % (i, text)
+    d = spark.createDataFrame([("[" + text + "]",), ('[{"name":"a","type":"STRING"}]',)], "j string")
+    paths = [[x.path for x in r.w] for r in d.select(ingest.walk_columns(F.col("j")).alias("w")).collect()]
+    assert paths == [[".".join(f"c{i}" for i in range(n + 1)) for n in range(201)], ["a"]]
+
+
 def test_models_score_in_a_session_that_ran_a_loop(spark):
     nodes = spark.createDataFrame([("a",), ("b",)], "id string")
     graph.waves(nodes, spark.createDataFrame([("b", "a")], "child string, parent string")).collect()

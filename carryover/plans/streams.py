@@ -122,13 +122,15 @@ def stream_session(t):
 @query("stream_state", """
     select user_id, count(*)::bigint as events, sum(value::decimal(18,2))::double as total, max(value) as peak from events group by 1""")
 def stream_state(t):
-    """Running state per user. The state is an incremental aggregate: rows are combined per
-    task before they reach the state store, so a busy user is one update per task."""
-    d = stream(t).groupBy("user_id").agg(F.count("*").alias("events"), F.sum(money("value")).alias("total"), F.max("value").alias("peak"))
+    """Running state per user, kept by a state function with a timer; rows are combined per task
+    and batch before they reach it. No user is idle for two years."""
+    own = S.state_session(t.spark)
+    events = S.events_stream(own, f"{t.root}/events*.parquet", t.events.schema).withColumn("cents", money("value") * 100)
+    d = S.running_totals(events, "user_id", "ts", "cents", "value", "1 hour", 730 * 86_400_000)
     path = scratch(t.spark, "state")
     S.run_batches(d, S.idempotent_sink(path), path + "-ckpt", "update")
-    last = latest_per_key(t.spark.read.parquet(path), ["user_id"], ["batch_id"])
-    return last.select("user_id", "events", F.col("total").cast("double").alias("total"), "peak")
+    last = latest_per_key(t.spark.read.parquet(path), ["key"], ["batch_id"])
+    return last.select(F.col("key").alias("user_id"), "events", (F.col("total") / 100).alias("total"), "peak")
 
 
 @query("stream_trigger_checkpoint", """

@@ -6,10 +6,12 @@ where the last commit ended. Sinks key their output by batch, which makes a repl
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from carryover.operators.dml import apply_changes
 from carryover.operators.lookups import broadcast_if_small
@@ -63,12 +65,82 @@ def windowed(df: DataFrame, time: str, lateness: str, width: str, slide: str | N
 
 
 def sessions(df: DataFrame, time: str, lateness: str, gap: str, keys: list[str], aggs: list) -> DataFrame:
-    """Session windows; sessions are merged per task first, so a busy key is pre-reduced."""
-    df.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    """Session windows. Set ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition``
+    where some keys are very busy: sessions are then merged per task first."""
     g = df.withWatermark(time, lateness).groupBy(F.session_window(time, gap).alias("w"), *keys).agg(*aggs)
     return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *[c for c in g.columns if c != "w"])
 
 
+def state_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose state store has timers; the caller's session
+    keeps its settings. Streams that use ``running_totals`` have to be read by it."""
+    own = spark.newSession()
+    for k, v in {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+                 "spark.sql.session.timeZone": "UTC", "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}.items():
+        own.conf.set(k, v)
+    return own
+
+
+def _reduced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of a key folded to one per task and Arrow batch, before anything is shuffled."""
+    for f in frames:
+        yield f.groupby("key", as_index=False, dropna=False).agg(ts=("ts", "max"), events=("events", "sum"), total=("total", "sum"), peak=("peak", "max"))
+
+
+class Totals(StatefulProcessor):
+    """Running totals of a key, with a timer that is set anew whenever the key is seen."""
+
+    def __init__(self, idle_ms: int):
+        self.idle = idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("totals", "events bigint, total bigint, peak double, seen bigint")
+
+    def _row(self, key: tuple, s: tuple, closed: bool) -> pd.DataFrame:
+        return pd.DataFrame({"key": [key[0]], "events": [s[0]], "total": [s[1]], "peak": [s[2]], "closed": [closed]}).astype({"peak": "float64"})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        had = self.state.get() if self.state.exists() else None
+        events, total, peak, seen = had or (0, 0, None, None)
+        for f in rows:
+            events, total = events + int(f["events"].sum()), total + int(f["total"].sum())
+            top, last = f["peak"].max(), f["ts"].max()
+            peak = peak if pd.isna(top) else float(top) if peak is None else max(peak, float(top))
+            if not pd.isna(last):
+                last = int(pd.Timestamp(last).value // 1_000_000)
+                seen = last if seen is None else max(seen, last)
+        if had and had[3] is not None and had[3] != seen:
+            self.handle.deleteTimer(had[3] + self.idle)
+        if seen is not None:
+            self.handle.registerTimer(seen + self.idle)
+        self.state.update((events, total, peak, seen))
+        yield self._row(key, (events, total, peak), False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            s = self.state.get()
+            self.state.clear()
+            yield self._row(key, s, True)
+
+    def close(self) -> None:
+        pass
+
+
+def running_totals(stream: DataFrame, key: str, time: str, amount: str, peak: str, lateness: str, idle_ms: int) -> DataFrame:
+    """``key, events, total, peak, closed``: an update for each key of a batch, totals since it
+    was first seen. ``amount`` is a whole number of the smallest unit, so sums are exact.
+
+    A key that has not been seen for ``idle_ms`` of event time is emitted once more as closed,
+    and its state is removed; seen again, it starts from nothing.
+    """
+    kind = stream.schema[key].dataType.simpleString()
+    d = stream.select(F.col(key).alias("key"), F.col(time).alias("ts"), F.lit(1).cast("long").alias("events"),
+                      F.coalesce(F.col(amount).cast("long"), F.lit(0)).alias("total"), F.col(peak).cast("double").alias("peak"))
+    few = d.mapInPandas(_reduced, f"key {kind}, ts timestamp, events long, total long, peak double").withWatermark("ts", lateness)
+    return few.groupBy("key").transformWithStateInPandas(Totals(idle_ms), f"key {kind}, events long, total long, peak double, closed boolean", "Update", "EventTime")
+
+
 def dedupe(df: DataFrame, time: str, lateness: str, keys: list[str]) -> DataFrame:
     return df.withWatermark(time, lateness).dropDuplicatesWithinWatermark(keys)
 

@@ -57,23 +57,6 @@ def sequence_mean(c: Column) -> Column:
     return F.try_divide(total, F.size(c))
 
 
-# Aggregates of one's own are built from aggregates that Spark combines per task, so that a
-# large group is never gathered anywhere; a Python aggregate would need each group whole.
-
-
-def weighted_mean(value: Column, weight: Column) -> Column:
-    """Mean of ``value`` weighted by ``weight``, exact to two decimals of either; rows in which
-    one is null are left out, and no weight at all gives null."""
-    v, w = value.cast("decimal(18,2)"), weight.cast("decimal(18,2)")
-    both = v.isNotNull() & w.isNotNull()
-    return F.try_divide(F.sum(F.when(both, v * w)).cast("double"), F.sum(F.when(both, w)).cast("double"))
-
-
-def concentration(value: Column) -> Column:
-    """Sum of squared shares of a group: 1 if one row has it all, 1 / n if n rows share evenly."""
-    return F.try_divide(F.sum(value * value).cast("double"), F.pow(F.sum(value).cast("double"), F.lit(2)))
-
-
 def register_splitter(spark: SparkSession, name: str = "split_statements") -> None:
     """The statement splitter as a table function for LATERAL joins."""
     from pyspark.sql.functions import udtf

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from carryover.operators import aggregates as A
 from carryover.operators import functions_ext as U
 from carryover.plans.registry import query
 from carryover.plans.scans import _COUNTS, SQL_LOG, sql_log
@@ -40,14 +41,12 @@ def remote_fn_batch(t):
 
 @query("custom_udaf", """
     select l_returnflag, l_linestatus, round((sum(l_extendedprice::decimal(18,2) * l_quantity::decimal(18,2)) / sum(l_quantity::decimal(18,2)))::double, 6) as price,
-        round((sum(c * c) / (sum(c) * sum(c)))::double, 9) as concentration
-    from (select l_returnflag, l_linestatus, l_extendedprice, l_quantity, 1.0::decimal(18,2) as c from lineitem) group by all""")
+        round((sum(l_extendedprice::decimal(18,2) * l_extendedprice::decimal(18,2))::double / pow(sum(l_extendedprice::decimal(18,2))::double, 2)), 12) as concentration
+    from lineitem group by all""")
 def custom_udaf(t):
-    one = F.lit(1).cast("decimal(18,2)")
-    d = t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(U.weighted_mean(F.col("l_extendedprice"), F.col("l_quantity")), 6).alias("price"),
-        F.round(U.concentration(one), 9).alias("concentration"))
-    return d
+    d = A.aggregate(t.lineitem, ["l_returnflag", "l_linestatus"], {"price": "l_extendedprice", "quantity": "l_quantity"},
+                    price=A.exact_weighted_mean("price", "quantity"), concentration=A.exact_concentration("price"))
+    return d.select("l_returnflag", "l_linestatus", F.round("price", 6).alias("price"), F.round("concentration", 12).alias("concentration"))
 
 
 @query("sequence_mean", "select vec_id, round(list_sum(embedding::double[]) / len(embedding), 9) as mean from embeddings")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,13 +60,16 @@ def sequence_mean(c: Column) -> Column:
 
 
 def register_splitter(spark: SparkSession, name: str = "split_statements") -> None:
-    """The statement splitter as a table function for LATERAL joins."""
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType="position int, statement string")
+    """The statement splitter as a table function over a table of (id, text): it takes Arrow
+    batches, and returns (id, position, statement)."""
+    @F.arrow_udtf(returnType="id bigint, position int, statement string")
     class Splitter:
-        def eval(self, sql: str):
-            for i, s in enumerate(split_text(sql or "")):
-                yield i, s
+        def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+            found = [split_text(x or "") for x in batch.column(1).to_pylist()]
+            size = np.array([len(f) for f in found], np.int64)
+            at = np.repeat(np.arange(len(found)), size)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+            yield pa.table({"id": batch.column(0).take(pa.array(at)).cast(pa.int64()), "position": pa.array(place.astype(np.int32)),
+                            "statement": pa.array([s for f in found for s in f], pa.string())})
 
     spark.udtf.register(name, Splitter)

@@ -7,9 +7,7 @@ nothing is shuffled. They work on tokens, not on a syntax tree.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,31 +132,29 @@ def table_references(df: DataFrame, key: str, sql: str, project: str, dataset: s
     return df.select(key, F.explode(F.array_distinct(F.transform(keep, full))).alias("ref"))
 
 
-_CUT = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`[^`]*`|--[^\n]*|#[^\n]*|/\*.*?\*/|;""", re.S)
+#: Literals, quoted names, comments, ``;`` and what lies between. An opening mark that is never
+#: closed is a character like others; two literals side by side are one with a doubled quote.
+#: Every loop is possessive, so texts of any length are read without going back.
+TOKEN = r"""(?s)'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+"|`[^`]*+`|--[^\n]*+|#[^\n]*+|/\*.*?\*/|;|[^;'"`#/-]++|."""
+_TOKEN = re.compile(TOKEN)
+BLANKS, NUL = " \t\n\r\f\v", "\0"
 
 
 def split_text(sql: str) -> list[str]:
     """Statements of one script: ``;`` outside quotes, backticks and comments."""
-    cuts = [m.start() for m in _CUT.finditer(sql) if m.group() == ";"]
-    parts = [sql[a + 1:b].strip() for a, b in zip([-1, *cuts], [*cuts, len(sql)])]
+    cuts = [m.start() for m in _TOKEN.finditer(sql) if m.group() == ";"]
+    parts = [sql[a + 1:b].strip(BLANKS) for a, b in zip([-1, *cuts], [*cuts, len(sql)], strict=True)]
     return [s for s in parts if s]
 
 
+def statements(sql: Column) -> Column:
+    """``split_text`` as an expression: bare ``;`` become a character that SQL has nowhere (a
+    NUL, left out of the text itself), and the text is cut there."""
+    tokens = F.regexp_extract_all(F.translate(sql, NUL, ""), F.lit(TOKEN), F.lit(0))
+    cut = F.split(F.array_join(F.transform(tokens, lambda t: F.when(t == ";", F.lit(NUL)).otherwise(t)), ""), NUL)
+    return F.filter(F.transform(cut, lambda s: F.btrim(s, F.lit(BLANKS))), lambda s: s != "")
+
+
 def split_statements(df: DataFrame, key: str, sql: str) -> DataFrame:
-    """One row per statement with its position; quoting needs a scanner, so this is the one
-    Arrow pass of the module."""
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, position int, statement string"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, pos, out = [], [], []
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for i, s in enumerate(split_text(text or "")):
-                    ids.append(k)
-                    pos.append(i)
-                    out.append(s)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, b.schema.field(0).type), pa.array(pos, pa.int32()), pa.array(out, pa.string())],
-                names=[key, "position", "statement"])
-
-    return df.select(key, sql).mapInArrow(run, schema)
+    """One row per statement with its position, in the scan stage."""
+    return df.select(key, F.posexplode(statements(F.col(sql))).alias("position", "statement"))

@@ -65,16 +65,27 @@ def sql_verdict(t):
     return S.verdict(sql_log(t), "sql").select("id", "verdict")
 
 
-_COUNTS = "[" + ", ".join(str(x[4]) for x in SQL_LOG) + "]"
+# Scripts from the documents: a literal that holds the whole text, every full stop a ``;``, then
+# its sentences as statements.
+SCRIPTS_SQL = r"""
+    with d as (select doc_id as id, replace(coalesce(text, ''), '\', '') as x from documents),
+    s as (select id, 'INSERT INTO t VALUES (''' || replace(replace(x, '''', ''''''), '.', ';') || ''')' as head,
+        string_split(replace(regexp_replace(x, '[''"`#/*-]', '', 'g'), '.', ';'), ';') as tail from d),
+    p as (select id, list_concat([head], list_filter(list_transform(tail, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))), lambda x: x <> '')) as l from s),
+    parts as (select id, unnest(l) as statement, generate_subscripts(l, 1)::bigint - 1 as position, len(l)::bigint as of_n from p)"""
 
 
-@query("sql_split", f"""
-    select p_partkey as id, (unnest(range({_COUNTS}[1 + p_partkey % {len(SQL_LOG)}])))::bigint as position,
-        {_COUNTS}[1 + p_partkey % {len(SQL_LOG)}]::bigint as of_n from part""")
+def scripts(t):
+    x = F.translate(F.coalesce("text", F.lit("")), "\\", "")
+    head = F.concat(F.lit("INSERT INTO t VALUES ('"), F.replace(F.replace(x, F.lit("'"), F.lit("''")), F.lit("."), F.lit(";")), F.lit("');"))
+    return t.documents.select(F.col("doc_id").alias("id"), F.concat(head, F.replace(F.regexp_replace(x, "['\"`#/*-]", ""), F.lit("."), F.lit(";"))).alias("sql"))
+
+
+@query("sql_split", SCRIPTS_SQL + " select id, position, of_n, md5(statement) as statement from parts")
 def sql_split(t):
-    d = S.split_statements(sql_log(t), "id", "sql")
-    n = d.groupBy("id").agg(F.count("*").alias("of_n"))
-    return d.join(n, "id").select("id", F.col("position").cast("long").alias("position"), "of_n")
+    d = scripts(t).select("id", S.statements(F.col("sql")).alias("s"))
+    return d.select("id", F.size("s").cast("long").alias("of_n"), F.posexplode("s").alias("position", "x")).select(
+        "id", F.col("position").cast("long").alias("position"), "of_n", F.md5("x").alias("statement"))
 
 
 _CLEAN = f"regexp_replace({_expect(0)}, {_quote(S.NOISE)}, repeat(chr(39), 2), 'g')"

@@ -76,6 +76,17 @@ def test_split():
     assert S.split_text(sql) == ["SELECT 'a;b', \"c;\\\"d\", `e;f` -- g;h", "/* i;j */ SELECT 'it''s;'", "# k;l\nSELECT 3"]
 
 
+def test_split_as_an_expression(spark):
+    texts = ["SELECT 'a;b', \"c;\\\"d\", `e;f` -- g;h\n; /* i;j */ SELECT 'it''s;' ; ;# k;l\nSELECT 3", "a 'open; b", "x;'a'';y", "/* open; c", "'\\';';d", "", ";;", None,
+             "INSERT INTO t VALUES (" + ", ".join(f"'v;{i}'" for i in range(20_000)) + "); SELECT 1", "'" + "q;" * 100_000 + "'; z", "--;" * 9 + "\n;-;/;#"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, sql string")
+    got = {}
+    for r in S.split_statements(d, "id", "sql").orderBy("id", "position").collect():
+        got.setdefault(r.id, []).append(r.statement)
+    assert got == {i: s for i, x in enumerate(texts) if (s := S.split_text(x or ""))}
+    assert [len(got[i]) for i in (0, 1, 8, 9)] == [3, 2, 2, 2]
+
+
 def test_references_leave_out_ctes_and_literals(spark):
     sql = "WITH a AS (SELECT * FROM raw.x), b AS (SELECT 1) SELECT 'FROM q.q' FROM a JOIN b JOIN `p.d.t` USING (id) WHERE x IN (SELECT y FROM z)"
     d = spark.createDataFrame([(1, sql)], "id int, sql string")

@@ -215,6 +215,30 @@ def test_nested_columns_of_any_depth(spark):
         d.select(ingest.walk_columns(F.col("j"), 5)).collect()
 
 
+def test_least_squares_from_statistics(spark):
+    """Against numpy on the rows; a column that repeats another, and no rows at all."""
+    import numpy as np
+    r = np.random.default_rng(6)
+    x = r.normal(size=(500, 3)) * [1, 100, 0.01] + [5, 1e4, 0]
+    y = x @ [2.0, -0.3, 40.0] + 7 + r.normal(size=500)
+    d = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y, strict=True)], "a double, b double, c double, label double")
+    want, _, _, _ = np.linalg.lstsq(np.column_stack([x, np.ones(500)]), y, rcond=None)
+    got = training.linear_fit(d, ["a", "b", "c"])
+    assert np.allclose([got[k] for k in ("a", "b", "c", "intercept")], want, rtol=1e-6)
+    assert got["rmse"] == pytest.approx(np.sqrt(np.mean((y - np.column_stack([x, np.ones(500)]) @ want) ** 2)), rel=1e-6)
+    twice = training.linear_fit(d.withColumn("e", F.col("a")), ["a", "e"])
+    assert twice["a"] == pytest.approx(twice["e"]) and twice["rmse"] == pytest.approx(training.linear_fit(d, ["a"])["rmse"])
+    assert set(training.linear_fit(d.limit(0), ["a"]).values()) == {0.0}
+
+
+def test_metrics_pass_and_fail(spark):
+    found = spark.createDataFrame([("A", "rmse", 1.0), ("B", "rmse", 1.2), ("C", "accuracy", 0.9), ("D", "accuracy", 0.5), ("E", "rmse", float("nan")), ("F", "rmse", 1.0)], "model_type string, metric string, value double")
+    recorded = spark.createDataFrame([("A", "rmse", 1.1), ("B", "rmse", 1.1), ("C", "accuracy", 0.8), ("D", "accuracy", 0.8), ("E", "rmse", 1.0)], "model_type string, metric string, value double")
+    status = lambda **kw: {r.model_type: r.status for r in training.compare_metrics(found, recorded, 0.01, **kw).collect()}
+    assert status() == {"A": "failed", "B": "failed", "C": "failed", "D": "failed", "E": "failed", "F": "not_run"}
+    assert status(one_sided=True) == {"A": "passed", "B": "failed", "C": "passed", "D": "failed", "E": "failed", "F": "not_run"}
+
+
 def test_two_hundred_levels_of_columns(spark):
     text = '{"name":"c200","type":"STRING"}'
     for i in range(199, -1, -1):

@@ -2,12 +2,14 @@
 
 Every word k-gram of every text is looked up among the k-grams of the license templates; a
 hit at text word p and template word t votes for diagonal p - t. Neighbouring diagonals are
-merged into spans (edits shift a copy by a word or two), and a span counts if enough of the
-template's words are covered.
+merged into spans (edits shift a copy by a word or two). A span is verified: enough of the
+template's words are covered, and at each place where a template of another license differs
+from this one, the text reads like this one.
 """
 
 from __future__ import annotations
 
+import difflib
 import re
 
 import numpy as np
@@ -43,6 +45,9 @@ TEMPLATES = (
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
 )
 
 
@@ -62,6 +67,37 @@ def _grams(texts: list[str]) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def _words(text: str) -> list[str]:
+    return re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", text.encode().translate(bytes(LOWER)).decode())
+
+
+def _telling(templates: tuple[tuple[str, str], ...]) -> list[list[list[int]]]:
+    """Per template, sets of k-gram positions of which one each has to be hit.
+
+    Where a template of another license says the same with other words in between, a text that
+    has those words covers most of both. So for each such place the template's k-grams across
+    it that the other one lacks are a set: a text of the other license has none of them.
+    """
+    words = [_words(t) for _, t in templates]
+    out: list[list[list[int]]] = []
+    for i, (own, _) in enumerate(templates):
+        mine, sets = words[i], set()
+        for j, (other, _) in enumerate(templates):
+            theirs = words[j]
+            match = difflib.SequenceMatcher(None, mine, theirs, autojunk=False)
+            ops = match.get_opcodes()
+            same = [n for n, (tag, *_) in enumerate(ops) if tag == "equal"]
+            if own == other or 2 * sum(ops[n][2] - ops[n][1] for n in same) < min(len(mine), len(theirs)):
+                continue
+            lacking = set(zip(*(mine[k:] for k in range(K)))) - set(zip(*(theirs[k:] for k in range(K))))
+            for tag, a, e, _, _ in ops[same[0] + 1:same[-1]]:
+                across = [p for p in range(max(0, a - K + 1), min(len(mine) - K + 1, max(e, a))) if tuple(mine[p:p + K]) in lacking and (e > a or p + K > a)]
+                if tag != "equal" and across:
+                    sets.add(tuple(across))
+        out.append([list(s) for s in sorted(sets)])
+    return out
+
+
 def scan(docs: DataFrame, grams: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """Per row: the base scan, and place and hash of every k-gram that some template has.
     The k-grams of the templates are few, so the semi-join with them runs where the text is."""
@@ -109,10 +145,11 @@ def scan(docs: DataFrame, grams: np.ndarray, id_col: str, text_col: str) -> Data
     return arrow_map(key, read, out, ["_id", "_row"])
 
 
-def license_spans(found: DataFrame, grams: list[tuple[int, int, int, int]], slack: int = 3, cover: float = 0.8) -> DataFrame:
+def license_spans(found: DataFrame, grams: list[tuple[int, int, int, int]], telling: list[list[list[int]]], slack: int = 3, cover: float = 0.8) -> DataFrame:
     """Spans (_row, template, first and last word, coverage) from the hits of ``scan``.
     The hits of one text meet a template's positions in a join, vote per diagonal, and
-    diagonals at most ``slack`` apart are one span."""
+    diagonals at most ``slack`` apart are one span. It needs a hit in each of the template's
+    ``telling`` sets."""
     spark = found.sparkSession
     table = spark.createDataFrame(grams, "gram long, template int, tpos int, size int")
     hits = found.select("_row", F.explode(F.arrays_zip("at", "gram")).alias("h")).select("_row", "h.at", "h.gram")
@@ -125,7 +162,9 @@ def license_spans(found: DataFrame, grams: list[tuple[int, int, int, int]], slac
               .groupBy("_row", "template", "size", "span")
               .agg(F.array_distinct(F.flatten(F.collect_list("tpos"))).alias("tpos"), F.min("first").alias("first"), (F.max("last") + K - 1).alias("last")))
     words = F.array_distinct(F.flatten(F.transform("tpos", lambda p: F.sequence(p, p + K - 1))))
+    needs = F.array(*[F.array(*[F.array(*[F.lit(p) for p in n]) for n in sets]).cast("array<array<int>>") for sets in telling])
     return (merged.withColumn("coverage", F.size(words) / F.col("size"))
+            .filter(F.forall(F.element_at(needs, F.col("template") + 1), lambda n: F.arrays_overlap(n, "tpos")))
             .filter((F.col("coverage") >= cover) & (F.col("last") - F.col("first") < 2 * F.col("size") + slack))
             .select("_row", "template", "first", "last", "coverage"))
 
@@ -141,7 +180,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     grams = _grams([t for _, t in templates])
     found = settle(scan(docs, np.array([g[0] for g in grams], np.int64), id_col, text_col), "licenses")
-    spans = license_spans(found, grams, cover=cover)
+    spans = license_spans(found, grams, _telling(templates), cover=cover)
     named = F.element_at(F.array(*[F.lit(x) for x, _ in templates]), F.col("template") + 1)
     best = spans.groupBy("_row").agg(F.collect_set(named).alias("more"), F.max("coverage").alias("best"))
     base = F.filter(F.split("base_labels", ","), lambda x: x != "")
@@ -154,6 +193,6 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def base_scan(text: str | None) -> tuple[int, list[tuple[int, str]]]:
     """The base rule in plain Python, for tests."""
-    words = re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", (text or "").encode().translate(bytes(LOWER)).decode())
+    words = _words(text or "")
     hits = [(i, label) for p, label in PHRASES for k in [p.split()] for i in range(len(words)) if words[i:i + len(k)] == k]
     return len(words), sorted(hits)

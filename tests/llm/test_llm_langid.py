@@ -1,3 +1,4 @@
+import pytest
 from llm_cases import EDGE, edge
 from pyspark.sql import functions as F
 
@@ -46,3 +47,28 @@ def test_only_letters_of_any_plane_count():
     lang, score = m.predict(Texts(pa.array(["\U0001F600\U0001F680", "\U0001F600 12", "\U00020000", "\U00010400"])))
     assert lang == ["und", "und", "de", "de"] and score.tolist() == [0.0, 0.0, 0.5, 0.5]
     assert G._folding()[0x10400] == 0x10428
+
+
+def test_score_depends_on_the_text_alone(spark):
+    """Alone, first, last or behind megabytes of other text: the same score, and that of plain
+    naive Bayes in double precision."""
+    import numpy as np
+    import pyarrow as pa
+
+    from carryover.llm.langid import LanguageModel, fold, grams
+    from carryover.llm.text import Texts
+    r = np.random.default_rng(1)
+    weights = np.log(r.dirichlet(np.ones(1 << 15), 3)).astype(np.float32)
+    model = LanguageModel(("a", "b", "c"), np.log(np.array([0.2, 0.3, 0.5])), weights)
+    texts = ["".join(r.choice(list("abcdefg hij"), n)) for n in (3, 40, 400, 4000)]
+    long = "".join(r.choice(list("klmnop qrst"), 1 << 20))
+    for t in texts:
+        alone = model.predict(Texts(pa.array([t])))
+        for order in ([t, long, long], [long, long, t], [long, t, long]):
+            got = model.predict(Texts(pa.array(order)))
+            assert got[1][order.index(t)] == alone[1][0] and got[0][order.index(t)] == alone[0][0]
+        cp, off = fold(Texts(pa.array([t])))
+        logs = model.prior.copy()
+        for bucket, _ in grams(cp, off):
+            logs += weights[:, bucket].astype(float).sum(axis=1)
+        assert alone[1][0] == pytest.approx(1 / np.exp(logs - logs.max()).sum(), rel=1e-9) and alone[0][0] == "abc"[logs.argmax()]

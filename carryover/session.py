@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
@@ -51,17 +53,38 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{os.getpid()}-{next(_round)}-{uuid.uuid4().hex[:8]}"
 
 
-def settle(df: DataFrame, name: str = "stage") -> DataFrame:
+_passing: list[list[str]] = []
+
+
+def settle(df: DataFrame, name: str = "stage", keep: bool = False) -> DataFrame:
     """Write a stage to the shared folder and read it back.
 
     Cuts the lineage of an iterative job in a way that outlives lost executors, and
-    gives the next round exact file sizes to plan its joins with.
+    gives the next round exact file sizes to plan its joins with. Inside ``passing_scratch``
+    the folder goes at its end, unless it is to be kept.
     """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    scope = len(_passing) - 1 - keep
+    if scope >= 0:
+        _passing[scope].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def passing_scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what ``settle`` writes inside, once the block is done or has failed. A result
+    that leaves the block must be settled with ``keep``: it would read what is gone."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _passing.pop():
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def settle_counted(df: DataFrame, name: str, **counts) -> tuple[DataFrame, dict[str, int]]:
     """``settle`` that also returns aggregates taken while the rows are written, so a loop
     knows when to stop without a second job."""

@@ -15,8 +15,11 @@ passes is verified on the full sets. Links become components by alternating star
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
+from itertools import groupby
 from math import ceil, exp, sqrt
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carryover.llm.frames import BINARY, LONG, arrow_map, chosen
-from carryover.llm.text import Texts, mix, windows
-from carryover.session import settle
+from carryover.llm.text import BASE, Texts, mix, pieces, windows
+from carryover.llm.vectors import runs
+from carryover.session import passing_scratch, settle, settle_counted, shuffle_width
 
 #: 100 * intersection >= percent * union links two sets; this is the percentage if none is given.
 PERCENT = 90
@@ -35,6 +39,9 @@ SPARE = 2
 RATIO = 1.5
 #: Segments of fewer n-grams than this on average are often empty or hold one.
 THIN = 4
+#: Signatures that a task gathers before it sends them and that a bucket merges at a time, and
+#: n-grams of the corpus per bucket.
+GATHERED, MERGED, BUCKET_GRAMS = 1 << 21, 1 << 18, 1 << 19
 #: Weight of a stranger in a bucket against one signature row; strangers thin out by a
 #: factor of four with each n-gram that a segment holds.
 STRANGER = 1000.0
@@ -166,19 +173,104 @@ def signatures(d: np.ndarray, g: np.ndarray, size: np.ndarray, percent: int = PE
             np.concatenate([sig[keep], mix((total[slot[less]] - value[less]) ^ place[slot[less]])]).view(np.int64))
 
 
-def read_sets(docs: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
-    """Per row of (_id, text): size, class, parity sketch and signatures of its set."""
+def read_sets(docs: DataFrame, n: int) -> DataFrame:
+    """Per row of (_id, _text, text): size, class and parity sketch of its set."""
     def read(b: pa.RecordBatch) -> dict:
         t = Texts(b.column("text"), lower=True)
         d, g = shingle_sets(t, n)
         size, name = class_of(d, g, t.n)
-        who, sig = signatures(d, g, size, percent)
-        order = np.argsort(who, kind="stable")
-        cut = np.searchsorted(who[order], np.arange(t.n + 1)).astype(np.int32)
         sk = sketches(d, g, t.n)
-        return {"n": size, "cls": name, "sigs": pa.ListArray.from_arrays(pa.array(cut), pa.array(sig[order]))} | {f"s{i}": sk[:, i] for i in range(SKETCH)}
-
-    return arrow_map(docs, read, {"n": LONG, "cls": LONG, "sigs": T.ArrayType(LONG)} | {f"s{i}": LONG for i in range(SKETCH)}, ["_id"])
+        return {"n": size, "cls": name} | {f"s{i}": sk[:, i] for i in range(SKETCH)}
+
+    return arrow_map(docs, read, {"n": LONG, "cls": LONG} | {f"s{i}": LONG for i in range(SKETCH)}, ["_id", "_text"])
+
+
+def _packets(sig: np.ndarray, cls: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Signatures by hash range: five bytes of each, and its class as a number in a list."""
+    order = np.argsort(sig)
+    sig, cls = sig[order], cls[order]
+    bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(sig) else np.zeros(0, np.int64)
+    low = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    rows = []
+    for a, e in zip(at, np.append(at, len(sig))[1:], strict=True):
+        classes, own = np.unique(cls[a:e], return_inverse=True)
+        rows.append((int(bucket[a]), low[a:e].tobytes(), own.astype("<u2" if len(classes) <= 1 << 16 else "<u4").tobytes(), classes.astype("<i8").tobytes()))
+    bucket_, sigs, owns, lists = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(bucket_, pa.int64()), *(pa.array(x, pa.binary()) for x in (sigs, owns, lists))], names=["bucket", "sigs", "own", "classes"])
+
+
+def send_signatures(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """The signatures of all rows of (_id, text) that have an id, in packets by hash range. A
+    task sends a range what it has gathered, so there are never more packets than signatures."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in pieces(batches, "text"):
+            t = Texts(b.column("text"), lower=True)
+            d, g = shingle_sets(t, n)
+            size_, name = class_of(d, g, t.n)
+            who, sig = signatures(d, g, size_, percent)
+            held.append((sig.view(np.uint64), name[who]))
+            size += len(sig)
+            if size >= GATHERED:
+                yield _packets(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+                held, size = [], 0
+        if size:
+            yield _packets(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+
+    return docs.filter("_id is not null").mapInArrow(run, "bucket long, sigs binary, own binary, classes binary")
+
+
+class Meeting:
+    """The distinct signatures of a bucket with the first class of each. ``add`` returns who
+    meets another class there; a signature of a great many classes is one entry."""
+
+    def __init__(self):
+        self.sig, self.first, self.told = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def add(self, sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((cls, sig))
+        sig, cls = sig[order], cls[order]
+        lead = np.concatenate([[True], sig[1:] != sig[:-1]])
+        new = sig[lead]
+        at = np.searchsorted(self.sig, new)
+        there = (at < len(self.sig)) & (self.sig[np.minimum(at, len(self.sig) - 1)] == new) if len(self.sig) else np.zeros(len(new), bool)
+        self.sig = np.insert(self.sig, at[~there], new[~there])
+        self.first = np.insert(self.first, at[~there], cls[lead][~there])
+        self.told = np.insert(self.told, at[~there], False)
+        place = np.repeat(np.searchsorted(self.sig, new), np.diff(np.append(np.flatnonzero(lead), len(sig))))
+        other = cls != self.first[place]
+        known = np.unique(place[other])
+        known = known[~self.told[known]]
+        self.told[known] = True
+        return np.concatenate([sig[other], self.sig[known]]), np.concatenate([cls[other], self.first[known]])
+
+
+def meet_signatures(sent: DataFrame, tasks: int) -> DataFrame:
+    """(sig, cls) of all classes that share a signature with another one. Five bytes and the
+    bucket tell signatures apart; a chance meeting is one candidate more, and is verified."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(bucket: int, meeting: Meeting, held: list) -> pa.RecordBatch:
+            sig, cls = meeting.add(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(mix(sig + np.uint64(bucket) * np.uint64(BASE)).view(np.int64)), pa.array(cls)], names=["sig", "cls"])
+
+        for (bucket,), parts in groupby(runs(batches, ["bucket"]), key=itemgetter(0)):
+            meeting, held, size = Meeting(), [], 0
+            for _, b in parts:
+                for s, o, c in zip(*(b.column(x) for x in ("sigs", "own", "classes")), strict=True):
+                    raw = np.zeros((len(s.as_buffer()) // 5, 8), np.uint8)
+                    raw[:, :5] = np.frombuffer(s.as_buffer(), np.uint8).reshape(-1, 5)
+                    classes = np.frombuffer(c.as_buffer(), "<i8")
+                    own = np.frombuffer(o.as_buffer(), "<u2" if len(classes) <= 1 << 16 else "<u4")
+                    held.append((raw.view("<u8").reshape(-1).astype(np.uint64), classes[own].astype(np.int64)))
+                    size += len(own)
+                    if size >= MERGED:
+                        yield out(int(bucket), meeting, held)
+                        held, size = [], 0
+            if held:
+                yield out(int(bucket), meeting, held)
+
+    return sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "sig long, cls long")
 
 
 def read_members(docs: DataFrame, n: int) -> DataFrame:
@@ -244,11 +336,13 @@ class Join:
     """The tables of one join: rows, candidate buckets, and what is known of their classes."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int = PERCENT):
-        self.n, self.percent, self.own = n, percent, chosen(docs, _id=id_col, text=text_col)
-        self.sets = settle(read_sets(self.own, n, percent), "sets")
-        rows = self.sets.filter("_id is not null").select("cls", F.explode("sigs").alias("sig"))
-        shared = rows.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("sig")
-        self.members = settle(rows.join(shared, "sig").distinct(), "buckets")
+        self.n, self.percent = n, percent
+        # the hash of the text tells rows of one id apart
+        self.own = chosen(docs, _id=id_col, text=text_col).withColumn("_text", F.xxhash64("text"))
+        self.sets, got = settle_counted(read_sets(self.own, n), "sets", grams=F.sum("n"))
+        buckets = max(4 * shuffle_width(docs.sparkSession), ceil(got["grams"] / BUCKET_GRAMS))
+        sent = send_signatures(self.own, n, percent, buckets)
+        self.members = settle(meet_signatures(sent, ceil(buckets / 4)).distinct(), "buckets")
         classes = self.sets.filter("_id is not null and n > 0").groupBy("cls").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), *[F.first(f"s{i}").alias(f"s{i}") for i in range(SKETCH)])
         self.info = settle(classes.join(self.members.select("cls").distinct(), "cls", "left_semi"), "classes")
 
@@ -292,28 +386,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     class, repeated rows among them, and each is returned. Other columns are not looked at.
     Classes and n-grams are told apart by 64-bit hashes.
     """
-    j = Join(docs, id_col, text_col, n, percent)
-    first = j.stars()
-    links = verify(first, j.own, j.info, n, percent)
-    labels = components(links)
-    links = links.unionByName(verify(j.rest(labels, first), j.own, j.info, n, percent))
-    labels = components(links)
-    real = j.sets.filter("_id is not null and n > 0")
-    named = real.groupBy("cls").agg(F.min("_id").alias("rep")).join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of = named.join(smallest, "label").select("cls", "component_id")
-    out = real.join(of, "cls").select("_id", "n", "component_id")
-    alone = j.sets.filter("_id is null or n = 0").select("_id", "n", F.col("_id").alias("component_id"))
-    return out.unionByName(alone).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return _labelled(docs, id_col, text_col, n, percent).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """(_id, _text, n, component_id) of each row, written; what led to it is deleted."""
+    with passing_scratch(docs.sparkSession):
+        j = Join(docs, id_col, text_col, n, percent)
+        first = j.stars()
+        links = verify(first, j.own, j.info, n, percent)
+        labels = components(links)
+        links = links.unionByName(verify(j.rest(labels, first), j.own, j.info, n, percent))
+        labels = components(links)
+        real = j.sets.filter("_id is not null and n > 0")
+        named = real.groupBy("cls").agg(F.min("_id").alias("rep")).join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+        of = named.join(smallest, "label").select("cls", "component_id")
+        out = real.join(of, "cls").select("_id", "_text", "n", "component_id")
+        alone = j.sets.filter("_id is null or n = 0").select("_id", "_text", "n", F.col("_id").alias("component_id"))
+        return settle(out.unionByName(alone), "components", keep=True)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = PERCENT) -> DataFrame:
     """``docs`` without all but the first document of each component, columns unchanged. Rows
-    with a null id stay; rows of one id and text are one document."""
-    found = settle(jaccard_components(docs, id_col, text_col, n, percent), "components")
-    first = found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("_rows"))
-    ids = first.select(F.col(id_col).alias("_first"))
-    kept = docs.join(ids, docs[id_col] == ids["_first"], "left_semi")
+    with a null id stay; rows of one id and text are one document, rows of one id and different
+    texts are judged each by its text."""
+    found = _labelled(docs, id_col, text_col, n, percent)
+    first = found.filter("_id = component_id").groupBy("_id", "_text").agg(F.count("*").alias("_rows"))
+    kept = docs.join(first.select("_id", "_text"), (docs[id_col] == first["_id"]) & (F.xxhash64(docs[text_col]) == first["_text"]), "left_semi")
     if not first.filter("_rows > 1").isEmpty():
         kept = kept.dropDuplicates([id_col, text_col])
     return kept.unionByName(docs.filter(docs[id_col].isNull()))

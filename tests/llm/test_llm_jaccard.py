@@ -173,3 +173,37 @@ def test_pipeline_links_five_words_and_80_per_cent(spark):
     rows = [(1, " ".join(base)), (2, " ".join([*base, *[f"more{i}" for i in range(40)]])), (3, " ".join(rnd.sample(base, 200)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()} == {1, 3}
+
+
+def test_rows_of_one_id_are_kept_by_their_text(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"x{i}" for i in range(60))
+    rows = [(3, a), (5, a + " more"), (5, b), (6, b), (6, b), (None, a), (7, None)]
+    got = J.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(3, a), (5, b), (None, a), (7, None)], key=repr)
+
+
+def test_meetings_tell_all_that_share_a_signature():
+    """Whatever the order and the cut of the packets; a signature of many classes is one entry."""
+    r = np.random.default_rng(4)
+    sig, cls = r.integers(0, 300, 4000).astype(np.uint64), r.integers(0, 900, 4000)
+    sig[:1500], cls[:1500] = 7, np.arange(1500)
+    pairs = set(zip(sig.tolist(), cls.tolist()))
+    want = {(s, c) for s, c in pairs if len({d for t, d in pairs if t == s}) > 1}
+    for step in (4000, 700, 33):
+        order, met, got = r.permutation(4000), J.Meeting(), set()
+        for at in range(0, 4000, step):
+            got |= set(zip(*(x.tolist() for x in met.add(sig[order[at:at + step]], cls[order[at:at + step]]))))
+        assert got == want and len(met.sig) == len(np.unique(sig))
+
+
+def test_packets_bring_back_every_signature():
+    r = np.random.default_rng(5)
+    sig, cls = r.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2), r.integers(-(1 << 62), 1 << 62, 40)[r.integers(0, 40, 5000)]
+    b = J._packets(sig, cls, 37)
+    got = []
+    for bucket, s, o, c in zip(*(x.to_pylist() for x in b.columns)):
+        raw = np.frombuffer(s, np.uint8).reshape(-1, 5)
+        low = sum(raw[:, k].astype(np.uint64) << np.uint64(8 * k) for k in range(5))
+        got += [(bucket, x, y) for x, y in zip(low.tolist(), np.frombuffer(c, "<i8")[np.frombuffer(o, "<u2")].tolist())]
+    assert sorted(got) == sorted(((x >> 32) * 37 >> 32, x & (1 << 40) - 1, y) for x, y in zip(sig.tolist(), cls.tolist()))
+    assert J._packets(sig[:0], cls[:0], 37).num_rows == 0

@@ -26,7 +26,10 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = np.zeros(256, bool)
 HEX[[*range(0x30, 0x3A), *range(0x61, 0x67)]] = True
 IDENT = re.compile("\\b(?:access_?key(?:_?id)?|client_?id|user(?:_?name)?|login|account(?:_?id)?)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9][A-Za-z0-9._@+-]{2,})", re.I | re.A)
-WEAK = re.compile("\\b(?:pass|pwd|passphrase|key|private_?key|access_?key_?secret|credentials?|auth|bearer|signature)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]{6,})", re.I | re.A)
+WEAK = re.compile("\\b(pass|pwd|passphrase|key|private_?key|access_?key_?secret|credentials?|auth|bearer|signature)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]{6,})", re.I | re.A)
+#: What no plain word has: a digit, or a capital behind another character of the same word.
+SHAPED = re.compile("[0-9]|[A-Za-z][A-Z]", re.A)
+PASSWORDS = ("pass", "pwd", "passphrase")
 BARE = re.compile("(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[0-9a-z+/]*[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", re.A)
 ENDPOINT = re.compile("\\b[a-z][a-z0-9+.-]{1,15}://[^\\s\"'<>]+|\\b(?:endpoint|host(?:name)?|server)[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9][A-Za-z0-9.:-]{2,}", re.I | re.A)
 #: Kinds in the order in which finds at one place are listed.
@@ -46,18 +49,24 @@ def strong(text: str, hexes: list[tuple[int, int]]) -> list[Span]:
 
 
 def linked(text: str, base: list[Span]) -> list[Span]:
-    """Weak parts with a complement in their scope and apart from every base find."""
+    """Weak parts with a complement in their scope and apart from every base find.
+
+    A plain word behind ``key:`` or ``auth:`` is no secret; behind a word for passwords it is one
+    only next to a name, as an address is common in prose."""
     if "=" not in text and ":" not in text and not any(k == 1 for _, k, _ in base):
         return []
-    weak = [(m.start(1), 4, m.end(1)) for m in WEAK.finditer(text)]
+    values = [((m.start(2), 4, m.end(2)), bool(SHAPED.search(m[2])), m[1].lower() in PASSWORDS) for m in WEAK.finditer(text)]
+    weak = [v for v, shaped, _ in values if shaped]
+    words = [v for v, shaped, named in values if named and not shaped]
     ident = [(m.start(1), 3, m.end(1)) for m in IDENT.finditer(text)]
     ends = [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
     if ident or ends or any(k == 1 for _, k, _ in base):
         weak += [(m.start(), 4, m.end()) for m in BARE.finditer(text)]
     weak, ident = _apart(weak, base), _apart(ident, base)
-    secrets = weak + [s for s in base if s[1] != 1]
-    names = ident + ends + [s for s in base if s[1] == 1]
-    return _near(weak, names, text) + _near(ident, secrets, text)
+    words = _apart(words, base + weak + ident)
+    secrets = weak + words + [s for s in base if s[1] != 1]
+    names = ident + [s for s in base if s[1] == 1]
+    return _near(weak, names + ends, text) + _near(words, names, text) + _near(ident, secrets, text)
 
 
 def _sweep(spans: list[Span]) -> tuple[list[int], list[int]]:

@@ -65,7 +65,8 @@ def dynamic_calls(code: Column) -> Column:
 def embedded_sql(code: Column) -> Column:
     """Distinct literals inside ``spark.sql(..)``, triple-quoted ones first in the pattern."""
     groups = [F.regexp_extract_all(code, F.lit(EMBEDDED_SQL), F.lit(i)) for i in (1, 2, 3, 4)]
-    texts = F.transform(F.flatten(F.array(*groups)), F.trim)
+    # a lambda: ``trim`` itself would take the position as the characters to cut off
+    texts = F.transform(F.flatten(F.array(*groups)), lambda s: F.trim(s))
     return F.array_sort(F.array_distinct(F.filter(texts, lambda s: s != "")))
 
 

@@ -40,9 +40,21 @@ SQL_LOG = [
 ]
 
 
+def _with_text(t, d):
+    """Rows of parts, each with the whole text of a document (parts go round the documents), line ends as spaces."""
+    n = t.documents.agg(F.count("*")).scalar()
+    texts = t.documents.select(F.col("doc_id").alias("_doc"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]", " ").alias("text"))
+    return d.withColumn("_doc", F.col("p_partkey") % n).join(texts, "_doc", "left")
+
+
 def sql_log(t):
+    """One of the statements per part, about the part's own brand, with the text of a document as
+    a comment and as a literal: neither may change what a scan finds."""
+    d = _with_text(t, t.part)
     i = F.col("p_partkey") % len(SQL_LOG)
-    return t.part.select(F.col("p_partkey").alias("id"), _pick([x[0] for x in SQL_LOG], i).alias("sql"))
+    sql = F.replace(_pick([x[0] for x in SQL_LOG], i), F.lit("ds."), F.concat(F.lit("ds_"), F.lower(F.regexp_replace("p_brand", r"\W", "_")), F.lit(".")))
+    return d.select(F.col("p_partkey").alias("id"), F.concat(sql, F.lit("\n/* "), F.replace(F.coalesce("text", F.lit("")), F.lit("*/"), F.lit("")), F.lit(" */\n-- "),
+                                                             F.coalesce("text", F.lit(""))).alias("sql"))
 
 
 def _expect(column, width=len(SQL_LOG)):
@@ -88,7 +100,8 @@ def sql_split(t):
         "id", F.col("position").cast("long").alias("position"), "of_n", F.md5("x").alias("statement"))
 
 
-_CLEAN = f"regexp_replace({_expect(0)}, {_quote(S.NOISE)}, repeat(chr(39), 2), 'g')"
+# the statement with its two comments, which count as a literal each
+_CLEAN = f"regexp_replace({_expect(0)} || chr(10) || '/* */' || chr(10) || '-- ', {_quote(S.NOISE)}, repeat(chr(39), 2), 'g')"
 
 
 @query("sql_complexity", "with q as (select p_partkey as id, " + _CLEAN + r""" as c from part)
@@ -206,7 +219,9 @@ N = len(CODE_LOG)
 
 def code_log(t):
     i = F.col("p_partkey") % N
-    return t.part.select(F.col("p_partkey").alias("id"), _pick([c for _, c in CODE_LOG], i).alias("code"), _pick([x for x, _ in CODE_LOG], i).alias("language"),
+    brand = F.lower(F.regexp_replace("p_brand", r"\W", ""))
+    code = F.replace(F.replace(_pick([c for _, c in CODE_LOG], i), F.lit("bucket"), brand), F.lit("FROM t"), F.concat(F.lit("FROM "), brand))
+    return t.part.select(F.col("p_partkey").alias("id"), code.alias("code"), _pick([x for x, _ in CODE_LOG], i).alias("language"),
                          F.when(i != 3, "3.5").alias("runtime"))
 
 
@@ -231,8 +246,11 @@ def rdd_scan(t):
     return C.line_hits(code_log(t), "id", "code", C.RDD_OPS)
 
 
+_BRAND = "lower(regexp_replace(p_brand, '\\W', '', 'g'))"
+
+
 @query("storage_path_scan", _by_sample(["path"], [(0, "gs://bucket/data"), (0, "gs://bucket/out"), (2, "hdfs://nn:8020/d"), (6, "s3a://b/x?token=abc123"),
-                                                  (8, "abfss://c@a.dfs.core.windows.net/p")]))
+                                                  (8, "abfss://c@a.dfs.core.windows.net/p")]).replace(", path from", f", replace(path, 'bucket', {_BRAND}) as path from"))
 def storage_path_scan(t):
     return code_log(t).select("id", F.explode(C.storage_paths(F.col("code"))).alias("path"))
 
@@ -242,7 +260,7 @@ def dynamic_sql_scan(t):
     return code_log(t).select("id", F.explode(C.dynamic_calls(F.col("code"))).alias("call"))
 
 
-@query("embedded_sql_extract", _by_sample(["statement"], [(5, "SELECT a FROM t"), (5, "SELECT b FROM u")]))
+@query("embedded_sql_extract", _by_sample(["statement"], [(5, "SELECT a FROM t"), (5, "SELECT b FROM u")]).replace(", statement from", f", replace(statement, 'FROM t', 'FROM ' || {_BRAND}) as statement from"))
 def embedded_sql_extract(t):
     return code_log(t).select("id", F.explode(C.embedded_sql(F.col("code"))).alias("statement"))
 

@@ -131,3 +131,10 @@ def test_names_that_give_something_away(spark):
              "sk_live_" + "a1" * 8: "credential_shaped", "AIza" + "b" * 35: "credential_shaped", "Calendar": "reserved", "order total": "", "keyboard": ""}
     d = spark.createDataFrame([(k,) for k in cases], "n string")
     assert {r.n: r.r for r in d.select("n", X.sensitive_name(F.col("n")).alias("r")).collect()} == cases
+
+
+def test_embedded_sql_keeps_its_ends(spark):
+    """Only blanks are cut off, whatever stands at the end of a statement."""
+    from carryover.operators import codescan
+    d = spark.createDataFrame([("".join(f"spark.sql(' SELECT {i} FROM t{i}')\n" for i in range(12)),)], "code string")
+    assert sorted(d.select(codescan.embedded_sql(F.col("code"))).first()[0]) == sorted(f"SELECT {i} FROM t{i}" for i in range(12))

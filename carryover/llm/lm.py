@@ -158,9 +158,20 @@ def _answers(requests: pa.Table, order: int) -> pa.Table:
                      "exact": pa.array([a for a, _ in answers], pa.binary()), "codes": pa.array([c for _, c in answers], pa.binary())})
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the place of each key among them; by one sort."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return keys[new], place
+
+
 def _scores(docs: pa.Table, answers: pa.Table, order: int, tokens: int, kinds: int) -> dict[str, np.ndarray]:
     b = Block(docs.column("text"), order)
-    keys = np.unique(b.asked())
+    keys, place = _distinct(b.asked())
     answers = answers.sort_by("shard")
     tag, count = keys & np.uint64(3), np.zeros(len(keys))
     exact = [_unpacked(x) for x in answers.column("exact").to_pylist()]
@@ -168,7 +179,12 @@ def _scores(docs: pa.Table, answers: pa.Table, order: int, tokens: int, kinds: i
     count[tag == 0] = np.concatenate([np.zeros(0, np.int64), *exact])
     code = np.concatenate([np.zeros(0, np.uint16), *codes])
     count[tag > 0] = np.where(code == ABSENT, 0.0, 10.0 ** (code / STEP))
-    n = [count[np.searchsorted(keys, k)] if len(keys) else np.zeros(0) for k in (np.where(v, k, keys[:1].sum()) for k, v in zip(b.keys, b.valid, strict=True))]
+    n, at = [], 0
+    for v in b.valid:
+        n.append(np.zeros(len(v)))
+        asked = int(v.sum())
+        n[-1][v] = count[place[at:at + asked]]
+        at += asked
     p = (n[0] + 1) / (tokens + kinds + 1)
     base = np.log10(p)
     ends = float(n[0][np.cumsum(b.size)[0] - 1]) if len(b.size) else 0.0

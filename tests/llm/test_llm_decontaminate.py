@@ -61,6 +61,20 @@ def test_recall_at_the_edge_of_similarity():
     assert np.mean([(i, i) in found for i in range(150)]) >= 0.9
 
 
+def test_recall_at_every_length():
+    """Items with as many edits as are allowed, from the shortest that may have one."""
+    import pyarrow as pa
+
+    rnd = random.Random(13)
+    words = [f"w{i}" for i in range(3000)]
+    for n in (*range(D.SHORT, 34), 40, 47, 48, 49, 60, 90):
+        items = [" ".join(rnd.choices(words, k=n)) for _ in range(150)]
+        index = D.ItemIndex.build(list(range(150)), items)
+        texts = [" ".join(rnd.choices(words, k=rnd.randrange(40))) + " " + edited(t, int(D.EDITS * n), rnd) + " tail" for t in items]
+        found = {(h[0], h[1]) for h in index.hits(D.folded(pa.array(texts)))}
+        assert np.mean([(i, i) in found for i in range(150)]) >= 0.9, n
+
+
 def test_edge_cases(spark):
     items = [(1, PROSE), (2, PROSE + "!"), (3, None), (4, ""), (None, PROSE), (5, "东京 tower")]
     got = D.find_leaks(edge(spark), bench(spark, items)).collect()

@@ -1,15 +1,16 @@
 """Main text of web pages, with the templates of their sites removed.
 
-Each page is read once into blocks of text. A block carries the hashes of the element
-subtrees around it. Spark counts on how many pages of a host each subtree recurs; blocks
-inside a subtree that recurs on many pages of its host are dropped, after those that their
-own markup names as menus, notices, adverts, forms or comments.
+Each page is read into blocks of text, and the element subtrees around them are hashed. Spark
+counts on how many pages of a host, and of a folder of it, each subtree recurs; blocks inside a
+subtree that recurs on many pages there are dropped, after those that their own markup names
+as menus, notices, adverts, forms or comments.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass
 from hashlib import blake2b
 
@@ -25,6 +26,8 @@ from carryover.session import settle
 
 TAG = re.compile("<!--(?:.*?-->|.*)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 ATTRIBUTE = re.compile("\\b(class|id|role)\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s\"'>]+))", re.I)
+#: Names that say what else is on the page.
+ABOUT = re.compile("(?:has|with|without|no)[-_]")
 #: Fixed values of the HTML standard: elements without content, with raw content, and blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp noscript".split())
@@ -42,41 +45,99 @@ NAMES = frozenset(
     "newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer contentinfo complementary "
     "comment comments reply replies disqus respond share sharing social related recommended widget toolbar search skip skiplink".split())
 ROOTS = ("article", "main")
+CONTENT = frozenset("article main h1 h2 h3 h4 h5 h6".split())
 #: Names of page heads; those inside an article belong to it.
 HEADS = frozenset("header masthead topbar".split())
 #: A subtree recurs on at least so many pages; inside a marked article, on so many.
-MIN_PAGES, MIN_ROOTED = 3, 20
-#: Hosts with templates that fit a broadcast; each has a few dozen subtrees of 8 bytes.
-FEW_HOSTS = 50_000
+MIN_PAGES, MIN_MARKED = 3, 20
+#: Groups with templates that fit a broadcast; each has a few dozen subtrees of 8 bytes.
+FEW_GROUPS = 50_000
 
 
-@dataclass
 class Element:
-    tag: str
-    dropped: bool
-    root: int
-    parent: Element | None
-    digest: blake2b
-    hash: int = 0
+    """An open or closed element. ``holder`` is the nearest block that it is in or is; ``hash``
+    is set when it closes."""
 
+    __slots__ = ("tag", "dropped", "root", "parent", "holder", "digest", "hash")
+
+    def __init__(self, tag: str, dropped: bool, root: int, parent: Element | None, named: str = ""):
+        self.tag, self.dropped, self.root, self.parent, self.hash = tag, dropped, root, parent, 0
+        self.holder = self if parent is None or tag in BLOCK else parent.holder
+        self.digest = blake2b(f"{tag} {named}".encode(), digest_size=8) if parent else blake2b(digest_size=8)
 
-@dataclass
-class Block:
-    text: str
-    around: list[int]
-    root: int
 
+@dataclass
+class Root:
+    """A marked article or main part: the element around it, and the part it lies in."""
 
-def _words(attributes: str) -> set[str]:
-    return {w for m in ATTRIBUTE.finditer(attributes) for w in re.split("[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower()) if w}
+    kind: str
+    around: Element | None
+    outer: int
 
 
-def read_page(page: str) -> list[Block]:
-    """The blocks of a page's main root, in order, each with its enclosing subtrees' hashes."""
-    top = Element("", False, 0, None, blake2b(digest_size=8))
-    stack, blocks, kinds, roots = [top], [], {0: ""}, [0]
-    around: list[list[Element]] = []
-    run: list[str] = []
+@dataclass
+class Page:
+    """Blocks of text with the element each lies in, all block elements, parents first."""
+
+    blocks: list[tuple[str, Element]]
+    elements: list[Element]
+    roots: list[Root]
+
+    def main(self) -> tuple[list[tuple[str, Element]], bool]:
+        """The blocks of the main text, and whether it is marked: the part around the longest
+        article or else the article and its siblings, else the longest main part, else all."""
+        size = [0] * len(self.roots)
+        for text, e in self.blocks:
+            size[e.root] += len(text)
+        best = max((r for r in range(1, len(size)) if size[r]), key=lambda r: (self.roots[r].kind == "article", size[r], -r), default=0)
+        if not best:
+            return self.blocks, False
+        root = self.roots[best]
+        if root.outer:
+            wanted = {r for r in range(len(size)) if root.outer in (r, self.roots[r].outer)}
+        elif root.kind == "article":
+            wanted = {r for r, x in enumerate(self.roots) if x.kind == "article" and x.around is root.around}
+        else:
+            wanted = {r for r, x in enumerate(self.roots) if best in (r, x.outer)}
+        return [b for b in self.blocks if b[1].root in wanted], True
+
+    def text(self, drop: set[int], drop_marked: set[int]) -> str:
+        """The main text without what lies in a subtree to drop."""
+        blocks, marked = self.main()
+        gone: set[int] = set()
+        templates = drop_marked if marked else drop
+        if templates:
+            for e in self.elements:
+                if e.hash in templates or id(e.parent.holder) in gone:
+                    gone.add(id(e))
+        return " ".join(text for text, e in blocks if id(e) not in gone)
+
+    def subtrees(self) -> tuple[list[int], bool]:
+        """Hashes of the subtrees that hold main text, and whether it is marked."""
+        blocks, marked = self.main()
+        seen: set[int] = set()
+        found: set[int] = set()
+        for _, e in blocks:
+            while e.parent is not None and id(e) not in seen:
+                seen.add(id(e))
+                if e.tag not in ("html", "body"):
+                    found.add(e.hash)
+                e = e.parent.holder
+        return sorted(found), marked
+
+
+def _words(attributes: str) -> tuple[set[str], set[str]]:
+    """Whole names of class, id and role, and the words that they are made of; a name such as
+    ``has-sidebar`` says what is elsewhere."""
+    names = {n for m in ATTRIBUTE.finditer(attributes) for n in (m[2] or m[3] or m[4] or "").lower().split()}
+    return names, {w for n in names if not ABOUT.match(n) for w in re.split("[^a-z0-9]+", n) if w}
+
+
+def read_page(page: str) -> Page:
+    """The blocks of a page in order. Work is in proportion to the page, however it is nested."""
+    top = Element("", False, 0, None)
+    stack, out, run = [top], Page([], [], [Root("", None, 0)]), []
+    opened: Counter[str] = Counter()
 
     def add(text: str) -> None:
         if text:
@@ -88,20 +149,20 @@ def read_page(page: str) -> list[Block]:
         text = " ".join("".join(run).split())
         run.clear()
         if text:
-            holder = next(e for e in reversed(stack) if e.tag in BLOCK or e.parent is None)
-            blocks.append(Block(text, [], holder.root))
-            around.append([e for e in stack if e.tag in BLOCK and e.tag not in ("html", "body")])
+            out.blocks.append((text, stack[-1].holder))
 
     def close() -> None:
         e = stack[-1]
         if e.tag in BLOCK:
             end_block()
         stack.pop()
+        opened[e.tag] -= 1
         e.hash = int.from_bytes(e.digest.digest(), "little", signed=True)
-        if e.parent is not None:
-            e.parent.digest.update(e.digest.digest())
+        e.parent.digest.update(e.digest.digest())
 
-    def close_while(tags: set[str] | frozenset[str], stop: set[str]) -> None:
+    def close_while(tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
                 while len(stack) > i:
@@ -110,24 +171,27 @@ def read_page(page: str) -> list[Block]:
             if stack[i].tag in stop:
                 return
 
-    at, n = 0, len(page)
+    # behind the last ``>`` nothing is a tag; a comment that is never closed goes on to the end
+    at, n, last = 0, len(page), page.rfind(">") + 1
     while at < n:
-        m = TAG.search(page, at)
+        m = TAG.search(page, at, last)
         if not m:
-            add(entities.unescape(page[at:]))
+            add(entities.unescape(page[at:].partition("<!--")[0]))
             break
         if m.start() > at:
             add(entities.unescape(page[at:m.start()]))
         at, tag = m.end(), (m[2] or "").lower()
         if not tag:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break
             continue
         if m[1]:
             if tag in BLOCK:
                 end_block()
             if tag in BLOCK or tag in DROPPED:
                 close_while({tag}, {"article"} - {tag} if tag not in ("main", "body", "html") else set())
-            elif any(e.tag == tag for e in stack):
-                close_while({tag}, set(BLOCK))
+            else:
+                close_while({tag}, BLOCK)
             if tag == "br":
                 run.append(" ")
             continue
@@ -142,91 +206,88 @@ def read_page(page: str) -> list[Block]:
             close_while(SIBLINGS[tag], LISTS)
         if tag in BLOCK:
             end_block()
-        up, names = stack[-1], _words(m[3]) if "=" in m[3] else set()
-        inside = up.root and kinds[up.root] in ROOTS
-        dropped = up.dropped or tag in DROPPED or (not inside and (tag == "header" or bool(names & HEADS))) or (bool(names & NAMES) and tag not in ("html", "body"))
+        up, (names, words) = stack[-1], _words(m[3]) if "=" in m[3] else (set(), set())
+        # what an article or heading is about is no reason to drop it: only a whole name is
+        noise = names if tag in CONTENT else words
+        inside = up.root and out.roots[up.root].kind in ROOTS
+        dropped = up.dropped or tag in DROPPED or (not inside and (tag == "header" or bool(noise & HEADS))) or (bool(noise & NAMES) and tag not in ("html", "body"))
         root = up.root
-        is_root = tag in ROOTS or "main" in names and tag == "div"
-        if is_root and not dropped and kinds[root] != "article":
-            root = len(roots)
-            roots.append(root)
-            kinds[root] = "article" if tag == "article" else "main"
-        e = Element(tag, dropped, root, up, blake2b(f"{tag} {' '.join(sorted(names))}".encode(), digest_size=8))
+        if (tag in ROOTS or "main" in words and tag == "div") and not dropped and out.roots[root].kind != "article":
+            out.roots.append(Root("article" if tag == "article" else "main", up.holder, root))
+            root = len(out.roots) - 1
         if tag in RAW and not m[3].endswith("/"):
             stop = re.compile(f"</{tag}\\b[^>]*>?", re.I).search(page, at)
             at = stop.end() if stop else n
             continue
+        e = Element(tag, dropped, root, up, " ".join(sorted(words)))
         stack.append(e)
+        opened[tag] += 1
+        if tag in BLOCK:
+            out.elements.append(e)
     while len(stack) > 1:
         close()
     end_block()
-    for b, es in zip(blocks, around, strict=True):
-        b.around = [e.hash for e in es]
-    return _main(blocks, kinds)
-
-
-def _main(blocks: list[Block], kinds: dict[int, str]) -> list[Block]:
-    """The longest article, else the main part, else all of the page."""
-    size: dict[int, int] = {}
-    for b in blocks:
-        size[b.root] = size.get(b.root, 0) + len(b.text)
-    for kind in ROOTS:
-        found = [r for r in size if kinds[r] == kind]
-        if found:
-            best = max(found, key=lambda r: (size[r], -r))
-            return [b for b in blocks if b.root == best]
-    return blocks
+    return out
 
 
 def _own(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    return chosen(pages, _id=id_col, _url=url_col, text=html_col).withColumn("_host", host_of(F.col("_url")))
+    """Rows with the two groups that they are in: their host, and the first folder on it."""
+    own = chosen(pages, _id=id_col, _url=url_col, text=html_col).withColumn("_host", host_of(F.col("_url")))
+    folder = F.regexp_extract(F.coalesce("_url", F.lit("")), "://[^/?#]*(/[^/?#]*/)", 1)
+    return own.withColumn("_folder", F.concat("_host", F.when(folder == "", F.lit("/")).otherwise(folder)))
 
 
 def page_subtrees(own: DataFrame) -> DataFrame:
-    """Per page: host, whether its text is a marked article, and its subtrees that hold text."""
+    """Per page: its groups, its subtrees that hold main text and whether that is marked."""
     def read(b: pa.RecordBatch) -> dict:
-        found = [read_page(p) for p in strings(b.column("text"))]
-        return {"rooted": [bool(p) and p[0].root > 0 for p in found], "subtrees": [sorted({h for x in p for h in x.around}) for p in found]}
+        found = [read_page(p).subtrees() for p in strings(b.column("text"))]
+        return {"marked": [m for _, m in found], "subtrees": [s for s, _ in found]}
 
-    return arrow_map(own.select("_host", "text"), read, {"rooted": BOOL, "subtrees": T.ArrayType(LONG)}, ["_host"])
+    return arrow_map(own.select("_host", "_folder", "text"), read, {"marked": BOOL, "subtrees": T.ArrayType(LONG)}, ["_host", "_folder"])
 
 
-def recurring(seen: DataFrame, share: float, rooted_share: float) -> DataFrame:
-    """Per host, the subtrees on at least ``MIN_PAGES`` pages and a ``share`` of all its pages;
-    ``rooted`` has those that count within marked articles too: on ``MIN_ROOTED`` pages and a
-    ``rooted_share``, so that copies of one article on a site are no template. A host has no more
-    of them than its pages have subtrees on average, divided by the share."""
-    pages = seen.groupBy("_host").agg(F.count("*").alias("pages"))
-    often = (seen.select("_host", F.explode("subtrees").alias("subtree")).groupBy("_host", "subtree").agg(F.count("*").alias("n"))
-             .filter(F.col("n") >= MIN_PAGES).join(pages, "_host").filter(F.col("n") >= share * F.col("pages")))
-    rooted = (F.col("n") >= rooted_share * F.col("pages")) & (F.col("n") >= MIN_ROOTED)
-    return often.groupBy("_host").agg(F.collect_list("subtree").alias("drop"), F.collect_list(F.when(rooted, F.col("subtree"))).alias("drop_rooted"))
+def recurring(seen: DataFrame, share: float, marked_share: float) -> DataFrame:
+    """Per group, the subtrees on at least ``MIN_PAGES`` pages and a ``share`` of all its pages;
+    ``drop_marked`` has those that count within marked articles too: on ``MIN_MARKED`` pages and
+    a ``marked_share``, so that near copies of an article on a site are no template. Pages with the
+    same subtrees count once. A group has no more of them than its pages have subtrees on
+    average, divided by the share."""
+    each = (seen.select(F.explode(F.array("_host", "_folder")).alias("_group"), F.xxhash64("subtrees").alias("page"), "subtrees")
+            .dropDuplicates(["_group", "page"]))
+    pages = each.groupBy("_group").agg(F.count("*").alias("pages"))
+    often = (each.select("_group", F.explode("subtrees").alias("subtree")).groupBy("_group", "subtree").agg(F.count("*").alias("n"))
+             .filter(F.col("n") >= MIN_PAGES).join(pages, "_group").filter(F.col("n") >= share * F.col("pages")))
+    marked = (F.col("n") >= marked_share * F.col("pages")) & (F.col("n") >= MIN_MARKED)
+    return often.groupBy("_group").agg(F.collect_list("subtree").alias("drop"), F.collect_list(F.when(marked, F.col("subtree"))).alias("drop_marked"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                 share: float = 0.5, rooted_share: float = 0.9) -> DataFrame:
+                 share: float = 0.5, marked_share: float = 0.9) -> DataFrame:
     """One row per input row: id, url, ``text`` (the main text) and ``n_chars``.
 
     Pages are read twice, once for their subtrees and once for their text, so that no text is
-    written on the way. The templates of all hosts are broadcast if there are at most
-    ``FEW_HOSTS`` of them, else joined by host.
+    written on the way. The templates of all groups are broadcast if there are at most
+    ``FEW_GROUPS`` of them, else joined by group.
 
     Null and empty pages, and pages without main text, give an empty text. Null urls share the
     empty host. A null id or url stays null, repeated rows give repeated results (and count
-    as pages), other columns are not looked at. The result does not depend on the order
-    of rows: of equally long articles in a page the first is taken.
+    as one page), other columns are not looked at. The result does not depend on the order
+    of rows: of equally long articles in a page the first is taken, with those beside it.
     """
     own = _own(pages, id_col, url_col, html_col)
-    templates = settle(recurring(settle(page_subtrees(own), "subtrees"), share, rooted_share), "templates")
+    templates = settle(recurring(settle(page_subtrees(own), "subtrees"), share, marked_share), "templates")
+    few = templates.count() <= FEW_GROUPS
+
+    def of(group: str) -> DataFrame:
+        t = templates.select(F.col("_group").alias(group), F.col("drop").alias(f"{group}_drop"), F.col("drop_marked").alias(f"{group}_marked"))
+        return F.broadcast(t) if few else t
+
+    both = lambda what: F.concat(*[F.coalesce(f"{g}_{what}", F.array().cast("array<bigint>")) for g in ("_host", "_folder")])
+    known = own.join(of("_host"), "_host", "left").join(of("_folder"), "_folder", "left").select("_id", "_url", "text", both("drop").alias("drop"), both("marked").alias("marked"))
 
     def read(b: pa.RecordBatch) -> dict:
-        found = [read_page(p) for p in strings(b.column("text"))]
-        return {"blocks": [[x.text for x in p] for p in found], "around": [[x.around for x in p] for p in found], "is_rooted": [bool(p) and p[0].root > 0 for p in found]}
-
-    out = {"blocks": T.ArrayType(STRING), "around": T.ArrayType(T.ArrayType(LONG)), "is_rooted": BOOL}
-    texts = arrow_map(own, read, out, ["_id", "_url", "_host"])
-    known = texts.join(F.broadcast(templates) if templates.count() <= FEW_HOSTS else templates, "_host", "left")
-    drop = F.coalesce(F.when(F.col("is_rooted"), F.col("drop_rooted")).otherwise(F.col("drop")), F.array().cast("array<bigint>"))
-    kept = F.filter(F.arrays_zip("blocks", "around"), lambda x: ~F.arrays_overlap(x["around"], drop))
-    done = known.select("_id", "_url", F.array_join(F.transform(kept, lambda x: x["blocks"]), " ").alias("text"))
-    return done.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+        rows = zip(strings(b.column("text")), b.column("drop").to_pylist(), b.column("marked").to_pylist(), strict=True)
+        return {"main": [read_page(p).text(set(d), set(m)) for p, d, m in rows]}
+
+    done = arrow_map(known, read, {"main": STRING}, ["_id", "_url"])
+    return done.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), F.col("main").alias("text"), F.length("main").cast("long").alias("n_chars"))

@@ -122,10 +122,10 @@ class QualityModel:
         return _posterior(_digits(code), self.good, np.array(self.rates))
 
 
-#: Bounds of the rates: rules are written to be precise, so none may call more than three good
-#: documents in a hundred bad, and each has to find some of the bad ones.
-LOWEST = np.array([0.15, 0.0100, 0.30, 0.05])
-HIGHEST = np.array([0.95, 0.0300, 0.99, 0.80])
+#: First guess of the rates and of the share of good documents, and how many imagined documents
+#: of either kind stand for it.
+GUESS, GUESSED_GOOD, IMAGINED = (0.5, 0.005, 0.9, 0.5), 0.8, 10
+TINY = 1e-6
 
 
 def _digits(code: np.ndarray) -> np.ndarray:
@@ -138,23 +138,27 @@ def _posterior(d: np.ndarray, good: float, rates: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
 
 
-def fit_patterns(code: np.ndarray, count: np.ndarray, rounds: int = 200) -> QualityModel:
-    """Expectation-maximisation over vote patterns; an abstention carries no weight. Ten
-    imagined documents of either kind stand for the first guess, which is all that is left
-    on an empty table."""
-    d, good = _digits(code), 0.8
-    first = np.tile([0.5, 0.005, 0.9, 0.5], (len(RULES), 1))
+def fit_patterns(code: np.ndarray, count: np.ndarray, rounds: int = 1000) -> QualityModel:
+    """Expectation-maximisation over vote patterns; an abstention carries no weight.
+
+    Rates and the share of good documents are free. ``IMAGINED`` documents of either kind stand
+    for the first guess, which is all that is left on an empty table. The two kinds have no names
+    of their own: the one in which rules say bad more often is the bad one.
+    """
+    d, good = _digits(code), GUESSED_GOOD
+    first = np.tile(GUESS, (len(RULES), 1))
     rates = first
     for _ in range(rounds):
         p = _posterior(d, good, rates)
         w, v = count * p, count * (1 - p)
-        new = np.stack([v @ (d == 2), w @ (d == 2), w @ (d == 1), v @ (d == 1)], 1) + 10 * first
-        new /= np.array([v.sum(), w.sum(), w.sum(), v.sum()]) + 10
-        new = np.clip(new, LOWEST, HIGHEST)
-        good = float(np.clip((w.sum() + 8) / (count.sum() + 10), 0.7, 0.95))
+        new = np.stack([v @ (d == 2), w @ (d == 2), w @ (d == 1), v @ (d == 1)], 1) + IMAGINED * first
+        new = np.clip(new / (np.array([v.sum(), w.sum(), w.sum(), v.sum()]) + IMAGINED), TINY, 1 - TINY)
+        good = float(np.clip((w.sum() + IMAGINED * GUESSED_GOOD) / (count.sum() + IMAGINED), TINY, 1 - TINY))
         done, rates = np.abs(new - rates).max() < 1e-9, new
         if done:
             break
+    if rates[:, 0].sum() < rates[:, 1].sum():
+        good, rates = 1 - good, rates[:, [1, 0, 3, 2]]
     return QualityModel(good, tuple(tuple(map(float, r)) for r in rates))
 
 
@@ -170,7 +174,7 @@ def _failed(m: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """One row per input row: the counts, ``base_failed``, ``quality`` (posterior) and ``kept``.
+    """One row per input row: the counts, ``base_failed``, ``kept`` and ``quality`` (posterior).
 
     A null or empty text has no words and fails the base rules. A null id is kept as null,
     repeated rows give repeated results, an empty table gives an empty one, and columns
@@ -187,8 +191,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         list(zip(codes.tolist(), model.posterior(codes).tolist(), strict=True)), "code long, quality double")
     # at most 3 ** rules patterns exist, however large the corpus
     return (seen.join(F.broadcast(table), "code")
-            .select(F.col("_id").alias(id_col), *COUNTS, "base_failed", "quality",
-                    (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept")))
+            .select(F.col("_id").alias(id_col), *COUNTS, "base_failed",
+                    (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"), "quality"))
 
 
 def _fit(seen: DataFrame) -> tuple[QualityModel, np.ndarray]:

@@ -104,7 +104,7 @@ def train_urls(labelled: DataFrame, url_col: str = "url", label_col: str = "labe
 
 def url_filter(pages: DataFrame, model: UrlModel, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url",
                threshold: float = 0.5) -> DataFrame:
-    """One row per input row: ``host``, ``path``, ``rule``, ``p_block`` and ``verdict``.
+    """One row per input row: ``host``, ``path``, ``rule``, ``verdict`` and ``p_block``.
 
     The model blocks what is at least ``threshold`` likely to be unwanted. Null urls and urls without ``://`` have empty host and path and are judged by the model's
     bias. Of rules that fit, the longest text wins. A null id stays null, repeated rows give
@@ -113,5 +113,5 @@ def url_filter(pages: DataFrame, model: UrlModel, rules: list[tuple[str, str]],
     own = chosen(pages, _id=id_col, url=url_col).select("_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     scored = arrow_map(own, lambda b: {"p_block": model.probability(b.column("host"), b.column("path"))}, {"p_block": DOUBLE}, ["_id", "host", "path"], "path")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return scored.select(F.col("_id").alias(id_col), "host", "path", rule.alias("rule"), "p_block",
-                         F.coalesce(verdict, F.when(F.col("p_block") >= threshold, "block").otherwise("allow")).alias("verdict"))
+    return scored.select(F.col("_id").alias(id_col), "host", "path", rule.alias("rule"),
+                         F.coalesce(verdict, F.when(F.col("p_block") >= threshold, "block").otherwise("allow")).alias("verdict"), "p_block")

@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 from llm_cases import EDGE, LONG, PROSE, edge, words
 
 from carryover.llm import quality as Q
@@ -60,3 +61,22 @@ def test_keep_good_returns_the_documents(spark):
     assert kept.schema == docs.schema
     assert sorted((r.doc_id or 0, len(r.text)) for r in kept.collect()) == [(0, len(PROSE)), (1, len(PROSE)), (1, len(PROSE))] + ([(5, len(LONG))] if any(r.doc_id == 5 for r in kept.collect()) else [])
     assert Q.keep_good(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("good", [0.33, 0.6, 0.9])
+def test_rates_are_free(good):
+    """Simulated votes: the share of good documents and the rates are found, whichever is larger;
+    the first guess says four fifths are good."""
+    import numpy as np
+    r = np.random.default_rng(9)
+    n, k = 60_000, len(Q.RULES)
+    true = np.stack([r.uniform(0.2, 0.7, k), r.uniform(0.005, 0.06, k), r.uniform(0.5, 0.95, k), r.uniform(0.05, 0.4, k)], 1)
+    kind = r.random(n) < good
+    u = r.random((n, k))
+    bad, fine = np.where(kind[:, None], true[:, 1], true[:, 0]), np.where(kind[:, None], true[:, 2], true[:, 3])
+    votes = np.where(u < bad, 2, np.where(u > 1 - np.minimum(fine, 1 - bad), 1, 0))
+    code, inverse, count = np.unique(votes @ 3 ** np.arange(k - 1, -1, -1), return_inverse=True, return_counts=True)
+    model = Q.fit_patterns(code, count)
+    kept = model.posterior(code)[inverse] >= 0.5
+    assert abs(model.good - good) < 0.03 and (kept == kind).mean() > 0.97
+    assert np.abs(np.array(model.rates)[:, 0] - true[:, 0]).max() < 0.05

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carryover.functions.canonical import md5_slice, row_digest_sql
@@ -49,6 +49,10 @@ def verify_tables(recorded: DataFrame, actual: DataFrame) -> DataFrame:
     return j.select("table", status.alias("status"))
 
 
+#: Entries of a thread that one task may sort and replay; longer threads are spread.
+LONG_THREAD = 100_000
+
+
 def ledger_sequence(entries: DataFrame) -> DataFrame:
     """Replay of review verdicts per (slice, reviewer) thread in round order.
 
@@ -56,10 +60,38 @@ def ledger_sequence(entries: DataFrame) -> DataFrame:
     breaks the sequence is not appended, so later ones are judged without it. That makes
     the accepted ones of a thread: the first entry of round 1, then for each next round the
     first entry with the same owner, as long as no round is missing and every earlier one
-    asked for changes. Both conditions are running counts, so a long thread is not replayed
+    asked for changes. Both conditions are running counts: over one sort of the threads, and
+    for threads of over ``LONG_THREAD`` entries over segments of them, so that none is replayed
     in one place.
     """
     keys = ["slice", "reviewer"]
+    long = settle(entries.groupBy(*keys).count().where(F.col("count") > LONG_THREAD).select(*keys), "threads")
+    if long.isEmpty():
+        return _replay(entries)
+    same = [entries[k].eqNullSafe(long[k]) for k in keys]
+    return _replay(entries.join(long, same, "left_anti")).unionByName(_replay_spread(entries.join(long, same, "left_semi")))
+
+
+def _replay(entries: DataFrame) -> DataFrame:
+    """``ledger_sequence`` by windows over whole threads: one shuffle and one sort."""
+    thread = Window.partitionBy("slice", "reviewer").orderBy("round", "seq")
+    so_far, before = thread.rowsBetween(Window.unboundedPreceding, 0), thread.rowsBetween(Window.unboundedPreceding, -1)
+    in_round = Window.partitionBy("slice", "reviewer", "round").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    count = lambda c, w: F.coalesce(F.sum(c.cast("int")).over(w), F.lit(0))
+    d = entries.withColumn("_first", F.first(F.when(F.col("round") == 1, F.struct("owner")), ignorenulls=True).over(so_far))
+    d = d.withColumn("_fits", F.coalesce(F.when(F.col("round") == 1, F.lit(True)).otherwise((F.col("round") > 1) & (F.col("owner") == F.col("_first.owner"))), F.lit(False)))
+    d = d.withColumn("_next", F.col("_fits") & (count(F.col("_fits"), in_round) == 0))
+    ends = F.coalesce(F.col("verdict") != "changes_requested", F.lit(False))
+    d = d.withColumn("_taken", F.col("_next") & (count(F.col("_next"), so_far) == F.col("round")) & (count(F.col("_next") & ends, before) == 0))
+    d = d.withColumns({"_before": count(F.col("_taken"), before), "_ended": count(F.col("_taken") & ends, before)})
+    reason = (F.when(F.col("_taken"), "accepted").when(F.col("_before") == 0, "first verdict must be round 1").when(F.col("_ended") > 0, "thread already closed")
+              .when(F.col("round") != F.col("_before") + 1, "unexpected round").otherwise("owner changed"))
+    return d.select(*entries.columns, reason.alias("outcome"))
+
+
+def _replay_spread(entries: DataFrame) -> DataFrame:
+    """``ledger_sequence`` over segments: entries are folded to one a round before they are counted."""
+    keys = ["slice", "reviewer"]
     first = entries.where("round = 1").groupBy(*keys).agg(F.min_by(F.struct("owner", "seq"), F.struct("seq", "owner")).alias("_f"))
     d = settle(entries.join(first, keys, "left"), "entries")
     own = d.where(F.when(F.col("round") == 1, F.col("seq") == F.col("_f.seq")).otherwise(F.col("owner") == F.col("_f.owner")) & (F.col("round") >= 1))

@@ -134,7 +134,10 @@ def ledger_replay(entries):
     return out
 
 
-def test_ledger_matches_replay(spark):
+@pytest.mark.parametrize("long", [integrity.LONG_THREAD, 300, 0])
+def test_ledger_matches_replay(spark, monkeypatch, long):
+    """All threads sorted whole, some of them spread, all of them spread."""
+    monkeypatch.setattr(integrity, "LONG_THREAD", long)
     r = random.Random(11)
     es = [(r.choice("ab") if i % 3 else "hot", r.choice("xy"), r.randrange(0, 6), r.choice("pq"), r.choice(["changes_requested"] * 4 + ["accepted", "escalate"]), i) for i in range(600)]
     # Long valid threads too, so that hot threads are cut.

@@ -36,13 +36,13 @@ def at_cosine(u, cos):
 @pytest.mark.parametrize("shift", [0.0, 0.5])
 def test_recall_by_cosine(spark, shift):
     """Pairs just above the threshold, also where all vectors lean one way."""
-    base = units(RND.standard_normal((6000, 48)) + shift)
+    base = units(RND.standard_normal((3000, 48)) + shift)
     for cos in (0.9501, 0.98):
         two = np.concatenate([base, at_cosine(base, cos)]).astype(np.float32)
         got = found(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(two)], SCHEMA))
         u = units(two)
-        close = np.einsum("ij,ij->i", u[:6000], u[6000:]) >= 0.95
-        hit = np.array([got[6000 + i][1] <= i for i in range(6000)])
+        close = np.einsum("ij,ij->i", u[:3000], u[3000:]) >= 0.95
+        hit = np.array([got[3000 + i][1] <= i for i in range(3000)])
         assert hit[close].mean() >= (0.985 if cos < 0.96 else 0.998)
     assert sum(n for n, _, _ in got.values()) >= 2 * close.sum() * 0.998
 

@@ -33,7 +33,7 @@ def table(n, d, scale=1.0, labels=4):
 
 @pytest.mark.parametrize("d,scale", [(64, 0.1), (7, 1.0), (100, 0.01), (20, 1e6)])
 def test_equals_brute_force(spark, d, scale):
-    rows = table(1200, d, scale)
+    rows = table(700, d, scale)
     assert mined(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
 
 

@@ -1,6 +1,6 @@
 """N-gram language model scoring over sharded Elias-Fano tries.
 
-Texts are dealt into blocks. A block asks each shard for the n-grams it holds, in one sorted,
+Texts are dealt into blocks, in compressed parcels. A block asks each shard for the n-grams it holds, in one sorted,
 Elias-Fano coded list with its own training counts; a shard sums what all blocks sent,
 builds its trie, and answers each block with one code per n-gram asked. The block then scores
 its texts. No n-gram crosses the network more than once per block, none is kept by the driver,
@@ -16,11 +16,15 @@ of a decade for orders over 1, and exact counts for words. N-grams are told apar
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from carryover.llm.eliasfano import EliasFano, Trie
 from carryover.llm.text import BASE, Texts, mix, pieces
@@ -31,6 +35,8 @@ ORDER = 3
 #: Weight of the shorter context, by order from 2.
 PRIORS = (50.0, 50.0, 50.0, 50.0)
 BLOCK_BYTES = 8 << 20
+#: Bytes that a task gathers before it sends each block its texts.
+PARCELS = 32 << 20
 FRAGMENT_BITS, WORD_BITS, TAG_BITS = 27, 27, 2
 KEY_BITS = FRAGMENT_BITS + WORD_BITS + TAG_BITS
 START, END = np.uint64(0x51A7), np.uint64(0xE11D)
@@ -169,8 +175,8 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[new], place
 
 
-def _scores(docs: pa.Table, answers: pa.Table, order: int, tokens: int, kinds: int) -> dict[str, np.ndarray]:
-    b = Block(docs.column("text"), order)
+def _scores(texts: pa.ChunkedArray, answers: pa.Table, order: int, tokens: int, kinds: int) -> dict[str, np.ndarray]:
+    b = Block(texts, order)
     keys, place = _distinct(b.asked())
     answers = answers.sort_by("shard")
     tag, count = keys & np.uint64(3), np.zeros(len(keys))
@@ -199,6 +205,33 @@ def _scores(docs: pa.Table, answers: pa.Table, order: int, tokens: int, kinds: i
             "base_score": np.bincount(b.text, base, rows), "score": np.bincount(b.text, np.log10(p), rows)}
 
 
+def _parcels(held: list[pa.RecordBatch], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows of (block, _id, text, train) as one row a block, their texts compressed together."""
+    t = pa.Table.from_batches(held).sort_by("block")
+    block = t.column("block").to_numpy()
+    at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    texts = Texts(t.column("text"))
+    squeeze, out = zstandard.ZstdCompressor(level=3), []
+    for a, e in zip(at, np.append(at, len(block))[1:], strict=True):
+        raw = np.diff(texts.off[a:e + 1]).astype("<i8").tobytes() + texts.buf[texts.off[a]:texts.off[e]].tobytes()
+        out.append(squeeze.compress(raw))
+    cut = pa.array(np.append(at, len(block)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(cut, t.column(c).combine_chunks()) for c in ("_id", "train")]
+    return pa.RecordBatch.from_arrays([pa.array(block[at]), lists[0].cast(schema.field("ids").type), lists[1], pa.array(out, pa.binary())], schema=schema)
+
+
+def _opened(parcels: pa.Table) -> tuple[pa.ChunkedArray, pa.ChunkedArray, np.ndarray]:
+    """(ids, texts, whether learnt from) of the rows in the parcels of a block."""
+    texts, loosen = [], zstandard.ZstdDecompressor()
+    for ids, parcel in zip(parcels.column("ids"), parcels.column("texts"), strict=True):
+        raw, n = loosen.decompress(parcel.as_buffer()), len(ids)
+        off = np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<i8", n))]).astype(np.int64)
+        texts.append(pa.LargeStringArray.from_buffers(n, pa.py_buffer(off), pa.py_buffer(raw[8 * n:])))
+    ids = pa.chunked_array([c.flatten() for c in parcels.column("ids").chunks], parcels.schema.field("ids").type.value_type)
+    train = [c.flatten().to_numpy(zero_copy_only=False) for c in parcels.column("train").chunks]
+    return ids, pa.chunked_array(texts, pa.large_string()), np.concatenate([np.zeros(0, bool), *train])
+
+
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: the id, ``n_tokens``, ``n_known`` (tokens seen in training),
     ``train_tokens``, ``base_score`` and ``score`` (log10 probabilities by words alone and by the
@@ -214,22 +247,38 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     size = own.agg(F.sum(F.octet_length("text") + 1).alias("b")).first().b or 0
     blocks = max(1, math.ceil(size / block_bytes))
     blocked = own.withColumn("block", F.pmod(F.xxhash64("_id", "text"), F.lit(blocks)))
+    kind = own.schema["_id"].dataType
+    sent = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("train", T.ArrayType(T.BooleanType())), T.StructField("texts", T.BinaryType())])
+    arrow = to_arrow_schema(sent)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in pieces(batches, "text"):
+            held.append(b)
+            size += b.nbytes
+            if size >= PARCELS:
+                yield _parcels(held, arrow)
+                held, size = [], 0
+        if held:
+            yield _parcels(held, arrow)
+
+    parcels = blocked.mapInArrow(send, sent)
 
     def ask(group: tuple, table: pa.Table) -> pa.Table:
-        return _requests(group[0].as_py(), table.column("text"), table.column("train").to_numpy(), order, blocks)
+        _, texts, learnt = _opened(table)
+        return _requests(group[0].as_py(), texts, learnt, order, blocks)
 
     def answer(table: pa.Table) -> pa.Table:
         return _answers(table, order)
 
-    asked = blocked.groupBy("block").applyInArrow(ask, "shard long, block long, base long, keys binary, counts binary")
+    asked = parcels.groupBy("block").applyInArrow(ask, "shard long, block long, base long, keys binary, counts binary")
     answers = settle(asked.groupBy("shard").applyInArrow(answer, "block long, shard long, tokens long, kinds long, exact binary, codes binary"), "ngrams")
     total = answers.agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v")).first()
     tokens, kinds = total.n or 0, total.v or 0
 
-    def score(docs: pa.Table, found: pa.Table) -> pa.Table:
-        got = _scores(docs, found, order, tokens, kinds)
-        return pa.table({"_id": docs.column("_id")} | {k: pa.array(v) for k, v in got.items()})
+    def score(table: pa.Table, found: pa.Table) -> pa.Table:
+        ids, texts, _ = _opened(table)
+        return pa.table({"_id": ids} | {k: pa.array(v) for k, v in _scores(texts, found, order, tokens, kinds).items()})
 
-    kind = own.schema["_id"].dataType.simpleString()
-    out = f"_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, out).withColumnRenamed("_id", id_col)
+    out = f"_id {kind.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return parcels.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, out).withColumnRenamed("_id", id_col)

@@ -36,7 +36,7 @@ ORDER = 3
 PRIORS = (50.0, 50.0, 50.0, 50.0)
 BLOCK_BYTES = 8 << 20
 #: Bytes that a task gathers before it sends each block its texts.
-PARCELS = 32 << 20
+PARCELS = 8 << 20
 FRAGMENT_BITS, WORD_BITS, TAG_BITS = 27, 27, 2
 KEY_BITS = FRAGMENT_BITS + WORD_BITS + TAG_BITS
 START, END = np.uint64(0x51A7), np.uint64(0xE11D)

@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from carryover.session import settle_counted
+
+MAX_ROUNDS = 10_000
 
 
 class NameMap:
@@ -51,3 +57,17 @@ def with_fallback(main: Callable[[], DataFrame], fallback: Callable[[Exception],
         return df
     except Exception as e:  # noqa: BLE001
         return fallback(e)
+
+
+def recursive_union(anchor: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``WITH RECURSIVE .. UNION ALL``: the anchor, then what ``step`` makes of the round before,
+    until a round has no rows. Rounds are written to the shared folder, so neither their number
+    nor their rows are bound by what Spark's own recursion allows (100 rounds, a million rows)."""
+    rounds: list[DataFrame] = []
+    now, n = settle_counted(anchor, "recursion", n=F.count(F.lit(1)))
+    while n["n"] and len(rounds) < MAX_ROUNDS:
+        rounds.append(now)
+        now, n = settle_counted(step(now), "recursion", n=F.count(F.lit(1)))
+    if n["n"]:
+        raise RuntimeError("the recursion is deeper than the round limit")
+    return reduce(DataFrame.union, rounds, now)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from carryover.functions.canonical import md5_bucket, money
 from carryover.operators.lookups import broadcast_if_small, lookup_join
 from carryover.operators.reshape import star_replace, unpivot_long
+from carryover.operators.steps import recursive_union
 from carryover.plans.registry import query
+from carryover.session import spread
 
 # ---------------------------------------------------------------- projections, predicates
 
@@ -439,9 +441,6 @@ def cte_union(t):
         union all select start, node // 2, depth + 1 from walk where node >= 2)
     select start, max(depth)::bigint as depth, count(*)::bigint as steps from walk group by start""")
 def recursive_cte(t):
-    # Depth grows with the logarithm of the key, far below the 100 levels Spark allows.
-    return t.register("part").sql("""
-        with recursive walk(start, node, depth) as (
-            select p_partkey, p_partkey, 0 from part
-            union all select start, node div 2, depth + 1 from walk where node >= 2)
-        select start, cast(max(depth) as bigint) as depth, count(*) as steps from walk group by start""")
+    start = spread(t.part.select("p_partkey"), "p_partkey").selectExpr("p_partkey as start", "p_partkey as node", "0 as depth")
+    walk = recursive_union(start, lambda d: d.where("node >= 2").selectExpr("start", "node div 2 as node", "depth + 1 as depth"))
+    return walk.groupBy("start").agg(F.max("depth").cast("long").alias("depth"), F.count(F.lit(1)).alias("steps"))

@@ -259,3 +259,20 @@ def test_models_score_in_a_session_that_ran_a_loop(spark):
         model = training.train(d, kind, ["x", "y"])
         assert model.transform(d).where("prediction is not null").count() == 60
         assert training.evaluate(model, d, kind).count() == 1
+
+
+def test_recursion_goes_past_a_million_rows(spark, tmp_path):
+    from carryover.plans import load
+    from carryover.plans.registry import QUERIES
+    load()
+    keys = spark.range(1, 80_001).selectExpr("id as p_partkey").unionByName(spark.sql("select cast(null as bigint) as p_partkey"))
+    keys.write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES["recursive_cte"](spark, str(tmp_path))
+    all_ = got.selectExpr("sum(steps) as s", "count(*) as n").first()
+    assert all_.n == 80_001 and all_.s == 1 + sum(k.bit_length() for k in range(1, 80_001)) > 1_000_000
+    assert got.where("start = 65536").first().depth == 16
+
+
+def test_recursion_goes_past_a_hundred_rounds(spark):
+    got = steps.recursive_union(spark.range(2), lambda d: d.where("id < 150").selectExpr("id + 1 as id"))
+    assert got.count() == 151 + 150

@@ -50,7 +50,7 @@ def _with_text(t, d):
 def sql_log(t):
     """One of the statements per part, about the part's own brand, with the text of a document as
     a comment and as a literal: neither may change what a scan finds."""
-    d = _with_text(t, t.part)
+    d = _with_text(t, spread(t.part, "p_partkey"))
     i = F.col("p_partkey") % len(SQL_LOG)
     sql = F.replace(_pick([x[0] for x in SQL_LOG], i), F.lit("ds."), F.concat(F.lit("ds_"), F.lower(F.regexp_replace("p_brand", r"\W", "_")), F.lit(".")))
     return d.select(F.col("p_partkey").alias("id"), F.concat(sql, F.lit("\n/* "), F.replace(F.coalesce("text", F.lit("")), F.lit("*/"), F.lit("")), F.lit(" */\n-- "),
@@ -197,7 +197,7 @@ def secret_expression_scan(t):
     config = F.to_json(F.struct(
         F.struct(F.struct(F.when(s % 2 == 0, "${secrets.db}").otherwise("plain").alias("token")).alias("auth"), F.lit("h").alias("host")).alias("conn"),
         F.array(F.struct(F.lit("x").alias("name")), F.struct(F.when(s % 3 == 0, "{{ env_var('DB_PASSWORD') }}").otherwise("y").alias("name"))).alias("list")))
-    d = X.flatten_json(t.part.select("p_partkey", config.alias("c")), "p_partkey", "c")
+    d = X.flatten_json(spread(t.part.select("p_partkey", "p_size"), "p_partkey").select("p_partkey", config.alias("c")), "p_partkey", "c")
     return d.where(F.col("value").rlike(X.SECRET_EXPRESSION)).select("p_partkey", "path")
 
 

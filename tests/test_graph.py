@@ -132,3 +132,18 @@ def test_rollup_bands(spark):
     un = spark.createDataFrame([("a", "m1"), ("a", "m1")], "id string, message string")
     got = {r.wave: (r.blockers, r.status, r.effort_band) for r in G.wave_rollup(items, un).collect()}
     assert got == {1: (2, "blocked", "M"), 2: (0, "ready_for_review", "XL"), 3: (0, "ready_for_review", "S")}
+
+
+def test_no_round_sends_a_table_through_the_driver(spark, monkeypatch):
+    plans, real = [], G.settle_counted
+
+    def watched(df, name, **counts):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return real(df, name, **counts)
+
+    monkeypatch.setattr(G, "settle_counted", watched)
+    nodes = spark.range(20).selectExpr("concat('n', id) as id")
+    edges = spark.range(1, 20).selectExpr("concat('n', id) as child", "concat('n', id div 2) as parent")
+    assert G.waves(nodes, edges).count() == 20
+    assert G.downstream(nodes.where("id = 'n1'"), edges).count() == 18
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)

@@ -110,3 +110,13 @@ def test_dashboard_capacity(spark):
                               "dashboard string, tile int, type string, n_dimensions int, n_measures int, has_filters boolean, has_pivots boolean, resolved boolean")
     got = {r.tile: r.code for r in R.dashboard_gate(t).collect()}
     assert [got[i] for i in range(9)] == ["ok"] * 6 + ["layout_capacity_exceeded"] * 2 + ["unsupported_visual"]
+
+
+def test_the_estate_is_derived_once_for_mapping_and_stream_seeds(spark, tmp_path, monkeypatch):
+    from carryover.plans import estate_rules
+    from carryover.plans.registry import Tables
+    spark.range(1, 40).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size", "900.0 + id as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    calls, real = [], estate_rules.estate_objects
+    monkeypatch.setattr(estate_rules, "estate_objects", lambda t: calls.append(1) or real(t))
+    assert estate_rules.assessed(Tables(spark, str(tmp_path))).count() == 39
+    assert len(calls) == 1

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from carryover.operators import access, dml, graph, integrity, quality, semantic, steps, training
 from carryover.operators.reshape import array_to_child, flatten_struct, item_arrays
-from carryover.session import scratch
+from carryover.session import scratch, settle
 from carryover.sources import ingest, sinks
 
 
@@ -276,3 +276,28 @@ def test_recursion_goes_past_a_million_rows(spark, tmp_path):
 def test_recursion_goes_past_a_hundred_rounds(spark):
     got = steps.recursive_union(spark.range(2), lambda d: d.where("id < 150").selectExpr("id + 1 as id"))
     assert got.count() == 151 + 150
+
+
+def test_jobs_read_frames_that_are_written_once(spark, tmp_path, monkeypatch):
+    """Each frame is written once, before the first fit, and vectors give the models that columns give."""
+    from carryover.plans import learning, load
+    from carryover.plans.registry import QUERIES
+    load()
+    spark.range(300).selectExpr("id as l_orderkey", "double(id % 50) as l_quantity", "if(id % 90 = 7, null, (id % 11) / 100D) as l_discount", "(id % 9) / 100D as l_tax",
+                                "1000D + 30 * (id % 50) + id * 37 % 13 as l_extendedprice", "if(id % 50 > 30, 'R', 'N') as l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(200).selectExpr("id % 20 as user_id", "concat('e', id % 4) as event_type", "double(id % 20 * (1 + id % 4)) as value").write.parquet(f"{tmp_path}/events.parquet")
+    written = []
+    monkeypatch.setattr(learning, "settle", lambda d, name="stage": written.append(name) or settle(d, name))
+    with monkeypatch.context() as m:
+        m.setattr(training, "train", lambda *a, **kw: 1 / 0)
+        for name, frames in (("ml_evaluate", 3), ("ml_train_score", 5)):
+            written.clear()
+            with pytest.raises(ZeroDivisionError):
+                QUERIES[name](spark, str(tmp_path))
+            assert len(written) == frames and written.count("pairs") == 1
+    d = training.features(spark.read.parquet(f"{tmp_path}/lineitem.parquet").withColumnRenamed("l_extendedprice", "y"), learning.LINE, "y").coalesce(1)
+    for kind in ("LINEAR_REG", "BOOSTED_TREE_REGRESSOR"):
+        a, b = (training.train(x, kind, learning.LINE).transform(x).select(*learning.LINE, "prediction") for x in (d, settle(training.assembled(d, learning.LINE), "vectors")))
+        want, have = (sorted(map(tuple, x.collect())) for x in (a, b))
+        assert len(want) == 296 and [x[:3] for x in have] == [x[:3] for x in want]
+        assert [x[3] for x in have] == pytest.approx([x[3] for x in want])

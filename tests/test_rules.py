@@ -120,3 +120,21 @@ def test_the_estate_is_derived_once_for_mapping_and_stream_seeds(spark, tmp_path
     monkeypatch.setattr(estate_rules, "estate_objects", lambda t: calls.append(1) or real(t))
     assert estate_rules.assessed(Tables(spark, str(tmp_path))).count() == 39
     assert len(calls) == 1
+
+
+def test_a_sign_off_names_the_parity_provenance_and_security_codes_of_each_component(spark, tmp_path):
+    from carryover.plans import estate_rules
+    from carryover.plans.registry import Tables
+    spark.range(1, 60).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size", "900.0 + id as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    t = Tables(spark, str(tmp_path))
+    got = estate_rules.wave_signoff(t).collect()
+    own = {r.source_id: r for r in estate_rules.estate_objects(t).collect()}
+    assert sorted(r.source_id for r in got) == sorted(own)
+    for r in got:
+        o, wave = own[r.source_id], [x for x in got if x.wave == r.wave]
+        assert (r.parity_status, r.discovered_from) == (o.parity_status, o.discovered_from)
+        assert r.review_codes == r.wave_review_codes == [] and (not r.blocker_codes or o.kind == "security_policy")
+        assert (r["items"], r.parity_failed, r.provenances) == (len(wave), sum(x.parity_status == "failed" for x in wave), len({x.discovered_from for x in wave}))
+        assert r.wave_blocker_codes == sorted({c for x in wave for c in x.blocker_codes})
+        assert r.security_status == ("blocked" if r.wave_blocker_codes else "not_recorded")
+    assert {c for r in got for c in r.blocker_codes} == {"SECURITY_EVIDENCE_MISSING"}

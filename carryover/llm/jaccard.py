@@ -30,11 +30,13 @@ from pyspark.sql import types as T
 from carryover.llm.frames import BINARY, LONG, arrow_map, chosen
 from carryover.llm.text import BASE, Texts, mix, pieces, windows
 from carryover.llm.vectors import runs
-from carryover.session import passing_scratch, settle, settle_counted, shuffle_width
+from carryover.session import drop_shuffles, passing_scratch, settle, settle_counted, shuffle_width
 
 #: 100 * intersection >= percent * union links two sets; this is the percentage if none is given.
 PERCENT = 90
 SKETCH = 8
+#: In sets of more n-grams those bits are too full to tell two apart; they have a long sketch as well.
+FULL = 32 * SKETCH
 SPARE = 2
 RATIO = 1.5
 #: Segments of fewer n-grams than this on average are often empty or hold one.
@@ -145,6 +147,27 @@ def sketches(d: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
     return out.reshape(n, SKETCH).view(np.int64)
 
 
+def long_sketches(d: np.ndarray, g: np.ndarray, size: np.ndarray) -> list[bytes | None]:
+    """Per text of over ``FULL`` n-grams, 2 to 4 times as many parity bits, a power of two; none of
+    the others. The upper half of a sketch on its lower half is the sketch of half as many bits."""
+    bits = np.where(size > FULL, 2 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), 0)
+    first = (np.cumsum(bits) - bits) // 64
+    at = np.flatnonzero(bits[d])
+    bit, text = mix(g[at] ^ np.uint64(0x1D8E_4E27_C47D_124F)), d[at]
+    out = np.zeros(int(bits.sum()) // 64, "<u8")
+    np.bitwise_xor.at(out, first[text] + ((bit >> np.uint64(6)).astype(np.int64) & (bits[text] // 64 - 1)), np.uint64(1) << (bit & np.uint64(63)))
+    return [out[a:a + n // 64].tobytes() if n else None for a, n in zip(first.tolist(), bits.tolist(), strict=True)]
+
+
+def bits_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many bits two long sketches differ, at the shorter one's length."""
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def signatures(d: np.ndarray, g: np.ndarray, size: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """(text, signature) of all sets that can link with a different one."""
     band = np.searchsorted(bands(percent), size, "right") - 1
@@ -174,15 +197,15 @@ def signatures(d: np.ndarray, g: np.ndarray, size: np.ndarray, percent: int = PE
 
 
 def read_sets(docs: DataFrame, n: int) -> DataFrame:
-    """Per row of (_id, _text, text): size, class and parity sketch of its set."""
+    """Per row of (_id, _text, text): size, class and parity sketches of its set."""
     def read(b: pa.RecordBatch) -> dict:
         t = Texts(b.column("text"), lower=True)
         d, g = shingle_sets(t, n)
         size, name = class_of(d, g, t.n)
         sk = sketches(d, g, t.n)
-        return {"n": size, "cls": name} | {f"s{i}": sk[:, i] for i in range(SKETCH)}
+        return {"n": size, "cls": name, "long": long_sketches(d, g, size)} | {f"s{i}": sk[:, i] for i in range(SKETCH)}
 
-    return arrow_map(docs, read, {"n": LONG, "cls": LONG} | {f"s{i}": LONG for i in range(SKETCH)}, ["_id", "_text"])
+    return arrow_map(docs, read, {"n": LONG, "cls": LONG, "long": BINARY} | {f"s{i}": LONG for i in range(SKETCH)}, ["_id", "_text"])
 
 
 def _packets(sig: np.ndarray, cls: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -292,9 +315,28 @@ def _close(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (apart * (100 + percent) <= (na + nb) * (100 - percent))
 
 
-def verify(pairs: DataFrame, own: DataFrame, info: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
+def within_reach(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) without those of large sets whose long sketches differ in more bits than
+    n-grams of a linked pair can. A sketch has at most a sixteenth of the bytes of its set."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    known = sets.filter("long is not null").select("cls", "n", "long").join(asked.hint("merge"), "cls", "left_semi").dropDuplicates(["cls"])
+    side = lambda x: known.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("long").alias(f"long_{x}"))
+
+    def check(batch: pa.RecordBatch) -> dict:
+        near = []
+        for na, x, nb, y in zip(*(batch.column(c) for c in ("na", "long_a", "nb", "long_b")), strict=True):
+            near.append(not (x.is_valid and y.is_valid) or
+                        bits_apart(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")) * (100 + percent) <= (na.as_py() + nb.as_py()) * (100 - percent))
+        return {"_rows": np.flatnonzero(near)}
+
+    return arrow_map(pairs.join(side("a"), "a", "left").join(side("b"), "b", "left"), check, {}, ["a", "b"], "long_a")
+
+
+def verify(pairs: DataFrame, own: DataFrame, all_sets: DataFrame, info: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of classes that link, decided on the full sets. Texts are read again
-    for one representative of each class in question."""
+    for one representative of each class in question; the long sketches come first, as pairs
+    of unlike large sets grow with the square of the corpus and full sets go out with each pair."""
+    pairs = settle(within_reach(pairs, all_sets, percent), "near")
     need = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(info.select("cls", "rep"), "cls")
     # the same join at every size: how many classes are in question follows the corpus
     texts = own.join(need.select(F.col("rep").alias("_id"), F.col("cls").alias("want")).hint("merge"), "_id").select("want", "text")
@@ -310,7 +352,10 @@ def verify(pairs: DataFrame, own: DataFrame, info: DataFrame, n: int, percent: i
             link.append(100 * shared >= percent * (len(p) + len(q) - shared))
         return {"_rows": np.flatnonzero(link)}
 
-    return settle(arrow_map(both, check, {}, ["a", "b"], "ga"), "links")
+    links = settle(arrow_map(both, check, {}, ["a", "b"], "ga"), "links")
+    del texts, sets, both
+    drop_shuffles(links.sparkSession)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -343,6 +388,8 @@ class Join:
         buckets = max(4 * shuffle_width(docs.sparkSession), ceil(got["grams"] / BUCKET_GRAMS))
         sent = send_signatures(self.own, n, percent, buckets)
         self.members = settle(meet_signatures(sent, ceil(buckets / 4)).distinct(), "buckets")
+        del sent
+        drop_shuffles(docs.sparkSession)
         classes = self.sets.filter("_id is not null and n > 0").groupBy("cls").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), *[F.first(f"s{i}").alias(f"s{i}") for i in range(SKETCH)])
         self.info = settle(classes.join(self.members.select("cls").distinct(), "cls", "left_semi"), "classes")
 
@@ -370,7 +417,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(links, membership): every linked pair of different sets, as the smallest ids of their
     classes, and the class of each row, likewise. Copies are not expanded into pairs."""
     j = Join(docs, id_col, text_col, n, percent)
-    links = verify(j.rest(None, None), j.own, j.info, n, percent)
+    links = verify(j.rest(None, None), j.own, j.sets, j.info, n, percent)
     rep = j.sets.filter("_id is not null and n > 0").groupBy("cls").agg(F.min("_id").alias("rep"))
     a, b = rep.select(F.col("cls").alias("a"), F.col("rep").alias("id_a")), rep.select(F.col("cls").alias("b"), F.col("rep").alias("id_b"))
     pairs = links.join(a, "a").join(b, "b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
@@ -394,9 +441,9 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
     with passing_scratch(docs.sparkSession):
         j = Join(docs, id_col, text_col, n, percent)
         first = j.stars()
-        links = verify(first, j.own, j.info, n, percent)
+        links = verify(first, j.own, j.sets, j.info, n, percent)
         labels = components(links)
-        links = links.unionByName(verify(j.rest(labels, first), j.own, j.info, n, percent))
+        links = links.unionByName(verify(j.rest(labels, first), j.own, j.sets, j.info, n, percent))
         labels = components(links)
         real = j.sets.filter("_id is not null and n > 0")
         named = real.groupBy("cls").agg(F.min("_id").alias("rep")).join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))

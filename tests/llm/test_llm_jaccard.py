@@ -207,3 +207,34 @@ def test_packets_bring_back_every_signature():
         got += [(bucket, x, y) for x, y in zip(low.tolist(), np.frombuffer(c, "<i8")[np.frombuffer(o, "<u2")].tolist())]
     assert sorted(got) == sorted(((x >> 32) * 37 >> 32, x & (1 << 40) - 1, y) for x, y in zip(sig.tolist(), cls.tolist()))
     assert J._packets(sig[:0], cls[:0], 37).num_rows == 0
+
+
+def test_a_long_sketch_differs_in_no_more_bits_than_sets_in_ngrams():
+    r, vocab = random.Random(8), [f"v{i}" for i in range(4000)]
+    for size in (300, 700, 1020, 1030, 5000):
+        base = r.choices(vocab, k=size)
+        for edits in (0, 1, 9, size // 10):
+            other = list(base)
+            for _ in range(edits):
+                other.insert(r.randrange(len(other)), r.choice(vocab))
+            d, g = J.shingle_sets(Texts(pa.array([" ".join(base), " ".join(other), "a b"])), 3)
+            x, y, none = J.long_sketches(d, g, np.bincount(d, minlength=3))
+            apart = J.bits_apart(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"))
+            assert none is None and apart <= len(set(g[d == 0].tolist()) ^ set(g[d == 1].tolist())) and len(x) <= size // 2 + 64
+            assert apart > edits or not edits
+
+
+def test_large_sets_that_are_unlike_are_not_sent_out_whole(spark, monkeypatch):
+    r, vocab, sent = random.Random(9), [f"v{i}" for i in range(4000)], []
+    base = [r.choices(vocab, k=1500) for _ in range(6)]
+    texts = [" ".join(b) for b in base] + [" ".join(["new", *base[0]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    j = J.Join(docs, "doc_id", "text", 5, 80)
+    info = j.sets.withColumnRenamed("_id", "rep")
+    x, y = info.alias("x"), info.alias("y")
+    pairs = x.crossJoin(y).filter("x.cls < y.cls").filter(J._close("x", "y", 80)).selectExpr("x.cls a", "y.cls b")
+    assert pairs.count() == 21
+    real = J.settle
+    monkeypatch.setattr(J, "settle", lambda df, name="stage", **kw: sent.append((name, real(df, name, **kw))) or sent[-1][1])
+    assert J.verify(pairs, j.own, j.sets, info, 5, 80).count() == 1
+    assert [df.count() for name, df in sent if name == "sets"] == [2]

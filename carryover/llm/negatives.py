@@ -29,8 +29,13 @@ from carryover.session import settle, settle_counted
 
 #: Anchors and rows of a cell, scores of a step, and the segments of both levels.
 ANCHORS, ROWS, STEP = 8192, 65536, 1 << 21
+#: Rows of the first step of a cell.
+FIRST = 16
 SEGMENTS = (16, 4)
 FIXED_POINT, WIDEST = 256, 1 << 31
+#: One score of a whole step costs as much as bounding so small a share of its pairs one by one; and
+#: for so many steps the bounds are not tried again once they have left most of the pairs open.
+DENSE, AGAIN = 1 / 32, 15
 INT = np.dtype(np.int32)
 NONE = np.iinfo(np.int64).min
 
@@ -76,16 +81,39 @@ def exact(a: Summaries, b: Summaries, i: np.ndarray, j: np.ndarray) -> np.ndarra
     return np.einsum("ij,ij->i", a.x[i], b.x[j]).astype(np.int64)
 
 
+def products(a: Summaries, b: Summaries) -> np.ndarray | None:
+    """All scores, in floats that hold them exactly; none if there are no such floats."""
+    most = a.top * b.top * a.x.shape[1]
+    if most < 2.0**24:
+        return a.x.astype(np.float32) @ b.x.astype(np.float32).T
+    return a.x @ b.x.T if most < 2.0**53 else None
+
+
+def _within(score: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which scores lie between the integers of their rows. Beyond all scores, one end is as good as another."""
+    top = 1 << (24 if score.dtype == np.float32 else 53)
+    least, most = (np.clip(x, -top, top).astype(score.dtype)[:, None] for x in (least, most))
+    return (score >= least) & (score <= most)
+
+
 class Lists:
-    """The best ``size`` rows of each slot: higher scores first, ties by smaller id."""
+    """The best ``size`` rows of each slot: higher scores first, ties by smaller id. What is added
+    waits until it is as much as the lists hold; till then their bars are lower than they could be."""
 
     def __init__(self, slots: int, size: int):
-        self.size = size
+        self.size, self.waiting, self.room = size, [], 0
         self.slot, self.score, self.id = (np.zeros(0, np.int64) for _ in range(3))
         self.bar = np.full(slots, NONE)
 
     def add(self, slot: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        slot, score, ids = (np.concatenate([x, y]) for x, y in ((self.slot, slot), (self.score, score), (self.id, ids)))
+        self.waiting.append((slot, score, ids))
+        self.room -= len(slot)
+        if self.room < 0:
+            self.settle()
+
+    def settle(self) -> None:
+        slot, score, ids = (np.concatenate(x) for x in zip((self.slot, self.score, self.id), *self.waiting, strict=True))
+        self.waiting = []
         order = np.lexsort((ids, -score, slot))
         slot, score, ids = slot[order], score[order], ids[order]
         place = np.arange(len(slot)) - np.searchsorted(slot, slot)
@@ -93,11 +121,11 @@ class Lists:
         self.slot, self.score, self.id = slot[keep], score[keep], ids[keep]
         last = place == self.size - 1
         self.bar[slot[last]] = score[last]
+        self.room = len(self.slot)
 
 
-def _steps(n: int, anchors: int) -> Iterator[slice]:
-    step = max(1, STEP // max(1, anchors))
-    return (slice(a, a + step) for a in range(0, n, step))
+def _step(anchors: int) -> int:
+    return max(1, STEP // max(1, anchors))
 
 
 class Cell:
@@ -110,12 +138,17 @@ class Cell:
         self.all = Summaries(np.pad(vec, ((0, 0), (0, self.width - vec.shape[1]))))
         bands = t.column("bands").to_pylist()
         self.bands = max((len(x or ()) for x in bands), default=0)
+        self.seen = self.skip = 0
         self.low, self.high = (np.array([[b[k] for b in x or ()] + [(1, 0)[k]] * (self.bands - len(x or ())) for x in bands], np.int64).reshape(len(bands), self.bands) for k in (0, 1))
 
     def offer(self, b: pa.RecordBatch, lists: list[Lists]) -> None:
         ids, labels = b.column("_id").to_numpy(), b.column("label").to_numpy()
         vec = unpacked(b.column("vec"), INT, self.width)[:, :self.width]
-        for s in _steps(len(ids), len(self.ids)):
+        step, at = _step(len(self.ids)), 0
+        while at < len(ids):
+            # the first steps are short: the bars they raise keep the next ones' lists short
+            s = slice(at, at + min(step, max(FIRST, self.seen)))
+            at, self.seen = s.stop, self.seen + s.stop - s.start
             rows = Summaries(vec[s])
             if self.bands:
                 floor = np.stack([np.maximum(x.bar, self.low[:, k]) for k, x in enumerate(lists)], axis=1)
@@ -125,21 +158,40 @@ class Cell:
             else:
                 least, most = lists[0].bar, np.full(len(self.ids), 2**63 - 1)
                 wanted = (self.labels[:, None] == labels[s]) & (self.ids[:, None] != ids[s])
-            low, high = dense_bounds(self.all, rows)
-            i, j = np.nonzero(wanted & (high >= least[:, None]) & (low <= most[:, None]))
-            for step in _steps(len(i), 2 * self.width):
-                p, q = i[step], j[step]
-                low, high = pair_bounds(self.all, rows, p, q)
-                left = (high >= least[p]) & (low <= most[p])
-                p, q = p[left], q[left]
-                score = exact(self.all, rows, p, q)
+            for p, q, score in self.scores(rows, wanted, least, most):
                 for k, x in enumerate(lists):
                     fits = (score >= np.maximum(x.bar, self.low[:, k])[p]) & (score <= self.high[p, k]) if self.bands else score >= x.bar[p]
                     if fits.any():
                         x.add(p[fits], score[fits], ids[s][q[fits]])
 
+    def scores(self, rows: Summaries, wanted: np.ndarray, least: np.ndarray, most: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(anchor, row, score) of the wanted pairs, without those that the bounds put below the
+        least or above the most score of interest. Where the bounds leave many pairs open, all
+        scores at once cost less than to go on bounding."""
+        if self.skip:
+            self.skip -= 1
+            left = wanted
+        else:
+            low, high = dense_bounds(self.all, rows)
+            left = wanted & (high >= least[:, None]) & (low <= most[:, None])
+            self.skip = AGAIN * (2 * np.count_nonzero(left) > np.count_nonzero(wanted))
+        every = products(self.all, rows) if self.skip or np.count_nonzero(left) > DENSE * left.size else None
+        if every is not None:
+            i, j = np.nonzero(left & _within(every, least, most))
+            yield i, j, every[i, j].astype(np.int64)
+            return
+        self.skip = 0
+        i, j = np.nonzero(left)
+        for a in range(0, len(i), n := _step(2 * self.width)):
+            p, q = i[a:a + n], j[a:a + n]
+            low, high = pair_bounds(self.all, rows, p, q)
+            near = (high >= least[p]) & (low <= most[p])
+            p, q = p[near], q[near]
+            yield p, q, exact(self.all, rows, p, q)
+
     def found(self, lists: list[Lists]) -> Iterator[pa.RecordBatch]:
         for k, x in enumerate(lists):
+            x.settle()
             if len(x.slot):
                 at = pa.array(x.slot)
                 band = self.t.column("scores").combine_chunks().take(at)

@@ -1,10 +1,12 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from carryover.llm import negatives as N
+from carryover.llm.vectors import packed
 
 RND = np.random.default_rng(8)
 SCHEMA = "vec_id long, embedding array<double>, label int"
@@ -69,3 +71,41 @@ def test_odd_rows(spark):
     assert mined(df) == brute(held)
     assert mined(df.limit(0)) == [] and mined(df.filter("vec_id is null")) == []
     assert mined(df, positives=1, negatives=1) == brute(held, 1, 1)
+
+
+def offered(whole, anchors, bands):
+    """The lists of a cell whose anchors are the first rows, past which all rows are led."""
+    ids, labels = np.arange(len(whole)), np.arange(len(whole)) % 3
+    made = lambda n: [pa.array(ids[:n]), pa.array(labels[:n]), pa.array(ids[:n]), packed([(ids[:n], whole[:n])], n)]
+    cell = N.Cell(pa.table([*made(anchors), pa.array([None] * anchors, pa.list_(pa.int64())), pa.array([bands] * anchors, pa.list_(pa.list_(pa.int64())))],
+                           names=["_id", "label", "cls", "vec", "scores", "bands"]))
+    lists = [N.Lists(anchors, 4) for _ in range(max(1, cell.bands))]
+    for a in range(0, len(whole), 700):
+        cell.offer(pa.RecordBatch.from_arrays(made(len(whole)), names=["_id", "label", "cls", "vec"]).slice(a, 700), lists)
+    for x in lists:
+        x.settle()
+    return [list(zip(x.slot.tolist(), x.score.tolist(), x.id.tolist(), strict=True)) for x in lists]
+
+
+@pytest.mark.parametrize("most", [90, 1 << 12, 1 << 22, 1 << 30])
+@pytest.mark.parametrize("bands", [None, [[-(1 << 62), 1 << 62], [3, 1 << 40], [9, 2]]])
+def test_scores_at_once_and_behind_bounds_are_the_same(monkeypatch, most, bands):
+    whole = np.random.default_rng(most).integers(-most, most, (1500, 32)).astype(np.int32)
+    got = []
+    for dense, again in ((2.0, 0), (0.0, 15), (N.DENSE, N.AGAIN)):
+        monkeypatch.setattr(N, "DENSE", dense)
+        monkeypatch.setattr(N, "AGAIN", again)
+        got.append(offered(whole, 40, bands))
+    exact = whole[:40].astype(object) @ whole.T.astype(object)
+    for k, (low, high) in enumerate(bands or [(-(1 << 63), 1 << 63)]):
+        for a in range(40):
+            fits = [(-s, j) for j, s in enumerate(exact[a]) if low <= s <= high and ((a % 3 == j % 3) and a != j if bands is None else a % 3 != j % 3)]
+            assert [(s, j) for x, s, j in got[0][k] if x == a] == [(-s, j) for s, j in sorted(fits)[:4]]
+    assert got[0] == got[1] == got[2]
+
+
+def test_vectors_that_no_bound_tells_apart_are_not_scored_pair_by_pair(monkeypatch):
+    pairs, real = [], N.exact
+    monkeypatch.setattr(N, "exact", lambda a, b, i, j: pairs.append(len(i)) or real(a, b, i, j))
+    offered(np.random.default_rng(1).integers(-100, 100, (1500, 32)).astype(np.int32), 40, [[-(1 << 62), 1 << 62]])
+    assert sum(pairs) < 40 * 1500 / 10

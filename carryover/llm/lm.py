@@ -140,26 +140,33 @@ def _levels(keys: np.ndarray, total: np.ndarray, order: int) -> list[tuple[np.nd
 def _answers(requests: pa.Table, order: int) -> pa.Table:
     """Build one shard's trie from all requests to it and answer each of them."""
     raw = [EliasFano(np.frombuffer(k, np.uint8)).decode() + np.uint64(b) for k, b in zip(requests.column("keys").to_pylist(), requests.column("base").to_pylist(), strict=True)]
-    count = [_unpacked(c) for c in requests.column("counts").to_pylist()]
-    keys, n = np.concatenate(raw), np.concatenate(count)
+    cut, keys = np.cumsum([0, *map(len, raw)]), np.concatenate(raw)
+    del raw
+    n = np.concatenate([_unpacked(c) for c in requests.column("counts").to_pylist()])
     order_ = np.argsort(keys)
     keys, n = keys[order_], n[order_]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    place = np.empty(len(keys), np.int64)
+    place[order_] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
     keys, total = keys[first], np.add.reduceat(n, first)
+    del order_, n, new, first
     trie = Trie(_levels(keys[total > 0], total[total > 0], order), WORD_BITS)
-    answers = []
-    for asked in raw:
-        tag, exact, codes = asked & np.uint64(3), np.zeros(0, np.int64), np.full(len(asked), ABSENT, np.uint16)
-        for k in range(order):
-            at = np.flatnonzero(tag == k)
-            context, word = asked[at] >> np.uint64(WORD_BITS + TAG_BITS), (asked[at] >> np.uint64(TAG_BITS)) & np.uint64((1 << WORD_BITS) - 1)
-            if k == 0:
-                exact = trie.lookup(0, context, word, 0)
-            else:
-                codes[at] = trie.lookup(k, context, word, ABSENT)
-        answers.append((_packed(exact), codes[tag > 0].tobytes()))
+    # an n-gram is looked up once, whoever asked for it
+    tag, exact, codes = keys & np.uint64(3), np.zeros(len(keys), np.int64), np.full(len(keys), ABSENT, np.uint16)
+    for k in range(order):
+        at = np.flatnonzero(tag == k)
+        context, word = keys[at] >> np.uint64(WORD_BITS + TAG_BITS), (keys[at] >> np.uint64(TAG_BITS)) & np.uint64((1 << WORD_BITS) - 1)
+        if k == 0:
+            exact[at] = trie.lookup(0, context, word, 0)
+        else:
+            codes[at] = trie.lookup(k, context, word, ABSENT)
+    single = (tag == 0)[place]
+    of_single = np.concatenate([[0], np.cumsum(single)])[cut]
+    exact, codes, of_more = exact[place[single]], codes[place[~single]], cut - of_single
+    answers = [(_packed(exact[a:b]), codes[c:d].tobytes()) for a, b, c, d in zip(of_single, of_single[1:], of_more, of_more[1:], strict=False)]
     words = total[(keys & np.uint64(3)) == 0]
-    once = lambda v: pa.array([int(v)] + [0] * (len(raw) - 1), pa.int64())
+    once = lambda v: pa.array([int(v)] + [0] * (len(answers) - 1), pa.int64())
     return pa.table({"block": requests.column("block"), "shard": requests.column("shard"), "tokens": once(words.sum()), "kinds": once((words > 0).sum()),
                      "exact": pa.array([a for a, _ in answers], pa.binary()), "codes": pa.array([c for _, c in answers], pa.binary())})
 

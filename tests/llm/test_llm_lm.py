@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -111,3 +112,20 @@ def test_the_query_scores_with_order_3(spark, tmp_path):
     got = {r.doc_id: r for r in queries.op3_lm_score(spark, str(tmp_path)).collect()}
     want = brute(rows, [not got[d].held_out for d, _ in rows], 3)
     assert all(abs(got[d].score - w[4]) < 2e-3 * abs(w[4]) for (d, _), w in zip(rows, want, strict=True))
+
+
+def test_a_shard_looks_an_ngram_up_once_for_all_blocks(monkeypatch):
+    texts, asked, real = ["a b c a b", "b c a b d", "", "a b c a b"], [], lm.Trie.lookup
+    blocks = [lm._requests(k, pa.chunked_array([pa.array([x], pa.large_string())]), np.array([k != 1]), 3, 1) for k, x in enumerate(texts)]
+    keys = [EliasFano(np.frombuffer(b.column("keys")[0].as_py(), np.uint8)).decode() + np.uint64(b.column("base")[0].as_py()) for b in blocks]
+    monkeypatch.setattr(lm.Trie, "lookup", lambda self, level, context, *x: asked.append(len(context)) or real(self, level, context, *x))
+    got = lm._answers(pa.concat_tables(blocks), 3)
+    assert sum(asked) == len(set(np.concatenate(keys).tolist()))
+    counts = {}
+    for b, k in zip(blocks, keys, strict=True):
+        for x, n in zip(k.tolist(), lm._unpacked(b.column("counts")[0].as_py()).tolist(), strict=True):
+            counts[x] = counts.get(x, 0) + n
+    for k, exact, codes in zip(keys, got.column("exact").to_pylist(), got.column("codes").to_pylist(), strict=True):
+        assert lm._unpacked(exact).tolist() == [counts[x] for x in k.tolist() if x & 3 == 0]
+        assert np.frombuffer(codes, "<u2").tolist() == [round(lm.STEP * np.log10(counts[x])) if counts[x] else lm.ABSENT for x in k.tolist() if x & 3]
+    assert sum(got.column("kinds").to_pylist()) == 4 and got.column("tokens").to_pylist()[1:] == [0, 0, 0]
